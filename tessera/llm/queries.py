@@ -2,14 +2,28 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, url_filter
+from . import bpe, exact_dedup, language_id, mixing, nearest, ngram_join, url_filter
 from .common import table
 
 
+#: Where the public vocabularies lie; a parameter of a deployment.
+TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS", "/opt/tokenizers")
+
+
+def tokenizer(name: str = "byte_bpe_50k.json") -> bpe.Tokenizer:
+    return bpe.Tokenizer.from_file(f"{TOKENIZERS}/{name}")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest_documents(spark, table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = url_filter.judge(spark, table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
     return found.select("page_id", "host", "path", "rule", "verdict")
@@ -19,6 +33,19 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("source")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(spark, docs, language_id.fit(docs))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.group(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(spark, table(spark, sf_dir, "documents"))
 
@@ -32,8 +59,8 @@ FROM d JOIN g ON d.text = g.text
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op4_mixing, op9_exact_dedup)}
+    return {f.__name__: f for f in (op2_bpe, op3_url_filter, op4_mixing, op6_language_id, op7_nearest, op8_ngram_join, op9_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.oracle(), "op4_mixing": mixing.ORACLE, "op9_exact_dedup": OP9_SQL}
+    return {"op3_url_filter": url_filter.oracle(), "op4_mixing": mixing.ORACLE, "op7_nearest": nearest.ORACLE, "op9_exact_dedup": OP9_SQL}
