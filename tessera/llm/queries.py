@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, mixing, nearest, ngram_join, url_filter
+from . import bpe, exact_dedup, language_id, mixing, nearest, ngram_join, substring_dedup, url_filter
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(spark, table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(spark, table(spark, sf_dir, "documents"))
+
+
 OP9_SQL = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
@@ -59,7 +63,7 @@ FROM d JOIN g ON d.text = g.text
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_url_filter, op4_mixing, op6_language_id, op7_nearest, op8_ngram_join, op9_exact_dedup)}
+    return {f.__name__: f for f in (op2_bpe, op3_url_filter, op4_mixing, op6_language_id, op7_nearest, op8_ngram_join, op9_exact_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
