@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, mixing, nearest, ngram_join, substring_dedup, url_filter
+from . import bpe, exact_dedup, language_id, license_scan, mixing, nearest, ngram_join, quality, substring_dedup, url_filter
 from .common import table
 
 
@@ -20,6 +20,11 @@ def tokenizer(name: str = "byte_bpe_50k.json") -> bpe.Tokenizer:
     return bpe.Tokenizer.from_file(f"{TOKENIZERS}/{name}")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.classify(spark, quality.sites_of_documents(docs), quality.fit(docs, labels))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(spark, table(spark, sf_dir, "documents"), tokenizer())
 
@@ -33,6 +38,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("source")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(spark, docs, language_id.fit(docs))
@@ -63,7 +72,7 @@ FROM d JOIN g ON d.text = g.text
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe, op3_url_filter, op4_mixing, op6_language_id, op7_nearest, op8_ngram_join, op9_exact_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_bpe, op3_url_filter, op4_mixing, op5_license_scan, op6_language_id, op7_nearest, op8_ngram_join, op9_exact_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
