@@ -301,7 +301,7 @@ def label_words(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, runs array<struct<lang:string,first:long,end:long>>")
 
 
-def keep_known(spark: SparkSession, docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
+def keep_known(spark: SparkSession, docs: DataFrame, model: Model, least_score: float = 0.35) -> DataFrame:
     """docs without the rows whose language is undetermined or has a lower score; all columns stay."""
     held = spark.sparkContext.broadcast(model)
     place = docs.columns.index("text")
