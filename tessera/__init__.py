@@ -1,0 +1 @@
+"""Content-addressed, versioned object data as Spark DataFrames."""

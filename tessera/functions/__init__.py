@@ -1,0 +1 @@
+"""Column functions: keys, routing, numbers and hashes."""
