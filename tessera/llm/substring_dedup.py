@@ -5,8 +5,9 @@ equals), which its content alone decides. Only windows whose anchors several doc
 match, and all windows that match have one anchor, so shards by anchor need not look at each other.
 
 1. Equal texts count once: all but the first of a group of copies are removed whole.
-2. Anchors are dealt out by hash, one row for each hash and task chunk, and those of several
-   documents stay. What a chunk already finds shared never travels, which flattens frequent passages.
+2. Anchors are dealt out by hash, one row for each hash and chunk of a task, and those of several
+   documents stay. Rows that their chunk already finds shared are dealt by document instead, so a
+   frequent passage fills no partition.
 3. Of each shared anchor the cover goes to the anchor's shard: the bytes of all neighbouring windows
    that belong to it. A cover that a task has met in an earlier document is settled there.
 4. A shard lays its distinct covers end to end and sorts their suffixes by external induced sorting.
@@ -130,23 +131,27 @@ def _shared_anchors(docs: DataFrame) -> DataFrame:
     def meet(batches):
         carry = None  # the last row so far, and whether it has been given
         for batch in batches:
-            h, d = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            if carry is not None:
-                h, d = np.concatenate([carry[0], h]), np.concatenate([carry[1], d])
-            same = h[1:] == h[:-1]
-            keep = np.zeros(len(h), bool)
-            keep[1:] |= same
-            keep[:-1] |= same
-            if carry is not None and carry[2]:
-                keep[0] = False
-            last_given = bool(keep[-1]) or (len(h) == 1 and carry is not None and carry[2])
-            carry = (h[-1:], d[-1:], last_given)
-            yield pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(h[keep])], ["key", "hash"])
-
-    kinds = "key long, hash long"
-    rows = stored(docs.select("key", "text").mapInArrow(run, kinds + ", known boolean"), "anchors")
-    single = rows.where("not known").select("hash", "key").repartition("hash").sortWithinPartitions("hash", "key")
-    return rows.where("known").select("key", "hash").unionByName(single.mapInArrow(meet, kinds))
+            h, d, known = (np.asarray(batch.column(i)) for i in range(3))
+            given_h, given_d = h[known], d[known]
+            h, d = h[~known], d[~known]
+            if len(h):
+                if carry is not None:
+                    h, d = np.concatenate([carry[0], h]), np.concatenate([carry[1], d])
+                same = h[1:] == h[:-1]
+                keep = np.zeros(len(h), bool)
+                keep[1:] |= same
+                keep[:-1] |= same
+                last_given = bool(keep[-1])
+                if carry is not None and carry[2]:
+                    keep[0] = False
+                carry = (h[-1:], d[-1:], last_given)
+                given_h, given_d = np.concatenate([given_h, h[keep]]), np.concatenate([given_d, d[keep]])
+            yield pa.RecordBatch.from_arrays([pa.array(given_d), pa.array(given_h)], ["key", "hash"])
+
+    rows = docs.select("key", "text").mapInArrow(run, "key long, hash long, known boolean")
+    # rows that are known to be shared meet no others: they are dealt by document
+    dealt = rows.select("hash", "key", "known").repartition(F.when(F.col("known"), F.col("key")).otherwise(F.col("hash"))).sortWithinPartitions("hash", "key")
+    return dealt.mapInArrow(meet, "key long, hash long")
 
 
 SPAN_KIND = "key long, doc_id long, start long, stop long, hash long, cover binary"
