@@ -54,7 +54,8 @@ class Automaton:
             if b is not None and len(b) == 1 and i not in made:
                 self.ids[b] = i
         for time, (u, v, t) in enumerate(merges):
-            if self.has_arc(u, time, v):  # else the merge can never happen
+            known = self.ids.get(labels[u]) == u and self.ids.get(labels[v]) == v
+            if known and self.has_arc(u, time, v):  # else the merge can never happen
                 self.left[t], self.right[t], self.born[t] = u, v, time
                 self.cuts[u][v] = time
                 self.ids[labels[t]] = t

@@ -145,10 +145,13 @@ def matches(index: Index, words: Words, text: str | None, least: float = LEAST_C
     codes = codes[kept]
     found = []
     for owner, low, high in index.candidates(codes):
-        template = index.codes[owner]
-        n, first, end = align(template, codes, low, high)
-        if n >= least * len(template) and n >= GRAM:
+        template, rest = index.codes[owner], codes.copy()
+        while True:  # a candidate can hold a notice several times
+            n, first, end = align(template, rest, low, high)
+            if n < least * len(template) or n < GRAM:
+                break
             found.append((-n, -n / len(template), index.names[owner], int(kept[first]), int(kept[end - 1]) + 1))
+            rest[first:end] = 0
     if not found:
         return []
     places = [m.span() for m in re.finditer(r"\S+", text)]

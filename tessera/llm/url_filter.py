@@ -84,7 +84,7 @@ def judge(spark: SparkSession, pages: DataFrame, labels: DataFrame, rules=RULES)
     known = rows.join(marked, rows["shown"] == marked["doc_id"], "left")
     raw = known.groupBy("host", "t").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("lab", zero)).alias("lab"), F.sum(F.coalesce("bad", zero)).alias("bad"))
     merged = stored(tree(raw), "templates")
-    total = merged.agg(((F.sum("bad") + 0.5) / (F.sum("lab") + 1.0)).alias("all_bad"))  # a single row
+    total = merged.agg(((F.sum("bad") + 0.1) / (F.sum("lab") + 1.0)).alias("all_bad"))  # a single row; 0.1 without labels
     final = merged.groupBy("host", "merged").agg(F.sum("lab").alias("lab"), F.sum("bad").alias("bad"))
     share = (F.col("bad") + PSEUDO * F.col("all_bad")) / (F.col("lab") + PSEUDO)
     final = stored(final.join(F.broadcast(total)).select("host", "merged", share.alias("bad_share")), "template-shares")
@@ -118,7 +118,7 @@ v AS (SELECT *, list_transform(list_filter(string_split(path, '/'), lambda x: x
 w AS (SELECT page_id, host, path, shown, CASE WHEN len(parts) > {DEPTH} THEN parts[1:{DEPTH}] || ['**'] ELSE parts END AS t FROM v),
 m AS (SELECT doc_id, count(*) AS lab, count_if(quality = 0) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 l0 AS (SELECT host, t, sum(coalesce(lab, 0))::BIGINT AS lab, sum(coalesce(bad, 0))::BIGINT AS bad, '' AS merged FROM w LEFT JOIN m ON shown = m.doc_id GROUP BY host, t){levels},
-g AS (SELECT (sum(bad) + 0.5::DOUBLE) / (sum(lab) + 1.0::DOUBLE) AS all_bad FROM {last}),
+g AS (SELECT (sum(bad) + 0.1::DOUBLE) / (sum(lab) + 1.0::DOUBLE) AS all_bad FROM {last}),
 f AS (SELECT host, merged, (sum(bad) + {PSEUDO}::DOUBLE * any_value(all_bad)) / (sum(lab) + {PSEUDO}::DOUBLE) AS bad_share FROM {last}, g GROUP BY host, merged),
 z AS (SELECT {last}.host, {last}.t, bad_share FROM {last} JOIN f USING (host, merged))
 SELECT w.page_id, w.host, w.path, {rule.replace('host', 'w.host').replace('path', 'w.path')} AS rule,
