@@ -119,7 +119,7 @@ class Model:
                 slope = self.score(rows, shape) - gold[i]
                 g = slope.astype(np.float32) + DECAY * self.words[rows]
                 sums[rows] += g * g
-                self.words[rows] -= RATE / 5 * g / np.sqrt(sums[rows])
+                self.words[rows] -= RATE / 2 * g / np.sqrt(sums[rows])
                 g = np.outer(shape, slope)
                 shape_sums += g * g
                 self.shape -= RATE * g / np.sqrt(shape_sums)
