@@ -1,14 +1,15 @@
 """Jaccard similarity join of n-gram sets by prefix trees.
 
 A text's set holds the hashes of its distinct word 5-grams. One pass over all texts makes each set's
-digest and a frequency sketch of fixed size; equal sets count once from there on. The order of grams
-is the sketch's frequency class, rare first, then the hash: any function of the gram would do for
-exact results, and rare grams first keep frequent passages out of the prefixes.
+digest, a frequency sketch and a filter of repeated grams (those that several documents of one chunk
+hold), both of fixed size; equal sets count once from there on. The order of grams is by whether the
+filter has them, by the sketch's frequency class, rare first, and then by hash: any function of the
+gram would do for exact results, and rare grams first keep shared passages out of the prefixes.
 
 Two sets of similarity 0.8 share at least COMMON grams within their first n - ceil(0.8 n) + COMMON.
 Only those grams are dealt out, sorted by gram. Groups of up to SMALL sets give their pairs, counted
-for each pair; larger groups are `hot`: they give pairs with one pivot for each gram, in several
-rounds, and components of verified links then settle most of their members. What is left outside a
+for each pair; larger groups are `hot`: they give pairs with one pivot for each gram, first the set
+with most hot grams and then others, and components of verified links then settle most of their members. What is left outside a
 hot group's main component is compared with all other sets of the group that share enough grams.
 
 Candidates are verified against whole sets: the members of a block are stored in a prefix tree in
@@ -35,9 +36,9 @@ from .common import stored
 from .components import components
 
 GRAM, NUM, DEN = 5, 80, 100
-SKETCH_BITS, SKETCH_ROWS = 20, 64
-COMMON, SMALL, ROUNDS = 6, 16, 3
-WORDS_KEPT, PAIRS_KEPT, BLOCK = 500_000, 300_000, 256
+SKETCH_BITS, SKETCH_ROWS, FILTER_BITS = 20, 64, 26
+COMMON, SMALL, ROUNDS = 12, 32, 2
+WORDS_KEPT, PAIRS_KEPT, BLOCK, DENSE, COUNTED = 500_000, 300_000, 256, 32, 6_000_000
 #: Odd multipliers of the hash of a word sequence.
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 LEVEL_BITS = 7
@@ -78,51 +79,86 @@ def least_overlap(n: int) -> int:
 
 
 def _survey(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, sid) of all documents, and for each task rows (slot, counts) of its sketch."""
+    """Rows (doc_id, n, sid) of all documents; for each task rows (slot, counts) of its sketch; and rows
+    (slot below 0, counts) of the places in the filter that its repeated grams take."""
     slots = (1 << SKETCH_BITS) // SKETCH_ROWS
+    repeated: list[np.ndarray] = []
+
+    def tally(held: list[np.ndarray], counts: np.ndarray) -> None:
+        h = np.concatenate(held)
+        counts += np.bincount((h & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
+        h.sort()
+        twice = h[1:] == h[:-1]
+        repeated.append(np.unique((h[1:][twice] >> np.uint64(64 - FILTER_BITS)).astype(np.uint32)))
 
     def run(batches):
         shingler, counts = Shingler(), np.zeros(1 << SKETCH_BITS, np.uint32)
+        seen: set[int] = set()  # equal sets are tallied once
+        held: list[np.ndarray] = []
+        size = 0
+        repeated.clear()
         names = ["doc_id", "n", "sid", "slot", "counts"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
-            n, sid, held = [], [], []
+            n, sid = [], []
             for text in batch.column(1):
                 h = shingler.hashes(text.as_py())
                 n.append(len(h))
                 sid.append(set_id(h) if len(h) else None)
-                held.append((h & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int32))
-                if sum(map(len, held)) > 2_000_000:
-                    counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
-                    held = []
-            if held:
-                counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
-            size = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, kinds[1]), pa.array(sid, kinds[2]), pa.nulls(size, kinds[3]), pa.nulls(size, kinds[4])], names)
+                if len(h) and sid[-1] not in seen:
+                    seen.add(sid[-1])
+                    held.append(h)
+                    size += len(h)
+                if size > COUNTED:
+                    tally(held, counts)
+                    held, size = [], 0
+            rows = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, kinds[1]), pa.array(sid, kinds[2]), pa.nulls(rows, kinds[3]), pa.nulls(rows, kinds[4])], names)
+        if held:
+            tally(held, counts)
         if counts.any():
+            places = np.unique(np.concatenate(repeated))
+            cuts = np.searchsorted(places, np.arange(SKETCH_ROWS + 1, dtype=np.uint64) << np.uint64(FILTER_BITS - 6))
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(SKETCH_ROWS, k) for k in kinds[:3]), pa.array([-1 - i for i in range(SKETCH_ROWS)], kinds[3]), pa.array([places[cuts[i] : cuts[i + 1]].tobytes() for i in range(SKETCH_ROWS)], kinds[4])], names)
             yield pa.RecordBatch.from_arrays([*(pa.nulls(SKETCH_ROWS, k) for k in kinds[:3]), pa.array(range(SKETCH_ROWS), kinds[3]), pa.array([counts[i * slots : (i + 1) * slots].tobytes() for i in range(SKETCH_ROWS)], kinds[4])], names)
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n long, sid long, slot int, counts binary")
 
 
-def _levels(survey: DataFrame) -> np.ndarray:
-    """The frequency class of each slot of the sketch: 2 ** SKETCH_BITS bytes, whatever the input."""
+def _levels(survey: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The frequency class of each slot of the sketch, and the filter as packed bits: 2 ** SKETCH_BITS and
+    2 ** FILTER_BITS / 8 bytes, whatever the input."""
+    part = (1 << FILTER_BITS) // SKETCH_ROWS
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(c, np.uint32).astype(np.uint64) for c in pdf["counts"])
-        return pd.DataFrame({"slot": pdf["slot"][:1], "counts": [total.tobytes()]})
+        slot = int(pdf["slot"].iloc[0])
+        if slot >= 0:
+            total = sum(np.frombuffer(c, np.uint32).astype(np.uint64) for c in pdf["counts"])
+        else:
+            total = np.zeros(part, bool)
+            for c in pdf["counts"]:
+                total[np.frombuffer(c, np.uint32) - np.uint32((-1 - slot) * part)] = True
+            total = np.packbits(total)
+        return pd.DataFrame({"slot": [slot], "counts": [total.tobytes()]})
 
     rows = survey.where("slot is not null").select("slot", "counts").groupBy("slot").applyInPandas(add, "slot int, counts binary").collect()
     if not rows:
-        return np.zeros(1 << SKETCH_BITS, np.uint8)
-    counts = np.concatenate([np.frombuffer(r["counts"], np.uint64) for r in sorted(rows, key=lambda r: r["slot"])])
-    over = counts / (counts.mean() + 1)
-    return np.clip(np.floor(np.log2(np.maximum(over, 1))), 0, (1 << LEVEL_BITS) - 1).astype(np.uint8)
+        return np.zeros(1 << SKETCH_BITS, np.uint8), np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    counts = np.concatenate([np.frombuffer(r["counts"], np.uint64) for r in sorted(rows, key=lambda r: r["slot"]) if r["slot"] >= 0])
+    repeated = np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in sorted(rows, key=lambda r: -r["slot"]) if r["slot"] < 0])
+    # a slot counts as rare up to four standard deviations of what chance puts there; classes above double
+    mean = counts.mean()
+    over = (counts - mean) / (4 * np.sqrt(mean + 1))
+    level = np.where(over < 1, 0, np.clip(1 + np.floor(2 * np.log2(np.maximum(over, 1))), 1, (1 << LEVEL_BITS - 1) - 1)).astype(np.uint8)
+    return level, repeated
 
 
-def ordered(hashes: np.ndarray, levels: np.ndarray) -> np.ndarray:
+def ordered(hashes: np.ndarray, levels: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The set in the global order, as numbers that sort so."""
-    level = levels[(hashes & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)].astype(np.uint64)
+    place = (hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    repeated = (levels[1][place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
+    level = levels[0][(hashes & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
+    level = (level + (repeated << np.uint8(LEVEL_BITS - 1))).astype(np.uint64)
     return np.sort(level << np.uint64(64 - LEVEL_BITS) | hashes >> np.uint64(LEVEL_BITS))
 
 
@@ -280,16 +316,22 @@ def _sets(docs: DataFrame, wanted: DataFrame, levels) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ordered(shingler.hashes(t.as_py()), levels.value).tobytes() for t in batch.column(1)], pa.binary())], ["sid", "grams"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("sid", "text")
-    return chosen.mapInArrow(run, "sid long, grams binary").dropDuplicates(["sid"])
+    return chosen.mapInArrow(run, "sid long, grams binary")  # repeated rows give a set again
 
 
 def _verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) of edges whose sets are similar. A block gets some of the edges of its sets `a`, so that one
-    set with many edges is in many blocks."""
+    """(a, b) of edges whose sets are similar. A block gets all edges of some sets `a`; those of sets with many
+    edges are dealt in tiles of sets by sets, so that each set goes to few blocks."""
     n = edges.count()
     blocks = max(128, -(-n // BLOCK))
-    spread = F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.lit(64))), F.lit(blocks))
-    dealt = stored(edges.select("a", "b", spread.alias("block")), "edges")
+    degree = stored(edges.groupBy("a").agg(F.count(F.lit(1)).alias("degree")), "degrees")
+    rows = edges.join(degree, "a")
+    dense = F.col("degree") > DENSE
+    nodes = rows.where(dense).select("b").union(degree.where(dense).select("a")).distinct().count()
+    tiles = F.lit(-(-nodes // (BLOCK // 2)) or 1)
+    tile = F.xxhash64(F.pmod(F.xxhash64("a"), tiles), F.pmod(F.xxhash64("b"), tiles), F.lit(1))
+    dealt = rows.withColumn("block", F.when(dense, tile).otherwise(F.pmod(F.xxhash64("a"), F.lit(blocks))))
+    dealt = stored(dealt.select("a", "b", "block"), "edges")
     asked = dealt.select("block", F.col("a").alias("sid")).union(dealt.select("block", F.col("b").alias("sid"))).distinct()
     have = asked.join(sets, "sid").select("block", "sid", F.lit(None).cast("long").alias("b"), "grams")
     want = dealt.select("block", F.col("a").alias("sid"), "b", F.lit(None).cast("binary").alias("grams"))
@@ -315,7 +357,8 @@ def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = survey.where("slot is null").select("doc_id", "n", "sid")
     met = stored(_meet(_prefixes(docs, levels)), "met")
     cells = met.where("gram is not null").select("gram", F.col("a").alias("sid"), F.col("n_a").alias("n"))
-    hot_of = cells.groupBy("sid").agg(F.count(F.lit(1)).alias("hot"))
+    hot_of = stored(cells.groupBy("sid").agg(F.count(F.lit(1)).alias("hot")), "hot-counts")
+    counted = cells.join(hot_of, "sid")
 
     def least(n: str):
         return F.ceil(F.col(n) * NUM / DEN)
@@ -331,9 +374,12 @@ def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def stars(k: int) -> DataFrame:
         """Each hot group's members with the group's k-th pivot."""
-        pivot = cells.groupBy("gram").agg(F.min_by(F.struct("sid", "n"), F.xxhash64("sid", F.lit(k))).alias("p"))
+        # edits take hot grams away: a set with many of them is like most of its group
+        first = F.when(F.lit(k == 0), F.col("hot")).otherwise(0)
+        pivot = counted.groupBy("gram").agg(F.max_by(F.struct("sid", "n"), F.struct(first, F.xxhash64("sid", F.lit(k)))).alias("p"))
         with_pivot = cells.join(pivot, "gram").where((F.col("p.sid") != F.col("sid")) & near(F.col("p.n"), F.col("n")))
-        return with_pivot.select(F.col("p.sid").alias("a"), F.col("sid").alias("b"))
+        met = with_pivot.groupBy(F.col("p.sid").alias("a"), F.col("sid").alias("b")).count()
+        return met.where(F.col("count") >= COMMON).select("a", "b")  # others are left to the comparison below
 
     edges = sure.select("a", "b").unionByName(open_.select("a", "b"))
     for k in range(ROUNDS):
@@ -341,10 +387,13 @@ def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     reps = own.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     reps = stored(reps, "reps")
-    hot_sids = cells.select("sid").distinct()
-    asked = edges.select(F.col("a").alias("sid")).union(edges.select(F.col("b").alias("sid"))).union(hot_sids).distinct()
-    sets = stored(_sets(docs, reps.join(asked, "sid"), levels), "sets")
-    links = stored(_verified(edges, sets), "verified")
+
+    def verify(candidates: DataFrame) -> DataFrame:
+        asked = candidates.select(F.col("a").alias("sid")).union(candidates.select(F.col("b").alias("sid"))).distinct()
+        wanted = stored(reps.join(asked, "sid"), "asked")
+        return stored(_verified(candidates, stored(_sets(docs, wanted, levels), "sets")), "verified")
+
+    links = verify(edges)
 
     roots = components(links)
     group = cells.join(roots, cells["sid"] == roots["node"], "left").select("gram", "sid", "n", F.coalesce("root", "sid").alias("root"))
@@ -359,7 +408,7 @@ def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rest = rest.join(small, ["a", "b"], "left").where(F.col("hot") + F.coalesce("shared", F.lit(0)) >= F.least(F.lit(COMMON), least("n_a"), least("n_b")))
     rest = stored(rest.select("a", "b").join(edges, ["a", "b"], "left_anti"), "rest")
     if rest.take(1):
-        links = links.unionByName(stored(_verified(rest, sets), "verified-rest"))
+        links = links.unionByName(verify(rest))
     return own, links
 
 
