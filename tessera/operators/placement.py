@@ -69,3 +69,26 @@ def layout_hash(objects: DataFrame, chunks: DataFrame) -> DataFrame:
 def status_code(error: Column) -> Column:
     """Errors as status codes; whatever else is internal."""
     return F.when(error == "not_found", "NOT_FOUND").when(error == "already_exists", "ALREADY_EXISTS").when(error == "invalid_argument", "INVALID_ARGUMENT").when(error.isNull(), "OK").otherwise("INTERNAL")
+
+
+def chunk_write(expected: Column, actual: Column) -> Column:
+    """A chunk's length must be the expected one, where that isn't 0."""
+    return F.when((expected > 0) & (expected != actual), "length_mismatch").otherwise("ok")
+
+
+def rebuilt_layout(descriptors: DataFrame, devices: int) -> DataFrame:
+    """descriptors (namespace, object_key, object_generation, layout_version, size, is_striped, stripe_count,
+    chunk_size) -> status, and for valid ones the device and path of each stripe, as they were written."""
+    from tessera.functions import keys, routing
+
+    bad = (F.col("object_generation") <= 0) | (F.col("layout_version") <= 0)
+    lacks = F.col("is_striped") & ((F.col("stripe_count") <= 0) | (F.col("chunk_size") <= 0))
+    rows = descriptors.withColumn("status", F.when(bad, "bad_version").when(lacks, "no_layout").otherwise("ok"))
+    rows = rows.withColumn("home", xxh3.xxh3_mod(keys.canonical_key(F.col("namespace"), F.col("object_key")), devices))
+    n = F.when(F.col("status") != "ok", 0).when(F.col("is_striped"), F.col("stripe_count")).otherwise(1)
+    rows = rows.withColumn("stripe_index", F.explode_outer(F.when(n > 0, F.sequence(F.lit(0), n - 1))))
+    device = routing.chunk_device(F.col("home"), F.col("stripe_index"), devices)
+    root, ns, key = F.concat(F.lit("/dev"), device.cast("string")), F.col("namespace"), F.col("object_key")
+    g, v = F.col("object_generation"), F.col("layout_version")
+    path = F.when(F.col("is_striped"), keys.versioned_path(root, ns, key, g, v, F.col("stripe_index"))).otherwise(keys.versioned_path(root, ns, key, g, v))
+    return rows.select("namespace", "object_key", "status", "stripe_index", F.when(F.col("stripe_index").isNotNull(), device).alias("device"), F.when(F.col("stripe_index").isNotNull(), path).alias("path"))

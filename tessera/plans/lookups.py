@@ -24,7 +24,7 @@ def _orders(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("value"), (F.col("o_custkey") % 3).alias("tier"), (F.col("o_custkey") % 4).alias("child"))
 
 
-@query("JOIN-01 PYC-01 API-01 NAT-03", f"WITH {ORDERS} SELECT key, value FROM o WHERE key % 100 = 1")
+@query("JOIN-01 PYC-01 API-01 NAT-03 SRC-01 SRC-06", f"WITH {ORDERS} SELECT key, value FROM o WHERE key % 100 = 1")
 def point_lookup(spark, d):
     return lookup.get(_orders(spark, d).where("key % 100 = 1").select("key", "value"), _orders(spark, d).select("key"), ["key"])
 
@@ -70,7 +70,7 @@ def verified_objects(spark, d):
 DESC = """dsc AS (SELECT doc_id, size, doc_id % 7 AS g FROM obj)"""
 
 
-@query("PRD-07 PRD-09 PRD-10 MEM-02 RDM-05 API-06", f"""WITH {OBJ}, {DESC} SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'changed' WHEN doc_id % 5 = 0 THEN 'layout_only' ELSE 'same' END AS identity, doc_id % 11 = 0 OR doc_id % 5 = 0 AS stale FROM dsc""")
+@query("PRD-07 PRD-09 PRD-10 MEM-02 RDM-05 API-06 PYC-03", f"""WITH {OBJ}, {DESC} SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'changed' WHEN doc_id % 5 = 0 THEN 'layout_only' ELSE 'same' END AS identity, doc_id % 11 = 0 OR doc_id % 5 = 0 AS stale FROM dsc""")
 def descriptor_identity(spark, d):
     o = objects(spark, d)
     side = lambda generation, layout: F.struct(F.lit("h").alias("object_handle"), generation.alias("object_generation"), F.lit("e").alias("content_etag"), layout.alias("layout_version"), F.col("size"))

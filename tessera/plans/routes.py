@@ -159,3 +159,19 @@ def stripe_plan(spark, d):
     o = objects(spark, d).select(F.col("doc_id").alias("key"), "size")
     s = striping.stripes(o, 512)
     return s.groupBy(F.col("key").alias("doc_id")).agg(F.min("length").alias("min_len"), F.max("length").alias("max_len"), F.count(F.lit(1)).alias("n"), F.sum(numeric.align_up(F.col("length"), 4096)).cast("long").alias("aligned"))
+
+
+@query("STG-07 API-07 API-08", "SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 3 > 0 AND (l_suppkey % 3) * 10 <> l_quantity::INT % 3 * 10 THEN 'length_mismatch' ELSE 'ok' END AS status FROM lineitem")
+def placement_chunk_writes(spark, d):
+    t = table(spark, d, "lineitem")
+    return t.select("l_orderkey", "l_linenumber", placement.chunk_write(F.col("l_suppkey") % 3 * 10, F.col("l_quantity").cast("int") % 3 * 10).alias("status"))
+
+
+@query("RDM-04")
+def rebuilt_layouts(spark, d):
+    """Devices come from XXH3, which is in neither engine; tested against the xxhash module."""
+    o = objects(spark, d)
+    striped = F.col("size") > 4096
+    return placement.rebuilt_layout(o.select(
+        "namespace", "object_key", (F.col("doc_id") % 5).alias("object_generation"), F.lit(1).alias("layout_version"), "size", striped.alias("is_striped"),
+        F.when(striped & (F.col("doc_id") % 7 != 0), F.ceil(F.col("size") / 1024)).otherwise(0).cast("int").alias("stripe_count"), F.lit(1024).alias("chunk_size")), 4)

@@ -81,3 +81,17 @@ def test_stripes_and_chunks(spark):
     assert one(spark, routing.byte_chunks(F.lit(""), 4))[0] == [b""]
     assert one(spark, routing.partition_counts(F.lit(13), 4))[0] == [4, 3, 3, 3]
     assert one(spark, routing.partition_counts(F.lit(2), 4))[0] == [1, 1, 0, 0]
+
+
+def test_rebuilt_layout(spark):
+    from tessera.operators import placement
+
+    rows = [("n", "k", 2, 1, 3000, True, 3, 1024), ("n", "one", 1, 1, 10, False, 0, 0), ("n", "old", 0, 1, 10, False, 0, 0), ("n", "none", 1, 1, 9000, True, 0, 1024)]
+    df = spark.createDataFrame(rows, "namespace string, object_key string, object_generation long, layout_version long, size long, is_striped boolean, stripe_count int, chunk_size long")
+    got = {}
+    for r in placement.rebuilt_layout(df, 4).collect():
+        got.setdefault(r["object_key"], []).append((r["status"], r["stripe_index"], r["device"], r["path"]))
+    home = xxhash.xxh3_64_intdigest(b"1:nk") % 4
+    h = hashlib.md5(b"1:nk").hexdigest()
+    assert sorted(got["k"]) == [("ok", i, (home + i) % 4, f"/dev{(home + i) % 4}/data/n/{h[:2]}/{h[2:4]}/{h[4:]}.g2.l1.chunk{i}.bin") for i in range(3)]
+    assert [x[0] for x in got["one"]] == ["ok"] and got["old"] == [("bad_version", None, None, None)] and got["none"] == [("no_layout", None, None, None)]
