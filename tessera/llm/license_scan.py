@@ -2,7 +2,7 @@
 
 Templates and texts are word sequences, lower-cased and without punctuation. Hashes of GRAM words are
 winnowed: of every WINDOW neighbouring grams the least is a fingerprint, so a common run of
-GRAM + WINDOW - 1 words has a common one. The templates' fingerprints form an inverted index, as small
+GRAM + WINDOW - 1 words has a common one; templates shorter than that are looked up by all grams. The templates' fingerprints form an inverted index, as small
 as the templates and broadcast. Each text's fingerprints are looked up; hits on neighbouring
 diagonals give one alignment of the template against that part of the text, within a band. A match
 has its share of the template's words and its place in the text, in characters.
@@ -44,7 +44,8 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
-    "all-rights-reserved": "All rights reserved. No part of this publication may be reproduced without permission.",
+    "rights-reserved": "All rights reserved.",
+    "rights-reserved-long": "All rights reserved. No part of this publication may be reproduced without permission.",
 }
 
 
@@ -92,12 +93,18 @@ class Index:
         self.names = sorted(templates)
         self.codes = [(c := words.of(templates[n].split()))[c != 0] for n in self.names]
         entries = sorted((int(h), k, int(at)) for k, c in enumerate(self.codes) for at, h in zip(*fingerprints(c), strict=True))
+        # templates too short to share a window for certain: all grams of a text are held against theirs
+        short = [grams(c) for c in self.codes if len(c) < GRAM + WINDOW - 1]
+        self.short = np.unique(np.concatenate([np.zeros(0, np.uint64), *short]))
         self.hashes = np.array([e[0] for e in entries], np.uint64)
         self.owner, self.at = np.array([e[1] for e in entries]), np.array([e[2] for e in entries])
 
     def candidates(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
         """(template, first diagonal, last diagonal): hits within BAND of each other are one candidate."""
         at, h = fingerprints(codes)
+        every = grams(codes)
+        own = np.flatnonzero(np.isin(every, self.short))
+        at, h = np.concatenate([at, own]), np.concatenate([h, every[own]])
         lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
         some = np.flatnonzero(hi > lo)
         hits = sorted({(int(self.owner[e]), int(at[i]) - int(self.at[e])) for i in some.tolist() for e in range(lo[i], hi[i])})

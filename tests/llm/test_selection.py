@@ -91,6 +91,15 @@ def test_licenses(spark, none):
     assert license_scan.scan(spark, none).count() == 0
 
 
+def test_short_notices_are_found_anywhere():
+    index, words = license_scan.Index(license_scan.TEMPLATES), license_scan.Words()
+    rng = random.Random(8)
+    for _ in range(200):
+        around = [" ".join("".join(rng.choice("abcdef") for _ in range(4)) for _ in range(rng.randrange(12))) for _ in range(2)]
+        text = f"{around[0]} All rights reserved. {around[1]}"
+        assert [(m[0], text[m[2] : m[3]]) for m in license_scan.matches(index, words, text)] == [("rights-reserved", "All rights reserved.")]
+
+
 def test_alignment_equals_longest_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
