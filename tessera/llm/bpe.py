@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 NEVER = 1 << 60
 #: Words and transitions that a worker keeps, and the longest word kept; a full table is emptied.
-WORDS_KEPT, ARCS_KEPT, WORD_BYTES = 300_000, 1_000_000, 64
+WORDS_KEPT, ARCS_KEPT, WORD_BYTES = 250_000, 300_000, 64
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The same pattern for ASCII text, in characters.
 SPLIT_ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\s0-9A-Za-z]+|\s+(?!\S)|\s+"

@@ -15,6 +15,8 @@ to learn from, every text is `und`; ties go to the label first in order.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +27,7 @@ BITS, PER_LANG, TRAIN_CHARS = 17, 400, 3000
 STEPS, BATCH, LENGTH, RATE, SEED = 150, 64, 48, 0.5, 7
 WIDTH = 32  # bytes of a word that are looked at: its first and last 16 if longer
 PREFIXES, SUFFIXES = (1, 2, 3, 4), (1, 2, 3, 4, 5)
-WORDS_KEPT, CHUNK_WORDS = 1_000_000, 2_000_000
+WORDS_KEPT, CHUNK_WORDS = 300_000, 500_000
 PUNCTUATION = ".,;:!?|\"'()[]{}*&%$#-_<>/\\«»¡¿"
 
 
@@ -227,7 +229,7 @@ class _Worker:
             self.letters[begin:end] = [any(map(str.isalpha, w)) for w in new]
         return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
 
-    def posteriors(self, texts: list[str | None]):
+    def posteriors(self, texts: Iterable[str | None]):
         """(index of the text, its words, posteriors of words, which have letters), in chunks of bounded size."""
         chunk, size = [], 0
         for i, text in enumerate(texts):
@@ -275,7 +277,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
             n = batch.num_rows
             pred, score = [UND] * n, [0.0] * n
             if held.value.labels:
-                for i, _, post, letters in worker.posteriors(batch.column(2).to_pylist()):
+                for i, _, post, letters in worker.posteriors(x.as_py() for x in batch.column(2)):
                     pred[i], score[i] = _decide(held.value, post, letters)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -291,7 +293,7 @@ def label_words(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame
         worker = _Worker(held.value)
         for batch in batches:
             out: list[list[tuple]] = [[] for _ in range(batch.num_rows)]
-            for i, _, post, letters in worker.posteriors(batch.column(1).to_pylist()):
+            for i, _, post, letters in worker.posteriors(x.as_py() for x in batch.column(1)):
                 best = post.argmax(axis=1)
                 cut = np.flatnonzero(np.diff(best)) + 1
                 out[i] = [{"lang": held.value.labels[best[a]], "first": int(a), "end": int(b)} for a, b in zip([0, *cut], [*cut, len(best)], strict=True)] if letters.any() else []
@@ -310,7 +312,7 @@ def keep_known(spark: SparkSession, docs: DataFrame, model: Model, least_score:
         worker = _Worker(held.value)
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            for i, _, post, letters in worker.posteriors(batch.column(place).to_pylist()):
+            for i, _, post, letters in worker.posteriors(x.as_py() for x in batch.column(place)):
                 lang, score = _decide(held.value, post, letters)
                 keep[i] = lang != UND and score >= least_score
             yield batch.filter(pa.array(keep))

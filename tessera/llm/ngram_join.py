@@ -38,7 +38,7 @@ from .components import components
 GRAM, NUM, DEN = 5, 80, 100
 SKETCH_BITS, SKETCH_ROWS, FILTER_BITS = 20, 64, 26
 COMMON, SMALL, ROUNDS = 12, 32, 2
-WORDS_KEPT, PAIRS_KEPT, BLOCK, DENSE, COUNTED = 500_000, 300_000, 256, 32, 6_000_000
+WORDS_KEPT, PAIRS_KEPT, BLOCK, DENSE, COUNTED = 250_000, 300_000, 256, 32, 4_000_000
 #: Odd multipliers of the hash of a word sequence.
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 LEVEL_BITS = 7
