@@ -315,7 +315,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, levels) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ordered(shingler.hashes(t.as_py()), levels.value).tobytes() for t in batch.column(1)], pa.binary())], ["sid", "grams"])
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("sid", "text")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id").select("sid", "text")
     return chosen.mapInArrow(run, "sid long, grams binary")  # repeated rows give a set again
 
 
