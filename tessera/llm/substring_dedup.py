@@ -37,7 +37,7 @@ from .induced_sort import sort_suffixes
 
 SPAN, GRAM = 50, 16
 WINDOW = SPAN - GRAM + 1
-CHUNK, SHARD, COVERS_KEPT = 4 << 20, 8 << 20, 500_000
+CHUNK, SHARD, COVERS_KEPT = 2 << 20, 2 << 20, 300_000
 _RANDOM = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -317,11 +317,14 @@ def find_repeats(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataF
     """(keyed rows, cut texts): cut texts hold n_removed, n_spans, kept_sha256 and kept for the keys that
     lose bytes otherwise than as copies."""
     keyed = _keyed(docs)
-    special = keyed.where("copy or key <> doc_id").select("doc_id", "digest", "copy", "key").distinct()
-    special = stored(special, "special-rows")
     raw = docs.where("doc_id is not null and octet_length(text) >= 50").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    raw = raw.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256)).join(special, ["doc_id", "digest"], "left")
-    raw = raw.where("copy is null or not copy").select(F.coalesce("key", "doc_id").alias("key"), "doc_id", "text")
+    if keyed.where("key <> doc_id").take(1):
+        special = stored(keyed.where("copy or key <> doc_id").select("doc_id", "digest", "copy", "key").distinct(), "special-rows")
+        raw = raw.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256)).join(special, ["doc_id", "digest"], "left")
+        raw = raw.where("copy is null or not copy").select(F.coalesce("key", "doc_id").alias("key"), "doc_id", "text")
+    else:  # each doc_id has one text
+        copies = stored(keyed.where("copy").select("doc_id").distinct(), "copies")
+        raw = raw.join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("key"), "doc_id", "text")
     lists = stored(_shared_anchors(raw), "shared-anchors").groupBy("key").agg(F.collect_set("hash").alias("hashes"))
     held = stored(raw.join(lists, "key"), "texts-with-shared-anchors")
     covers = stored(_covers(held), "covers")
