@@ -7,18 +7,21 @@ A finished template is blocked if its share of bad pages, smoothed by the share
 exceeds a threshold. Everything is DataFrame operations; joins are on (host, template) between
 stored tables, so that Spark can split a host that holds much of the data.
 
-Defined results: a url that is null or lacks `://` has empty host and path; paths deeper than DEPTH
-end in one segment `**`; several labels for one page count one by one; repeated pages count each.
+Defined results: a url that is null or lacks `://` has empty host and path; paths count to their last
+segment, however deep; several labels for one page count one by one; repeated pages count each.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import stored
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+#: Levels that oracle() writes out; the tree itself has as many as the deepest path.
 DEPTH = 4
 #: Standard deviations within which a branch counts as similar; pseudo-labels; highest share of bad pages.
 Z, PSEUDO, MOST_BAD = 2.0, 10.0, 0.4
@@ -46,29 +49,40 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def template(path: Column) -> Column:
-    """The path's segments as an array, variable ones as `*` with their suffix, DEPTH + 1 at most."""
+    """The path's segments as an array, variable ones as `*` with their suffix."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    parts = F.transform(parts, lambda x: F.regexp_replace(x, VARIABLE, "*$2"))
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
+    return F.transform(parts, lambda x: F.regexp_replace(x, VARIABLE, "*$2"))
 
 
 def tree(raw: DataFrame) -> DataFrame:
-    """host, t (array), n, lab, bad for each distinct template -> host, t, merged."""
+    """host, t (array), n, lab, bad for each distinct template -> host, t, n, lab, bad, merged. A level
+    takes the rows that still have a segment; the last is the one that leaves none. A row that is alone
+    below its branch has no siblings at any deeper level, so the rest of its path is taken as it is."""
     rows = raw.withColumn("merged", F.lit(""))
-    for k in range(1, DEPTH + 2):
-        seg = F.get(F.col("t"), F.lit(k - 1))
-        rows = stored(rows.withColumn("seg", seg), f"tree-{k}")
-        child = rows.where("seg is not null").groupBy("host", "merged", "seg").agg(F.sum("lab").alias("clab"), F.sum("bad").alias("cbad"))
-        parent = child.groupBy("host", "merged").agg(((F.sum("cbad") + 0.5) / (F.sum("clab") + 1.0)).alias("rate"))
+    done = []
+    k = 0
+    while True:
+        ended = F.size("t") <= k
+        done.append(rows.where(ended))
+        rows = rows.where(~ended)
+        if rows.isEmpty():
+            break
+        k += 1
+        rows = stored(rows.withColumn("seg", F.get(F.col("t"), F.lit(k - 1))), f"tree-{k}")
+        child = rows.groupBy("host", "merged", "seg").agg(F.sum("lab").alias("clab"), F.sum("bad").alias("cbad"), F.count(F.lit(1)).alias("held"))
+        parent = child.groupBy("host", "merged").agg(((F.sum("cbad") + 0.5) / (F.sum("clab") + 1.0)).alias("rate"), (F.sum("held") == 1).alias("alone"))
         judged = stored(child.join(parent, ["host", "merged"]), "tree-children")
         near = F.abs(F.col("cbad") - F.col("clab") * F.col("rate")) <= Z * F.sqrt(F.col("clab") * F.col("rate") * (1 - F.col("rate")) + 0.25)
-        judged = judged.select("host", "merged", "seg", near.alias("near"))
+        judged = judged.select("host", "merged", "seg", "alone", near.alias("near"))
         many = judged.where("near").groupBy("host", "merged").agg((F.count(F.lit(1)) > 1).alias("many"))
         step = judged.join(many, ["host", "merged"], "left")
-        step = stored(step.select("host", "merged", "seg", F.when(F.col("near") & F.col("many"), "*").otherwise(F.col("seg")).alias("as")), "tree-step")
-        rows = rows.join(step, ["host", "merged", "seg"], "left").select(
-            "host", "t", "n", "lab", "bad", F.when(F.col("as").isNull(), F.col("merged")).otherwise(F.concat("merged", F.lit("/"), "as")).alias("merged"))
-    return rows
+        step = stored(step.select("host", "merged", "seg", "alone", F.when(F.col("near") & F.col("many"), "*").otherwise(F.col("seg")).alias("as")), "tree-step")
+        rest = F.array_join(F.slice("t", F.lit(k), F.size("t")), "/")
+        rows = stored(rows.join(step, ["host", "merged", "seg"]).select(
+            "host", "t", "n", "lab", "bad", "alone", F.concat("merged", F.lit("/"), F.when(F.col("alone"), rest).otherwise(F.col("as"))).alias("merged")), f"tree-merged-{k}")
+        done.append(rows.where("alone").drop("alone"))
+        rows = rows.where("not alone").drop("alone")
+    return reduce(DataFrame.unionByName, done)
 
 
 def judge(spark: SparkSession, pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:

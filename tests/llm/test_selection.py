@@ -3,6 +3,7 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from brute import SCHEMA, WORD, rows, texts
@@ -76,6 +77,34 @@ def test_bad_branch_is_blocked_and_similar_ones_merge(spark):
     assert url_filter.judge(spark, spark.createDataFrame([], "page_id long, url string"), labels(spark)).count() == 0
 
 
+def test_deep_segments_tell_branches_apart(spark, tmp_path, monkeypatch):
+    """Branches that differ from the fifth segment on, of several depths; SQL with as many levels agrees."""
+    rng = random.Random(4)
+    pages, known = [], []
+    for i in range(800):
+        branch = ("spam", "good", "fine", "spam/x/y/z")[i % 4]
+        pages.append((i, f"http://h.net/a/b/c/d/{branch}/{i}"))
+        known.append((i, int(rng.random() > (0.95 if branch.startswith("spam") else 0.05)), 0))
+    pages += [(900, "http://one.net" + "/s" * 40), (901, "http://h.net/a/b/c/d"), (902, "http://h.net"), (903, None)]
+    pages += [(1000 + i, "http://r.net/" + "/".join(rng.choice("ab") for _ in range(rng.randrange(9))) + f"/{i}") for i in range(400)]
+    known += [(i, rng.randrange(2), 0) for i in range(300)]
+    tables = {"pages": spark.createDataFrame(pages, "page_id long, url string"), "labels": labels(spark, known)}
+    judged = url_filter.judge(spark, tables["pages"], tables["labels"]).cache()
+    got = {r["page_id"]: r for r in judged.collect()}
+    assert len(got) == len(pages)
+    assert all(got[i]["verdict"] == ("block" if i % 4 in (0, 3) else "allow") for i in range(800))
+    assert got[900]["template"] == "/s" * 40 and got[902]["template"] == ""
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/raw/{name}")
+        next((tmp_path / "raw" / name).glob("*.parquet")).rename(tmp_path / f"{name}.parquet")
+    monkeypatch.setattr(url_filter, "DEPTH", 40)
+    con = duckdb.connect()
+    for name in tables:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet')")
+    expected = con.execute(url_filter.oracle()).fetchall()
+    assert sorted(map(tuple, judged.select("page_id", "host", "path", "rule", "verdict").collect()), key=repr) == sorted(expected, key=repr)
+
+
 def test_licenses(spark, none):
     mit = license_scan.TEMPLATES["MIT-grant"]
     w = mit.split()
