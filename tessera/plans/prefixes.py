@@ -92,8 +92,9 @@ def probe_and_promote(spark, d):
 BLOCK_IDS = "bid AS (SELECT *, list_transform(range(least(n_tokens // 4, 3)), lambda i: i * 2 + conv_id) AS block_ids FROM lp)"
 
 
-def _allocated(m):
-    n = F.least(F.floor(F.col("n_tokens") / 4), F.lit(3)).cast("int")
+def _allocated(m, short="false"):
+    """A block id for every block of a request, the last begun one included; for short requests one less than they need."""
+    n = F.when(F.expr(short), F.floor(F.col("n_tokens") / BLOCK) - 1).otherwise(F.ceil(F.col("n_tokens") / BLOCK)).cast("int")
     return m.select("request", F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: i * 2 + F.col("conv_id"))).otherwise(F.array().cast("array<bigint>")).alias("block_ids"))
 
 
@@ -107,7 +108,7 @@ def load_specs(spark, d):
 @query("JOIN-09 CON-10", f"WITH {REQ}, {BLK}, {KNOWN}, {MATCH}, {BLOCK_IDS} SELECT request, n_tokens // 4 AS need, len(block_ids) < n_tokens // 4 AS deferred FROM bid WHERE n_tokens // 4 > 0 AND matched < n_tokens // 4 * 4")
 def store_specs(spark, d):
     m = _matches(spark, d)
-    return lookup.store_specs(m, _allocated(m), BLOCK)
+    return lookup.store_specs(m, _allocated(m, "conv_id % 5 = 4 and turn % 2 = 1"), BLOCK)
 
 
 @query("PFX-10", """WITH e AS (SELECT user_id AS request, event_id AS seq, CASE event_type WHEN 'signup' THEN 'new' WHEN 'purchase' THEN 'resumed' ELSE 'cached' END AS kind FROM events),
@@ -125,5 +126,6 @@ def accumulated_blocks(spark, d):
 @query("KEY-18 CON-10", f"WITH {REQ}, p AS (SELECT request, least(len(tokens), 12) AS n, unnest(range(3)) AS b, conv_id FROM req) SELECT request, b * 4 + o AS pos, ((conv_id + b * 3) * 4 + o)::BIGINT AS slot FROM p, (SELECT unnest(range(4)) AS o) WHERE b * 4 + o < n")
 def slot_mapping(spark, d):
     r = requests(spark, d)
-    rows = r.select("request", F.least(F.size("tokens"), F.lit(12)).alias("n"), F.array(*(F.col("conv_id") + 3 * b for b in range(3))).alias("block_ids"))
-    return striping.slots(rows, 4)
+    n = F.size("tokens")
+    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.ceil(n / BLOCK).cast("int") - 1), lambda b: F.col("conv_id") + 3 * b)).otherwise(F.array().cast("array<bigint>"))
+    return striping.slots(r.select("request", n.alias("n"), blocks.alias("block_ids")), BLOCK)
