@@ -68,7 +68,7 @@ def local_nodes(spark, d):
 @query("SRC-12", """WITH v AS (SELECT n_nationkey, hex(n_name) AS h FROM nation) SELECT lower(hex(n_nationkey::VARCHAR)) AS file, h[1:4] || '5858' || h[9:] || (CASE WHEN len(h) < 20 THEN repeat('0', 20 - len(h)) ELSE '' END) AS data FROM v WHERE len(h) <= 20""")
 def positional_writes(spark, d):
     """XX at byte 2 of each name, and an empty write at byte 10 that extends shorter ones by zero bytes."""
-    n = table(spark, d, "nation").where(F.octet_length("n_name") <= 10)
+    n = table(spark, d, "nation")
     k = F.col("n_nationkey").cast("string")
     values = n.select(k.alias("key"), F.col("n_name").cast("binary").alias("data"))
     first = n.select(k.alias("key"), F.lit(1).cast("long").alias("seq"), F.lit(2).cast("long").alias("at"), F.lit("XX").cast("binary").alias("data"))

@@ -70,8 +70,9 @@ def compare_and_delete_outcome(spark, d):
 
 @query("MUT-07 MUT-10 API-09 PLC-04 MEM-05 SRC-02", "SELECT c_custkey AS key, c_custkey IN (SELECT o_custkey FROM orders) AS existed FROM customer WHERE c_custkey % 2 = 0")
 def deleted_objects(spark, d):
-    keys = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"))
-    return ops.delete(_puts(spark, d), keys)[1]
+    """All customers are deleted, and for each seventh a shifted key that isn't there."""
+    keys = table(spark, d, "customer").select(F.col("c_custkey").alias("key"))
+    return ops.delete(_puts(spark, d), keys.unionByName(keys.where("key % 7 = 0").select((F.col("key") + 100_000_000).alias("key"))))[1]
 
 
 @query("MUT-13 API-06", f"WITH {PUT}, {DONE}, pin AS (SELECT key, generation FROM done WHERE stored AND generation = 1) SELECT pin.key, pin.generation, done.seq, done.value FROM pin JOIN done ON done.key = pin.key AND done.generation = pin.generation")
