@@ -1,11 +1,13 @@
-"""License scan: winnowed fingerprints find candidates, banded alignment confirms them.
+"""License scan: shared grams and dense stretches of words find candidates, banded alignment confirms them.
 
-Templates and texts are word sequences, lower-cased and without punctuation. Hashes of GRAM words are
-winnowed: of every WINDOW neighbouring grams the least is a fingerprint, so a common run of
-GRAM + WINDOW - 1 words has a common one; templates shorter than that are looked up by all grams. The templates' fingerprints form an inverted index, as small
-as the templates and broadcast. Each text's fingerprints are looked up; hits on neighbouring
-diagonals give one alignment of the template against that part of the text, within a band. A match
-has its share of the template's words and its place in the text, in characters.
+Templates and texts are word sequences, lower-cased and without punctuation. All grams of GRAM words
+of the templates form an inverted index, as small as the templates and broadcast; all grams of a text
+are looked up. Hits of one template whose diagonals lie within its reach make one candidate: 2 * BAND,
+for long templates their length, 4 * BAND at least, and as much on both sides, so that inserted words,
+such as a holder's name and address, don't split a notice. Changes can also leave no gram whole: stretches of up to one and a half times a template's
+length that hold enough of its words are candidates too. A candidate whose longest common subsequence
+is long enough gives one alignment of the template against that part of the text, within a band. A
+match has its share of the template's words and its place in the text, in characters.
 
 Defined results: null or empty text has no match; a text with the same notice twice has two matches;
 of overlapping matches the one with more matching words stays, then the one with higher coverage,
@@ -14,6 +16,7 @@ then the first in order of name.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -21,7 +24,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-GRAM, WINDOW, BAND, LEAST_COVERAGE = 3, 3, 8, 0.8
+GRAM, BAND, LEAST_COVERAGE = 3, 8, 0.8
+LONG = 16  # words of a template from which on runs of words can be put in
 WORDS_KEPT = 500_000
 EDGES = ".,;:!?|\"'()[]{}<>*&%$#_-/\\`~^=+«»¡¿“”‘’"
 
@@ -72,49 +76,72 @@ def grams(codes: np.ndarray) -> np.ndarray:
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def fingerprints(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the winnowed grams; of equal least grams in a window all count. Fewer grams
-    than a window make one window."""
-    h = grams(codes)
-    if not len(h):
-        return np.zeros(0, np.int64), h
-    w = min(WINDOW, len(h))
-    least = np.lib.stride_tricks.sliding_window_view(h, w).min(axis=1)
-    top = np.full(len(h), 0, np.uint64)  # the largest of the least values of the windows that hold a place
-    for k in range(w):
-        top[k : k + len(least)] = np.maximum(top[k : k + len(least)], least)
-    at = np.flatnonzero(top == h)
-    return at, h[at]
-
-
 class Index:
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, templates: dict[str, str], least: float = LEAST_COVERAGE):
         words = Words()
         self.names = sorted(templates)
         self.codes = [(c := words.of(templates[n].split()))[c != 0] for n in self.names]
-        entries = sorted((int(h), k, int(at)) for k, c in enumerate(self.codes) for at, h in zip(*fingerprints(c), strict=True))
-        # templates too short to share a window for certain: all grams of a text are held against theirs
-        short = [grams(c) for c in self.codes if len(c) < GRAM + WINDOW - 1]
-        self.short = np.unique(np.concatenate([np.zeros(0, np.uint64), *short]))
+        entries = sorted((int(h), k, at) for k, c in enumerate(self.codes) for at, h in enumerate(grams(c)))
         self.hashes = np.array([e[0] for e in entries], np.uint64)
         self.owner, self.at = np.array([e[1] for e in entries]), np.array([e[2] for e in entries])
+        self.need = [max(GRAM, math.ceil(least * len(c) - 1e-9)) for c in self.codes]
+        self.spans = [len(c) + len(c) // 2 for c in self.codes]
+        # per template the places of each word as bits; per word the templates that hold it
+        self.bits: list[dict[int, int]] = [{} for _ in self.codes]
+        for held, c in zip(self.bits, self.codes, strict=True):
+            for i, w in enumerate(c.tolist()):
+                held[w] = held.get(w, 0) | 1 << i
+        self.vocabulary = np.unique(np.concatenate([np.zeros(1, np.uint64), *self.codes]))  # 0 stands for none
+        self.holds = np.stack([np.isin(self.vocabulary, c) for c in self.codes], axis=1) if self.codes else np.zeros((1, 0), bool)
+
+    def common(self, owner: int, codes: np.ndarray) -> int:
+        """Length of the longest common subsequence of a template and codes."""
+        bits, n = self.bits[owner], len(self.codes[owner])
+        full = v = (1 << n) - 1
+        for c in codes.tolist():
+            if m := bits.get(c):
+                u = v & m
+                v = ((v + u) | (v - u)) & full
+        return n - v.bit_count()
 
     def candidates(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
-        """(template, first diagonal, last diagonal): hits within BAND of each other are one candidate."""
-        at, h = fingerprints(codes)
-        every = grams(codes)
-        own = np.flatnonzero(np.isin(every, self.short))
-        at, h = np.concatenate([at, own]), np.concatenate([h, every[own]])
+        """(template, first diagonal, last diagonal): hits of one template within its reach are one candidate,
+        widened by it for long templates; each longest set of hits is one, so sets can overlap."""
+        h = grams(codes)
         lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
         some = np.flatnonzero(hi > lo)
-        hits = sorted({(int(self.owner[e]), int(at[i]) - int(self.at[e])) for i in some.tolist() for e in range(lo[i], hi[i])})
-        out: list[list[int]] = []
-        for owner, diagonal in hits:
-            if out and out[-1][0] == owner and diagonal - out[-1][2] <= BAND and diagonal - out[-1][1] <= 2 * BAND:
-                out[-1][2] = diagonal
-            else:
-                out.append([owner, diagonal, diagonal])
-        return [tuple(x) for x in out]
+        hits = sorted({(int(self.owner[e]), int(i) - int(self.at[e])) for i in some.tolist() for e in range(lo[i], hi[i])})
+        out: list[tuple[int, int, int]] = []
+        end = 0
+        for k, (owner, diagonal) in enumerate(hits):
+            n, before = len(self.codes[owner]), end
+            reach = 2 * BAND if n < LONG else max(4 * BAND, n)
+            wider = 0 if n < LONG else reach - BAND
+            end = max(end, k)
+            while end < len(hits) and hits[end][0] == owner and hits[end][1] - diagonal <= reach:
+                end += 1
+            if end > before:
+                out.append((owner, diagonal - wider, hits[end - 1][1] + wider))
+        return out
+
+    def dense(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
+        """(template, first and end word): pieces of the text such that each stretch of a template's span
+        that holds as many of its words as a match needs lies in one piece."""
+        at = np.searchsorted(self.vocabulary, codes)
+        at[at == len(self.vocabulary)] = 0
+        at[self.vocabulary[at] != codes] = 0
+        held = self.holds[at]
+        out = []
+        for owner in np.flatnonzero(held.sum(axis=0) >= self.need).tolist():
+            span = self.spans[owner]
+            total = np.concatenate([[0], np.cumsum(held[:, owner])])
+            starts = np.arange(max(1, len(codes) - span + 1))
+            full = np.flatnonzero(total[np.minimum(starts + span, len(codes))] - total[starts] >= self.need[owner])
+            while len(full):
+                first = int(full[0])
+                full = full[np.searchsorted(full, first + span, "right") :]
+                out.append((owner, first, min(len(codes), first + 2 * span)))
+        return out
 
 
 def align(template: np.ndarray, codes: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
@@ -150,15 +177,35 @@ def matches(index: Index, words: Words, text: str | None, least: float = LEAST_C
     codes = words.of(plain)
     kept = np.flatnonzero(codes)
     codes = codes[kept]
-    found = []
-    for owner, low, high in index.candidates(codes):
-        template, rest = index.codes[owner], codes.copy()
-        while True:  # a candidate can hold a notice several times
-            n, first, end = align(template, rest, low, high)
-            if n < least * len(template) or n < GRAM:
+    found: list[tuple] = []
+    free: dict[int, np.ndarray] = {}  # the text without what was found of a template
+
+    def look(owner: int, rest: np.ndarray, first: int, end: int, low: int, high: int) -> None:
+        template, first = index.codes[owner], max(0, first)
+        while index.common(owner, rest[first:end]) >= need[owner]:  # a candidate can hold a notice several times
+            n, start, stop = align(template, rest, low, high)
+            if n < need[owner]:
                 break
-            found.append((-n, -n / len(template), index.names[owner], int(kept[first]), int(kept[end - 1]) + 1))
-            rest[first:end] = 0
+            found.append((-n, -n / len(template), index.names[owner], int(kept[start]), int(kept[stop - 1]) + 1))
+            rest[start:stop] = 0
+            if owner not in free:
+                free[owner] = codes.copy()
+            free[owner][start:stop] = 0
+
+    need = [max(GRAM, math.ceil(least * len(c) - 1e-9)) for c in index.codes]
+    for owner, low, high in index.candidates(codes):
+        first, end = low - BAND, high + BAND + len(index.codes[owner])
+        part = codes.copy() if index.common(owner, codes[max(0, first) : end]) >= need[owner] else None
+        if part is not None:
+            look(owner, part, first, end, low, high)
+    for owner, first, end in index.dense(codes):
+        rest = free.get(owner, codes)
+        if index.common(owner, rest[first:end]) >= need[owner]:
+            # all diagonals of this piece; align() widens them by BAND
+            miss = len(index.codes[owner]) - need[owner]
+            part = np.zeros_like(rest)
+            part[first:end] = rest[first:end]
+            look(owner, part, first, end, first - miss + BAND, end - need[owner] - BAND)
     if not found:
         return []
     places = [m.span() for m in re.finditer(r"\S+", text)]
@@ -172,7 +219,7 @@ def matches(index: Index, words: Words, text: str | None, least: float = LEAST_C
 
 def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST_COVERAGE) -> DataFrame:
     """doc_id, license, coverage, start, stop: a row for each match."""
-    held = spark.sparkContext.broadcast(Index(templates or TEMPLATES))  # as large as the templates
+    held = spark.sparkContext.broadcast(Index(templates or TEMPLATES, least))  # as large as the templates
 
     def run(batches):
         words = Words()

@@ -129,6 +129,44 @@ def test_short_notices_are_found_anywhere():
         assert [(m[0], text[m[2] : m[3]]) for m in license_scan.matches(index, words, text)] == [("rights-reserved", "All rights reserved.")]
 
 
+def _common(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        last = best[:]
+        for j, y in enumerate(b):
+            best[j + 1] = last[j] + 1 if x == y else max(last[j + 1], best[j])
+    return best[-1]
+
+
+def test_every_license_with_planted_edits_is_found():
+    """Whatever full alignment covers to 0.8 or more, with words left out, changed and put in, and an address
+    put into long notices; and nothing that it covers to less."""
+    index, words = license_scan.Index(license_scan.TEMPLATES), license_scan.Words()
+    rng = random.Random(5)
+    odd = lambda: "q" + "".join(rng.choice("xyz") for _ in range(5))
+    for name, template in license_scan.TEMPLATES.items():
+        plain = [x for w in template.split() if (x := w.strip(license_scan.EDGES).lower())]
+        for trial in range(60):
+            kept = list(plain)
+            for i in rng.sample(range(len(kept)), rng.randrange(len(kept) // 4 + 2)):
+                kept[i] = rng.choice(["", odd()])
+            extra = set(rng.sample(range(1, len(kept)), rng.randrange(max(1, len(kept) // 5)))) if len(kept) > 4 else set()
+            if len(plain) > 20 and trial % 3 == 0:
+                at = rng.randrange(8, len(kept) - 8)
+                kept[at] += " " + " ".join(odd() for _ in range(rng.randrange(9, 31)))
+            edited = " ".join(f"{odd()} {w}" if i in extra else w for i, w in enumerate(kept)).split()
+            text = " ".join([odd() for _ in range(rng.randrange(9))] + edited + [odd() for _ in range(9)])
+            got = {m[0]: m[1] for m in license_scan.matches(index, words, text)}
+            covered = _common(plain, edited) / len(plain)
+            if covered >= 0.8:
+                others = {n for n in got if n != name}
+                assert got.get(name) == covered or others, (name, text, covered)
+            else:
+                assert name not in got, (name, text)
+    for text, name in (("Released under MIT License.", "MIT"), ("Licensed under Apache License, Version 2.0", "Apache-2.0")):
+        assert name in {m[0] for m in license_scan.matches(index, words, text)}
+
+
 def test_alignment_equals_longest_common_subsequence():
     rng = random.Random(2)
     for _ in range(200):
