@@ -3,8 +3,10 @@
 A word's features are hashed bytes of its lower-cased form: prefixes, suffixes, trigrams and the
 word itself (the lexicon); their weights and a matrix of transitions between labels are learned
 together from the gradient of the log-likelihood, by forward-backward. Training sequences join
-pieces of documents in several languages, so that switches are seen. A text's language is the label
-with the highest mean posterior over its words with letters, and that mean is its score.
+pieces of documents in several languages, so that switches are seen. Words longer than WIDTH bytes, as
+in text without spaces, are cut into consecutive pieces, and each piece counts as a word of its own. A
+text's language is the label with the highest mean posterior over its words with letters, and that
+mean is its score.
 
 Training takes a bounded sample (PER_LANG documents for each label, TRAIN_CHARS of each) to the
 driver; the model of 2 ** BITS rows is broadcast. Prediction reads whole texts.
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 UND = "und"
 BITS, PER_LANG, TRAIN_CHARS = 17, 400, 3000
 STEPS, BATCH, LENGTH, RATE, SEED = 150, 64, 48, 0.5, 7
-WIDTH = 32  # bytes of a word that are looked at: its first and last 16 if longer
+WIDTH = 32  # bytes of a piece at most
 PREFIXES, SUFFIXES = (1, 2, 3, 4), (1, 2, 3, 4, 5)
 WORDS_KEPT, CHUNK_WORDS = 300_000, 500_000
 PUNCTUATION = ".,;:!?|\"'()[]{}*&%$#-_<>/\\«»¡¿"
@@ -36,13 +38,47 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def cut(word: str) -> list[str]:
+    """Consecutive pieces of WIDTH bytes at most, all of the word; the word itself where it fits."""
+    plain = word.lower().strip(PUNCTUATION)
+    raw = plain.encode()
+    if len(raw) <= WIDTH:
+        return [word]
+    out, at = [], 0
+    while at < len(raw):
+        end = min(at + WIDTH, len(raw))
+        while end < len(raw) and raw[end] & 0xC0 == 0x80:  # not within a character
+            end -= 1
+        out.append(raw[at:end].decode())
+        at = end
+    return out
+
+
+def pieces(text: str) -> tuple[list[str], np.ndarray | None]:
+    """The words of a text, long ones in pieces, and where each word begins among them; None if none is cut."""
+    words = text.split()
+    # a character in lower case has four bytes at most
+    if not words or max(map(len, words)) <= (WIDTH if text.isascii() else WIDTH // 4):
+        return words, None
+    out: list[str] = []
+    starts = []
+    for w in words:
+        starts.append(len(out))
+        if len(w) <= WIDTH // 4 or len(w) <= WIDTH and w.isascii():
+            out.append(w)
+        else:
+            out += cut(w)
+    return out, np.array(starts) if len(out) > len(words) else None
+
+
 def features(words: list[str]) -> np.ndarray:
-    """Rows of W for each word; 0 stands for none."""
+    """Rows of W for each word of WIDTH bytes at most; 0 stands for none."""
     raw = [w.lower().strip(PUNCTUATION).encode() for w in words]
-    raw = [b if len(b) <= WIDTH else b[: WIDTH // 2] + b[-WIDTH // 2 :] for b in raw]
     n = len(raw)
     if not n:
         return np.zeros((0, 1), np.int32)
+    if max(map(len, raw)) > WIDTH:
+        raise ValueError("a word is longer than a piece")
     flat = np.array(raw, dtype=f"S{WIDTH}").view(np.uint8).reshape(n, WIDTH).astype(np.uint32)
     size = np.fromiter(map(len, raw), np.int32, n)
     out = []
@@ -136,7 +172,7 @@ def train(rows: list[tuple[str, str]]) -> Model:
     texts: list[list[np.ndarray]] = [[] for _ in labels]
     ids: dict[str, int] = {}
     for text, label in rows:
-        words = [ids.setdefault(w, len(ids)) for w in text.split() if any(map(str.isalpha, w))]
+        words = [ids.setdefault(w, len(ids)) for w in pieces(text)[0] if any(map(str.isalpha, w))]
         if words:
             texts[labels.index(label)].append(np.array(words))
     usable = [k for k in range(n_labels) if texts[k]]
@@ -230,13 +266,13 @@ class _Worker:
         return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
 
     def posteriors(self, texts: Iterable[str | None]):
-        """(index of the text, its words, posteriors of words, which have letters), in chunks of bounded size."""
+        """(index of the text, where its words begin, posteriors of pieces, which have letters), in chunks of bounded size."""
         chunk, size = [], 0
         for i, text in enumerate(texts):
-            words = text.split() if text else []
+            words, starts = pieces(text) if text else ([], None)
             if not words:
                 continue
-            chunk.append((i, words))
+            chunk.append((i, words, starts))
             size += len(words)
             if size >= CHUNK_WORDS:
                 yield from self._chunk(chunk)
@@ -249,13 +285,13 @@ class _Worker:
         if len(self.rows) > WORDS_KEPT:
             self.empty()
         chunk.sort(key=lambda x: -len(x[1]))
-        lengths = np.array([len(w) for _, w in chunk])
-        at = self.of([w for _, words in chunk for w in words])
+        lengths = np.array([len(words) for _, words, _ in chunk])
+        at = self.of([w for _, words, _ in chunk for w in words])
         post, _ = forward_backward(self.scores[at], lengths, self.model.moves)
         letters = self.letters[at]
         begin = 0
-        for (i, words), n in zip(chunk, lengths, strict=True):
-            yield i, words, post[begin : begin + n], letters[begin : begin + n]
+        for (i, _, starts), n in zip(chunk, lengths, strict=True):
+            yield i, starts, post[begin : begin + n], letters[begin : begin + n]
             begin += n
 
 
@@ -293,10 +329,10 @@ def label_words(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame
         worker = _Worker(held.value)
         for batch in batches:
             out: list[list[tuple]] = [[] for _ in range(batch.num_rows)]
-            for i, _, post, letters in worker.posteriors(x.as_py() for x in batch.column(1)):
-                best = post.argmax(axis=1)
-                cut = np.flatnonzero(np.diff(best)) + 1
-                out[i] = [{"lang": held.value.labels[best[a]], "first": int(a), "end": int(b)} for a, b in zip([0, *cut], [*cut, len(best)], strict=True)] if letters.any() else []
+            for i, starts, post, letters in worker.posteriors(x.as_py() for x in batch.column(1)):
+                best = (post if starts is None else np.add.reduceat(post, starts, axis=0)).argmax(axis=1)  # pieces of a word decide together
+                breaks = np.flatnonzero(np.diff(best)) + 1
+                out[i] = [{"lang": held.value.labels[best[a]], "first": int(a), "end": int(b)} for a, b in zip([0, *breaks], [*breaks, len(best)], strict=True)] if letters.any() else []
             kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "runs"])
 

@@ -208,6 +208,36 @@ def test_languages(spark, none):
     assert language_id.predict(spark, none, language_id.fit(none)).count() == 0
 
 
+def test_text_without_spaces_is_read_whole(spark):
+    """Words of many languages' parts without a space: the ends are of one language, all between of another."""
+    data, word = synthetic_languages(240, 3)
+    long = lambda lang, n: "".join(word(lang) for _ in range(n))
+    data += [(2000, long("aa", 4)[:16] + long("bb", 400) + long("aa", 4)[-16:], None), (2001, long("aa", 4)[:16] + long("cc", 400) + long("aa", 4)[-16:], None)]
+    data += [(2002, f"{word('aa')} {word('aa')} {long('bb', 60)} {word('bb')}", None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = language_id.fit(df)
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(spark, df, model).collect()}
+    assert (got[2000], got[2001], got[2002]) == ("bb", "cc", "bb")
+    runs = {r["doc_id"]: r["runs"] for r in language_id.label_words(spark, df, model).collect()}
+    assert runs[2002][0]["first"] == 0 and runs[2002][-1]["end"] == 4 and runs[2002][-1]["lang"] == "bb"
+
+
+def test_pieces_hold_every_byte():
+    rng = random.Random(6)
+    for _ in range(300):
+        text = "".join(rng.choice("aZ.é語İ😀Σ ") if rng.random() < 0.9 else " " for _ in range(rng.randrange(120)))
+        text = text.replace(" ", "" if rng.random() < 0.5 else " ")
+        got, starts = language_id.pieces(text)
+        words = text.split()
+        starts = list(range(len(words))) if starts is None else starts.tolist()
+        assert len(starts) == len(words)
+        if not words:
+            continue
+        for w, a, b in zip(words, starts, [*starts[1:], len(got)], strict=True):
+            assert got[a:b] == [w] or "".join(got[a:b]) == w.lower().strip(language_id.PUNCTUATION)
+        language_id.features(got)
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(1)
     moves = rng.standard_normal((3, 3)).astype(np.float32)
