@@ -9,16 +9,22 @@ gram would do for exact results, and rare grams first keep shared passages out o
 Two sets of similarity 0.8 share at least COMMON grams within their first n - ceil(0.8 n) + COMMON.
 Only those grams are dealt out, sorted by gram. Groups of up to SMALL sets give their pairs, counted
 for each pair; larger groups are `hot`: they give pairs with one pivot for each gram, first the set
-with most hot grams and then others, and components of verified links then settle most of their members. What is left outside a
-hot group's main component is compared with all other sets of the group that share enough grams.
+with most hot grams and then others, and components of verified links then settle most of their
+members. Hot groups that still hold several components make families, by way of the components that
+they join. A family is dealt out in tiles of whole sets, by length and hash: the sets outside a main
+component walk the prefix tree of the family's sets. No pair leaves a tile unless it joins two
+components, so what a hot group sends is proportional to its members.
 
-Candidates are verified against whole sets: the members of a block are stored in a prefix tree in
-the global order, a set walks the tree once for all members that share a beginning, and a subtree is
-left as soon as the overlap so far and the lengths that remain can't reach the threshold.
+In a block or tile the members are stored in a prefix tree in the global order. Sets walk the tree once
+for all members that share a beginning, and a subtree is left as soon as the overlap so far and the
+lengths that remain can't reach the threshold.
 
 Defined results: text with fewer words than a gram has its whole word sequence as the one gram; null
-or wordless text has an empty set, links with nothing and is its own component. Rows that repeat a
-doc_id are documents of that id; sets that only rows without a doc_id have are not linked. Sets are told apart by 64 bits of their digest.
+or wordless text has an empty set, links with nothing and is its own component. Texts are read whole,
+however long. Rows that repeat a doc_id are one document with several sets: what is linked to either is
+in one component. Sets that only rows without a doc_id have are not linked; such a row has a null
+component_id unless an equal set has one. An empty table gives no rows; columns other than doc_id and
+text are not read. Sets are told apart by 64 bits of their digest.
 """
 
 from __future__ import annotations
@@ -38,7 +44,9 @@ from .components import components
 GRAM, NUM, DEN = 5, 80, 100
 SKETCH_BITS, SKETCH_ROWS, FILTER_BITS = 20, 64, 26
 COMMON, SMALL, ROUNDS = 12, 32, 2
-WORDS_KEPT, PAIRS_KEPT, BLOCK, DENSE, COUNTED = 250_000, 300_000, 256, 32, 4_000_000
+WORDS_KEPT, PAIRS_KEPT, BLOCK, DENSE, COUNTED, SEEN = 250_000, 300_000, 256, 32, 4_000_000, 500_000
+#: Grams of a side of a tile; cells of a tile's tables; most grams that one step of a walk goes down.
+TILE, CELLS, STEP = 200_000, 4_000_000, 32
 #: Odd multipliers of the hash of a word sequence.
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 LEVEL_BITS = 7
@@ -106,6 +114,8 @@ def _survey(docs: DataFrame) -> DataFrame:
                 n.append(len(h))
                 sid.append(set_id(h) if len(h) else None)
                 if len(h) and sid[-1] not in seen:
+                    if len(seen) > SEEN:
+                        seen.clear()
                     seen.add(sid[-1])
                     held.append(h)
                     size += len(h)
@@ -173,6 +183,8 @@ def _prefixes(docs: DataFrame, levels) -> DataFrame:
                 h = shingler.hashes(text.as_py())
                 if not len(h) or (sid := set_id(h)) in seen:
                     continue
+                if len(seen) > SEEN:
+                    seen.clear()
                 seen.add(sid)
                 least = least_overlap(len(h))
                 own = ordered(h, levels.value)[: len(h) - least + min(COMMON, least)]
@@ -289,21 +301,127 @@ def walk_tree(members: list[np.ndarray], next_common: np.ndarray, probe: np.ndar
     return found
 
 
+def lexicographic(sets: list[np.ndarray]) -> tuple[list[int], np.ndarray]:
+    """The order of sets by their grams, and the common beginning of each set with the next."""
+    order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
+    common = np.zeros(max(0, len(order) - 1), np.int64)
+    for i in range(len(common)):
+        a, b = sets[order[i]], sets[order[i + 1]]
+        m = min(len(a), len(b))
+        differ = np.flatnonzero(a[:m] != b[:m])
+        common[i] = differ[0] if len(differ) else m
+    return order, common
+
+
 def tree_join(sets: dict[int, np.ndarray], wanted: dict[int, set[int]]) -> list[tuple[int, int]]:
-    """The pairs (a, b) of wanted[a] that are similar."""
+    """The pairs (a, b) of wanted[a] that are similar. One tree holds all sets; a walk sees the branches
+    that lead to wanted ones."""
     links = []
-    order = sorted(sets, key=lambda s: sets[s].astype(">u8").tobytes())
+    names = list(sets)
+    order, common = lexicographic([sets[s] for s in names])
+    place = {names[i]: k for k, i in enumerate(order)}
     for a, others in wanted.items():
         if a not in sets:  # a set of rows without a doc_id only
             continue
-        own = [s for s in order if s in others]
-        members = [sets[s] for s in own]
-        common = np.zeros(max(0, len(own) - 1), np.int64)
-        for i in range(len(common)):
-            m = min(len(members[i]), len(members[i + 1]))
-            differ = np.flatnonzero(members[i][:m] != members[i + 1][:m])
-            common[i] = differ[0] if len(differ) else m
-        links += [(a, own[i]) for i in (walk_tree(members, common, sets[a]) if members else [])]
+        at = sorted(place[b] for b in others if b in place)
+        if at:
+            between = np.array([common[x:y].min() for x, y in zip(at, at[1:], strict=False)], np.int64)
+            members = [sets[names[order[k]]] for k in at]
+            links += [(a, names[order[at[i]]]) for i in walk_tree(members, between, sets[a])]
+    return links
+
+
+class Tree:
+    """Sets as a prefix tree that many sets walk at once. A node at depth d is the range of sets, in
+    lexicographic order, that share their first d grams; the range's first set stands for it."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        order, common = lexicographic(sets)
+        self.order = np.array(order, np.int64)
+        self.sizes = np.array([len(sets[i]) for i in order], np.int64)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.grams = np.concatenate([sets[i] for i in order])
+        self.before = np.append(-1, common)  # common beginning with the set before
+        ends = np.unique(np.concatenate([common, self.sizes]))
+        steps = [np.arange(a + STEP, b, STEP) for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False) if b - a > STEP]
+        self.depths = np.unique(np.concatenate([ends, *steps]))
+        self.depths = self.depths[self.depths > 0]
+
+    def walk(self, probes: list[np.ndarray], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j): probes[i] is similar to the j-th set given, and wanted[i, j]."""
+        wanted = wanted[:, self.order]
+        n = np.array([len(p) for p in probes], np.int64)
+        grams = np.unique(np.concatenate(probes))
+        column = np.searchsorted(grams, self.grams)
+        known = grams[np.minimum(column, len(grams) - 1)] == self.grams
+        passed_at = column + known
+        column = np.where(known, column, len(grams))
+        holds = np.zeros((len(probes), len(grams) + 1), bool)
+        for i, p in enumerate(probes):
+            holds[i, np.searchsorted(grams, p)] = True
+        passed = np.zeros((len(probes), len(grams) + 1), np.int32)  # a probe's grams that lie before a column
+        np.cumsum(holds[:, :-1], axis=1, out=passed[:, 1:])
+        asked = np.zeros((len(probes), len(self.sizes) + 1), np.int32)
+        np.cumsum(wanted, axis=1, out=asked[:, 1:])
+        found_p, found_s = [], []
+        probe, node, overlap, place = np.arange(len(probes)), np.zeros(len(probes), np.int64), np.zeros(len(probes), np.int64), np.zeros(len(probes), np.int64)
+        depth, stop = 0, np.array([len(self.sizes)])
+        starts = np.zeros(1, np.int64)
+        for deeper in self.depths.tolist():
+            stops = stop[np.searchsorted(starts, node)]
+            starts = np.flatnonzero(self.before < deeper)
+            stop = np.append(starts[1:], len(self.sizes))
+            low, high = np.minimum.reduceat(self.sizes, starts), np.maximum.reduceat(self.sizes, starts)
+            live = self.sizes[starts] >= deeper
+            nodes, node_stop, low, high = starts[live], stop[live], low[live], high[live]
+            first, count = np.searchsorted(nodes, node), np.searchsorted(nodes, stops)
+            count -= first
+            probe, overlap, place = np.repeat(probe, count), np.repeat(overlap, count), np.repeat(place, count)
+            k = np.repeat(first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            least = -(-NUM * (n[probe] + low[k]) // (NUM + DEN))
+            keep = (asked[probe, node_stop[k]] > asked[probe, nodes[k]]) & (overlap + np.minimum(high[k] - depth, n[probe] - place) >= least)
+            probe, overlap, k, least = probe[keep], overlap[keep], k[keep], least[keep]
+            node = nodes[k]
+            at = self.begin[node] + depth
+            overlap = overlap + holds[probe[:, None], column[at[:, None] + np.arange(deeper - depth)]].sum(axis=1)
+            place = passed[probe, passed_at[at + (deeper - depth - 1)]].astype(np.int64)
+            keep = overlap + np.minimum(high[k] - deeper, n[probe] - place) >= least
+            probe, node, overlap, place = probe[keep], node[keep], overlap[keep], place[keep]
+            if not len(probe):
+                break
+            depth = deeper
+            done = (self.sizes[node] == depth) & ((NUM + DEN) * overlap >= NUM * (n[probe] + depth)) & wanted[probe, node]
+            found_p.append(probe[done])
+            found_s.append(self.order[node[done]])
+        return np.concatenate([np.zeros(0, np.int64), *found_p]), np.concatenate([np.zeros(0, np.int64), *found_s])
+
+
+def joined_classes(sets: list[np.ndarray], classes: list[int], probes: list[int]) -> list[tuple[int, int]]:
+    """Pairs (i, j) of similar sets, i among probes, that join the sets' classes as far as such pairs do."""
+    tree, kind = Tree(sets), np.array(classes, np.int64)
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (y := root.get(x, x)) != x:
+            root[x] = root.get(y, y)
+            x = y
+        return x
+
+    links, at = [], 0
+    while at < len(probes):
+        width, k = 0, 0
+        while at + k < len(probes) and (k == 0 or (k + 1) * max(width + len(sets[probes[at + k]]), len(sets)) <= CELLS):
+            width += len(sets[probes[at + k]])
+            k += 1
+        part = probes[at : at + k]
+        own = np.array([find(x) for x in kind.tolist()], np.int64)  # classes joined so far are one
+        i, j = tree.walk([sets[p] for p in part], own[part][:, None] != own[None, :])
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            a, b = find(int(kind[part[x]])), find(int(kind[y]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                links.append((part[x], y))
+        at += k
     return links
 
 
@@ -313,7 +431,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, levels) -> DataFrame:
     def run(batches):
         shingler = Shingler()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ordered(shingler.hashes(t.as_py()), levels.value).tobytes() for t in batch.column(1)], pa.binary())], ["sid", "grams"])
+            sids, grams = [], []
+            for sid, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = shingler.hashes(text.as_py())
+                if len(h) and set_id(h) == sid:  # else another text of the same doc_id
+                    sids.append(sid)
+                    grams.append(ordered(h, levels.value).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(grams, pa.binary())], ["sid", "grams"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id").select("sid", "text")
     return chosen.mapInArrow(run, "sid long, grams binary")  # repeated rows give a set again
@@ -350,8 +474,52 @@ def _verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.groupBy("block").applyInPandas(join, "a long, b long")
 
 
-def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, sid) of all documents, and the verified links (a, b) between their sets."""
+def _families(cells: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """sid, n, root, outside, family of the sets that hot groups leave in several components. A pair that
+    small groups count is a candidate already, so others share all their grams in hot groups."""
+    group = cells.join(roots, cells["sid"] == roots["node"], "left").select("gram", "sid", "n", F.coalesce("root", "sid").alias("root"))
+    classes = group.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("m"))
+    main = classes.groupBy("gram").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    group = group.join(main.drop("classes"), "gram")
+    # the least number of grams that a set shares with any similar one
+    least = F.least(F.lit(COMMON), F.ceil(F.ceil(F.col("n") * NUM / DEN) * NUM / DEN))
+    members = group.groupBy("sid", "n", "root").agg(F.count(F.lit(1)).alias("hot"), F.max(F.col("root") != F.col("main")).alias("outside")).where(F.col("hot") >= least)
+    members = stored(members, "unsettled")
+    if not members.where("outside").take(1):
+        return None
+    pairs = stored(group.where("root <> main").select(F.col("main").alias("a"), F.col("root").alias("b")).distinct(), "family-links")
+    family = components(pairs).select(F.col("node").alias("root"), F.col("root").alias("family"))
+    return stored(members.select("sid", "n", "root", "outside").join(family, "root"), "families")
+
+
+def _tiled(families: DataFrame, sets: DataFrame) -> DataFrame:
+    """(root_a, root_b): components of a family that hold similar sets."""
+    # lengths of similar sets differ by a quarter, so they lie in one band or two neighbouring ones
+    placed = families.withColumn("band", F.floor(F.log("n") / F.lit(float(np.log(1.26)))).cast("int"))
+    total = placed.groupBy("family", "band").agg(
+        F.ceil(F.sum("n") / TILE).cast("int").alias("rows"), F.ceil(F.sum(F.when(F.col("outside"), F.col("n")).otherwise(0)) / TILE).cast("int").alias("columns"))
+    total = stored(total, "bands")
+    near = F.explode(F.array(*(F.col("band") + F.lit(k) for k in (-1, 0, 1))))
+    probes = placed.where("outside").join(total.select("family", "band", "columns"), ["family", "band"]).select("sid", "root", "family", F.col("band").alias("of"), F.pmod(F.xxhash64("sid"), "columns").alias("column"), near.alias("band"))
+    probes = probes.join(total.select("family", "band", "rows"), ["family", "band"]).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)))
+    members = placed.join(total.select("family", "band", "rows"), ["family", "band"]).select("sid", "root", "family", "band", F.pmod(F.xxhash64("sid", F.lit(1)), "rows").alias("row"), near.alias("of"))
+    members = members.join(total.where("columns > 0").select("family", F.col("band").alias("of"), "columns"), ["family", "of"]).withColumn("column", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
+    tile = F.xxhash64("family", "of", "band", F.col("row").cast("int"), F.col("column").cast("int"))
+    rows = probes.select(tile.alias("tile"), "sid", "root", F.lit(True).alias("probe")).unionByName(members.select(tile.alias("tile"), "sid", "root", F.lit(False).alias("probe")))
+    rows = rows.groupBy("tile", "sid", "root").agg(F.max("probe").alias("probe")).join(sets, "sid")
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("sid")
+        roots = pdf["root"].tolist()
+        links = joined_classes([np.frombuffer(g, np.uint64) for g in pdf["grams"]], roots, np.flatnonzero(pdf["probe"].to_numpy(bool)).tolist())
+        return pd.DataFrame({"a": np.array([roots[x] for x, _ in links], np.int64), "b": np.array([roots[x] for _, x in links], np.int64)})
+
+    return rows.groupBy("tile").applyInPandas(join, "a long, b long")
+
+
+def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(doc_id, n, sid) of all documents; (node, root), the components of verified links between their
+    sets; and the same again between those components, where hot groups had left some apart."""
     survey = stored(_survey(docs), "survey")
     levels = spark.sparkContext.broadcast(_levels(survey))
     own = survey.where("slot is null").select("doc_id", "n", "sid")
@@ -379,45 +547,38 @@ def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pivot = counted.groupBy("gram").agg(F.max_by(F.struct("sid", "n"), F.struct(first, F.xxhash64("sid", F.lit(k)))).alias("p"))
         with_pivot = cells.join(pivot, "gram").where((F.col("p.sid") != F.col("sid")) & near(F.col("p.n"), F.col("n")))
         met = with_pivot.groupBy(F.col("p.sid").alias("a"), F.col("sid").alias("b")).count()
-        return met.where(F.col("count") >= COMMON).select("a", "b")  # others are left to the comparison below
+        return met.where(F.col("count") >= COMMON).select("a", "b")  # others are left to the families
 
     edges = sure.select("a", "b").unionByName(open_.select("a", "b"))
     for k in range(ROUNDS):
         edges = edges.unionByName(stars(k))
     edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    reps = own.where("sid is not null and doc_id is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
-    reps = stored(reps, "reps")
+    named = own.where("sid is not null and doc_id is not null")
+    reps = stored(named.groupBy("sid").agg(F.min("doc_id").alias("doc_id")), "reps")
 
-    def verify(candidates: DataFrame) -> DataFrame:
-        asked = candidates.select(F.col("a").alias("sid")).union(candidates.select(F.col("b").alias("sid"))).distinct()
-        wanted = stored(reps.join(asked, "sid"), "asked")
-        return stored(_verified(candidates, stored(_sets(docs, wanted, levels), "sets")), "verified")
-
-    links = verify(edges)
+    def sets(asked: DataFrame) -> DataFrame:
+        return stored(_sets(docs, stored(reps.join(asked.distinct(), "sid"), "asked"), levels), "sets")
 
+    asked = edges.select(F.col("a").alias("sid")).union(edges.select(F.col("b").alias("sid")))
+    links = stored(_verified(edges, sets(asked)), "verified")
+    # sets of one doc_id belong together
+    several = named.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a <> z").select("doc_id", "a")
+    links = links.unionByName(named.join(several, "doc_id").select("a", F.col("sid").alias("b")).where("a <> b"))
     roots = components(links)
-    group = cells.join(roots, cells["sid"] == roots["node"], "left").select("gram", "sid", "n", F.coalesce("root", "sid").alias("root"))
-    classes = group.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("m"))
-    main = classes.groupBy("gram").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    group = stored(group.join(main, "gram"), "unsettled")
-    outside = group.where("root <> main").select("gram", F.col("sid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    rest = outside.join(group.select("gram", F.col("sid").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), "main"), "gram")
-    rest = rest.where((F.col("root_a") != F.col("root_b")) & near(F.col("n_a"), F.col("n_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b"))))
-    rest = rest.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("n_a", "n_b").alias("n_a"), F.greatest("n_a", "n_b").alias("n_b")).agg(F.count_distinct("gram").alias("hot"))
-    small = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "shared")
-    rest = rest.join(small, ["a", "b"], "left").where(F.col("hot") + F.coalesce("shared", F.lit(0)) >= F.least(F.lit(COMMON), least("n_a"), least("n_b")))
-    rest = stored(rest.select("a", "b").join(edges, ["a", "b"], "left_anti"), "rest")
-    if rest.take(1):
-        links = links.unionByName(verify(rest))
-    return own, links
+    families = _families(cells, roots)
+    if families is None:
+        return own, roots, None
+    return own, roots, components(stored(_tiled(families, sets(families.select("sid"))), "family-joins"))
 
 
 def group(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, one row per document."""
-    own, links = link(spark, docs)
-    roots = components(links)
+    own, roots, above = link(spark, docs)
     least = own.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first"))
     named = least.join(roots, least["sid"] == roots["node"], "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
+    if above is not None:
+        above = above.withColumnsRenamed({"node": "below", "root": "top"})
+        named = named.join(above, named["root"] == above["below"], "left").select("sid", "first", F.coalesce("top", "root").alias("root"))
     named = stored(named, "named")
     named = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("sid", "component_id")
     named = stored(named, "component-ids")

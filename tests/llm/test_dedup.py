@@ -139,3 +139,38 @@ def test_passages_with_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, a), (1, b), (1, b), (2, a + "x"), (None, a), (0, b[:50])], "doc_id long, text string")
     got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"]) for r in substring_dedup.repeats(spark, df).collect())
     assert got == [("0", 50, 0), ("1", 60, 0), ("1", 65, 50), ("1", 65, 50), ("2", 61, 60), ("None", 60, 0)]
+
+
+def test_near_with_repeated_and_null_ids(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    data = [(5, a), (5, b), (2, a + " more"), (3, b + " more"), (None, a), (None, "alone here"), (9, None), (9, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.group(spark, df).collect()), key=str)
+    assert got == sorted([(5, 56, 2), (5, 56, 2), (2, 57, 2), (3, 57, 2), (None, 56, 2), (None, 1, None), (9, 0, 9), (9, 0, 9)], key=str)
+
+
+@pytest.mark.parametrize("cells", [1, 300, 10**6])
+def test_classes_joined_in_a_tile(monkeypatch, cells):
+    monkeypatch.setattr(ngram_join, "CELLS", cells)
+    monkeypatch.setattr(ngram_join, "STEP", 5)
+    rng = random.Random(cells)
+    for _ in range(20):
+        sets = {}
+        for i in range(40):
+            base = set(rng.sample(range(150), rng.randrange(1, 50))) if i % 4 == 0 else set(rng.choice(list(sets))) ^ set(rng.sample(range(150), rng.randrange(0, 7)))
+            sets.setdefault(tuple(sorted(base or {1})), i)
+        sets = [np.array(x, np.uint64) for x in sets]
+        classes = [rng.randrange(12) for _ in sets]
+        probes = rng.sample(range(len(sets)), len(sets) // 2)
+        full = [set(x.tolist()) for x in sets]
+        similar = [(a, b) for a in probes for b in range(len(sets)) if 100 * len(full[a] & full[b]) >= 80 * len(full[a] | full[b])]
+
+        def partition(pairs):
+            kind = dict(zip(range(12), range(12)))
+            for a, b in pairs:
+                x, y = kind[classes[a]], kind[classes[b]]
+                kind = {k: min(x, y) if v in (x, y) else v for k, v in kind.items()}
+            return kind
+
+        got = ngram_join.joined_classes(sets, classes, probes)
+        assert set(got) <= set(similar) and partition(got) == partition(similar)
