@@ -40,6 +40,29 @@ def test_index_takes_only_new_digests(spark):
     assert [r["keep_id"] for r in index.unseen(second).collect()] == [5]
     index.append(second)
     assert sorted(r["keep_id"] for r in index.table().collect()) == [1, 2, 5]
+    assert sorted((r["keep_id"], r["group_size"]) for r in index.rows().collect()) == [(1, 1), (3, 2), (5, 2)]
+    plan = index.unseen(second)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    # the index goes on under its name, with its own number of buckets
+    again = exact_dedup.DigestIndex(spark, index.name)
+    assert again.buckets == 4
+    third = spark.createDataFrame([(9, "a"), (0, "b"), (7, "d")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.decide(spark, third, again).collect()}
+    assert got == {9: (9, 2, True), 0: (3, 3, False), 7: (7, 1, True)}
+    again.drop()
+    assert not again.exists()
+
+
+def test_exact_leaves_no_table_and_carries_any_columns(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    long = "word " * 200_000
+    data = [(1, "a", 1, "x"), (1, "b", 2, "y"), (2, "a", 3, "z"), (None, "n", 4, "p"), (None, "n", 5, "q"), (None, "b", 6, "r"), (3, long, 7, "s"), (4, long, 8, "t")]
+    df = spark.createDataFrame(data, "doc_id long, text string, row long, digest string").withColumnRenamed("row", "_i")
+    left = exact_dedup.deduplicate(spark, df)
+    assert left.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"][:1]) for r in left.collect()), key=str)
+    assert got == sorted([(1, "b"), (2, "a"), (None, "n"), (4, "w")], key=str)
+    assert {t.name for t in spark.catalog.listTables()} == before
 
 
 def near(spark, data):
