@@ -1,7 +1,7 @@
 """Removal of passages that an earlier document holds, by suffix arrays of shards.
 
-A 50-byte window belongs to its anchor, the 16 bytes within it with the least hash (the last of
-equals), which its content alone decides. Only windows whose anchors several documents share can
+A 50-byte window belongs to its anchor, the 16 bytes within it with the least hash, which its content
+alone decides. Only windows whose anchors several documents share can
 match, and all windows that match have one anchor, so shards by anchor need not look at each other.
 
 1. Equal texts count once: all but the first of a group of copies are removed whole.
@@ -9,7 +9,8 @@ match, and all windows that match have one anchor, so shards by anchor need not
    documents stay. Rows that their chunk already finds shared are dealt by document instead, so a
    frequent passage fills no partition.
 3. Of each shared anchor the cover goes to the anchor's shard: the bytes of all neighbouring windows
-   that belong to it. A cover that a task has met in an earlier document is settled there.
+   that belong to it, so a run of one byte or a short period is one cover. Such a run goes cut to the
+   windows that differ. A cover that a task has met in an earlier document is settled there.
 4. A shard lays its distinct covers end to end and sorts their suffixes by external induced sorting.
    Neighbours with a common prefix of 50 bytes or more are one window; it is removed from every
    document but the first that holds it.
@@ -19,8 +20,10 @@ Texts travel twice: once to meet their shared anchors, and those that have any o
 removed spans. Documents go by a key, their doc_id; where several texts share a doc_id, the others
 get keys below all ids.
 
-Defined results: null text is empty; rows without a doc_id neither lose bytes nor take them from
-others; rows of one doc_id are never earlier than each other, and equal rows get equal results.
+Defined results: null text is empty; texts are read whole, however long; rows without a doc_id neither
+lose bytes nor take them from others; rows of one doc_id are never earlier than each other, and equal
+rows get equal results; an empty table gives no rows. Columns other than doc_id and text are carried by
+remove_repeats, whatever their names, and not read.
 """
 
 from __future__ import annotations
@@ -55,23 +58,18 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of SPAN bytes in data, its anchor's place; and the hashes of all places."""
-    h = gram_hashes(data)
-    value, place = h, np.arange(len(h), dtype=np.int32)
-    size = 1
-
-    def later(shift: int):
-        left, right = value[:-shift], value[shift:]
-        take = right <= left
-        return np.where(take, right, left), np.where(take, place[shift:], place[:-shift])
-
+def anchors(data: np.ndarray) -> np.ndarray:
+    """For each window of SPAN bytes in data, the least hash of its grams."""
+    value, size = gram_hashes(data), 1
     while size * 2 <= WINDOW:
-        value, place = later(size)
+        value = np.minimum(value[:-size], value[size:])
         size *= 2
-    if size < WINDOW:
-        value, place = later(WINDOW - size)
-    return place, h
+    return np.minimum(value[: len(value) - (WINDOW - size)], value[WINDOW - size :]) if size < WINDOW else value
+
+
+def period(cover: bytes) -> int:
+    """The least period of a cover of more than WINDOW windows, up to WINDOW; 0 if it has none."""
+    return next((p for p in range(1, WINDOW + 1) if cover[p:] == cover[:-p]), 0)
 
 
 def chunks(texts):
@@ -91,20 +89,20 @@ def chunks(texts):
 
 
 class Chunk:
-    """Texts laid end to end: their windows' anchors, as groups of neighbouring windows of one anchor."""
+    """Texts laid end to end: their windows' anchors, as groups of neighbouring windows of one anchor hash."""
 
     def __init__(self, held):
         self.raw = b"".join(r for _, r in held)
         sizes = np.array([len(r) for _, r in held])
         ends = np.cumsum(sizes)
         self.starts = ends - sizes
-        place, h = anchors(np.frombuffer(self.raw, np.uint8))
+        least = anchors(np.frombuffer(self.raw, np.uint8))
         valid = np.concatenate([np.arange(e - s, e - SPAN + 1) for s, e in zip(sizes, ends, strict=True)])
         doc = np.repeat(np.arange(len(held)), sizes - SPAN + 1)
-        place = place[valid]
-        new = np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])])
+        least = least[valid]
+        new = np.concatenate([[True], (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])])
         at = np.flatnonzero(new)
-        self.doc, self.hash = doc[at], h[place[at]].view(np.int64)
+        self.doc, self.hash = doc[at], least[at].view(np.int64)
         self.first = valid[at]
         self.last = np.append(valid[at[1:] - 1], valid[-1])  # first and last window of each group
 
@@ -178,6 +176,8 @@ def _covers(held: DataFrame) -> DataFrame:
                     for g in (np.flatnonzero(own[at] == c.hash[a:b]) + a).tolist():
                         first, stop = int(c.first[g]), int(c.last[g]) + SPAN
                         cover = c.raw[first:stop]
+                        if stop - first - SPAN >= WINDOW and (p := period(cover)):
+                            cover = cover[: SPAN + p - 1]  # one period of windows
                         digest = hashlib.blake2b(cover, digest_size=16).digest()
                         before = met.get(digest)
                         if before is not None and before < own_id:
@@ -223,7 +223,7 @@ def repeated_windows(covers: list[bytes], first_doc: np.ndarray) -> list[np.ndar
 
 def _compared(covers: DataFrame) -> DataFrame:
     """key, start, stop: the spans that earlier documents hold, by shards of whole anchors. covers: (hash,
-    doc_id, key, start, cover), all rows of a hash in a row and in order of doc_id."""
+    doc_id, key, start, stop, cover), all rows of a hash in a row and in order of doc_id."""
 
     def run(batches):
         held: dict[bytes, tuple[int, list]] = {}  # cover -> its first document and where that has it
@@ -238,7 +238,13 @@ def _compared(covers: DataFrame) -> DataFrame:
                 if len(starts):
                     cuts = (np.flatnonzero(np.diff(starts) > SPAN) + 1).tolist()
                     for a, b in zip([0, *cuts], [*cuts, len(starts)], strict=True):
-                        out.extend((key, at + int(starts[a]), at + int(starts[b - 1]) + SPAN) for key, at in held[text][1])
+                        first, last = int(starts[a]), int(starts[b - 1])
+                        for key, at, stop in held[text][1]:
+                            end = last
+                            if stop - at > len(text):  # a cut run: windows a whole number of periods on are equal
+                                p, most = len(text) - SPAN + 1, stop - at - SPAN
+                                end = max(x + (most - x) // p * p for x in starts.tolist())
+                            out.append((key, at + first, at + end + SPAN))
             held.clear()
 
         def rows():
@@ -247,7 +253,7 @@ def _compared(covers: DataFrame) -> DataFrame:
             return batch
 
         for batch in batches:
-            for h, doc, key, start, cover in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for h, doc, key, start, stop, cover in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if h != anchor:
                     if len(own) > 1:  # else all of the anchor is settled
                         held.update(own)
@@ -259,11 +265,11 @@ def _compared(covers: DataFrame) -> DataFrame:
                         size = 0
                 known = own.get(cover)
                 if known is None:
-                    own[cover] = (doc, [(key, start)])
+                    own[cover] = (doc, [(key, start, stop)])
                 elif known[0] < doc:
-                    out.append((key, start, start + len(cover)))
+                    out.append((key, start, stop))
                 else:
-                    known[1].append((key, start))
+                    known[1].append((key, start, stop))
             if len(out) > 100_000:
                 yield rows()
         if len(own) > 1:
@@ -328,7 +334,7 @@ def find_repeats(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataF
     lists = stored(_shared_anchors(raw), "shared-anchors").groupBy("key").agg(F.collect_set("hash").alias("hashes"))
     held = stored(raw.join(lists, "key"), "texts-with-shared-anchors")
     covers = stored(_covers(held), "covers")
-    open_ = covers.where("hash is not null").select("hash", "doc_id", "key", "start", "cover")
+    open_ = covers.where("hash is not null").select("hash", "doc_id", "key", "start", "stop", "cover")
     compared = stored(_compared(open_.repartition("hash").sortWithinPartitions("hash", "doc_id")), "compared")
     spans = covers.where("hash is null").select("key", "start", "stop").unionByName(compared)
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
@@ -355,8 +361,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     keyed, cut = find_repeats(spark, docs)
     new = keyed.where("doc_id is not null").select("doc_id", "digest", "key", (F.col("copy") & (F.col("n_bytes") >= SPAN)).alias("gone")).distinct()
     new = new.join(cut.select("key", "kept"), "key", "left").where("gone or kept is not null")
-    new = stored(new.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.when(F.col("gone"), F.lit("").cast("binary")).otherwise(F.col("kept")).alias("_kept")), "new-texts")
-    own = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    rows = docs.withColumn("_own", own)
-    rows = rows.join(new, (rows["doc_id"] == new["_id"]) & (rows["_own"] == new["_digest"]), "left")
-    return rows.withColumn("text", F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.decode("_kept", "UTF-8"))).select(docs.columns)
+    new = stored(new.select("doc_id", "digest", F.when(F.col("gone"), F.lit("").cast("binary")).otherwise(F.col("kept")).alias("kept")), "new-texts")
+    left = F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.decode("kept", "UTF-8"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"), "text")
+    rows = rows.join(new, ["doc_id", "digest"], "left").select("row", left.alias("text"))
+    return rows.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

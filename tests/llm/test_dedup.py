@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 from brute import SCHEMA, components, removed, rows, texts
+from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, ngram_join, substring_dedup
 from tessera.llm.components import components as connected
@@ -197,3 +198,21 @@ def test_classes_joined_in_a_tile(monkeypatch, cells):
 
         got = ngram_join.joined_classes(sets, classes, probes)
         assert set(got) <= set(similar) and partition(got) == partition(similar)
+
+
+def test_runs_are_one_cover(spark):
+    """Runs of one byte or a short period: covers stay as small as the windows that differ, whatever is around."""
+    data = ["-" * 5000, "x" + "-" * 3000 + "y", "ab" * 900, "ba" * 700 + "c", "abc" * 400, "z" + "cab" * 300 + "abz" * 30, "." * 49, "." * 50, "." * 51, "long " + "-" * 80 + " mid " + "=" * 90 + "-" * 70,
+            "".join(map(chr, range(33, 70))) * 20, "".join(map(chr, range(40, 70))) + "".join(map(chr, range(33, 70))) * 9 + "!", "a" * 60 + "b" + "a" * 60, "b" + "a" * 55 + "c"]
+    passages(spark, rows(data))
+    passages(spark, rows(data[::-1]))
+    covers = substring_dedup._covers(spark.createDataFrame([(1, 1, "-" * 100_000)], "key long, doc_id long, text string").selectExpr("*", f"array({substring_dedup.Chunk([(0, b'-' * 60)]).hash[0]}) hashes")).collect()
+    assert [(r["start"], r["stop"], len(r["cover"])) for r in covers] == [(0, 100_000, 50)]
+
+
+def test_cut_texts_keep_any_columns(spark):
+    a = "".join(map(chr, range(40, 100)))
+    df = spark.createDataFrame([(1, a, 1, "d"), (2, a + "?", 2, "e"), (None, a, 3, "f")], "doc_id long, text string, key long, digest string").withColumnRenamed("key", "kept").withColumn("_id", F.lit(1)).withColumn("_own", F.lit(2))
+    got = substring_dedup.remove_repeats(spark, df)
+    assert got.columns == df.columns
+    assert sorted((r["kept"], r["text"], r["digest"]) for r in got.collect()) == [(1, a, "d"), (2, "?", "e"), (3, a, "f")]
