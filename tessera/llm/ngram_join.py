@@ -46,7 +46,7 @@ SKETCH_BITS, SKETCH_ROWS, FILTER_BITS = 20, 64, 26
 COMMON, SMALL, ROUNDS = 12, 32, 2
 WORDS_KEPT, PAIRS_KEPT, BLOCK, DENSE, COUNTED, SEEN = 250_000, 300_000, 256, 32, 4_000_000, 500_000
 #: Grams of a side of a tile; cells of a tile's tables; most grams that one step of a walk goes down.
-TILE, CELLS, STEP = 200_000, 4_000_000, 32
+TILE, CELLS, STEP = 200_000, 400_000, 32
 #: Odd multipliers of the hash of a word sequence.
 MULTIPLIER, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 LEVEL_BITS = 7
@@ -383,7 +383,10 @@ class Tree:
             probe, overlap, k, least = probe[keep], overlap[keep], k[keep], least[keep]
             node = nodes[k]
             at = self.begin[node] + depth
-            overlap = overlap + holds[probe[:, None], column[at[:, None] + np.arange(deeper - depth)]].sum(axis=1)
+            down = np.arange(deeper - depth)
+            for x in range(0, len(at), max(1, CELLS // len(down))):
+                part = slice(x, x + max(1, CELLS // len(down)))
+                overlap[part] += holds[probe[part, None], column[at[part, None] + down]].sum(axis=1)
             place = passed[probe, passed_at[at + (deeper - depth - 1)]].astype(np.int64)
             keep = overlap + np.minimum(high[k] - deeper, n[probe] - place) >= least
             probe, node, overlap, place = probe[keep], node[keep], overlap[keep], place[keep]
