@@ -24,6 +24,16 @@ def chunk_device(home: Column, index: Column, devices: Column | int) -> Column:
     return F.pmod(home + index, devices).cast("int")
 
 
+def stored_or_routed(stored: Column, routed: Column) -> Column:
+    """A path that metadata holds stays, whatever the number of devices has become."""
+    return F.coalesce(F.nullif(stored, F.lit("")), routed)
+
+
+def valid_device(device: Column, routed: Column, devices: int) -> Column:
+    """Metadata's device where there is such a one, else the routed one."""
+    return F.when((device >= 0) & (device < devices), device).otherwise(routed)
+
+
 def should_stripe(size: Column, threshold: int, devices: int) -> Column:
     return F.lit(threshold > 0 and devices > 1) & (size > threshold)
 

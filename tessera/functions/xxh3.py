@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column
@@ -9,9 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+def _each(c: pd.Series, f) -> pd.Series:
+    """f over a batch's distinct values; null stays null."""
+    at, values = pd.factorize(c)
+    out = np.array([*(f(x.encode()) for x in values), None], object)
+    return pd.Series(out[at], index=c.index)
+
+
 @F.pandas_udf(StringType())
 def xxh3_hex(c: pd.Series) -> pd.Series:
-    return c.map(lambda x: None if x is None else xxhash.xxh3_64_hexdigest(x.encode()))
+    return _each(c, xxhash.xxh3_64_hexdigest)
 
 
 def xxh3_mod(c: Column, n: int) -> Column:
@@ -19,7 +27,7 @@ def xxh3_mod(c: Column, n: int) -> Column:
 
     @F.pandas_udf("int")
     def mod(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: None if x is None else xxhash.xxh3_64_intdigest(x.encode()) % n).astype("Int32")
+        return _each(values, lambda x: xxhash.xxh3_64_intdigest(x) % n).astype("Int32")
 
     return mod(c)
 

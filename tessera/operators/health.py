@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.cache import fold
+
 COOLDOWN = 5.0
 
 
@@ -34,12 +35,10 @@ class Breaker:
 def breaker(calls: DataFrame, cooldown: float = COOLDOWN) -> DataFrame:
     """calls (child, seq, ts, ok) -> child, seq, admitted, state, in order of seq by child."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = Breaker(cooldown)
-        rows = [(r.child, r.seq, *b.call(float(r.ts), bool(r.ok))) for r in pdf.sort_values("seq", kind="stable").itertuples(index=False)]
-        return pd.DataFrame(rows, columns=["child", "seq", "admitted", "state"])
+    def step(b: Breaker, seq, ts, ok):
+        return seq, *b.call(float(ts), bool(ok))
 
-    return calls.groupBy("child").applyInPandas(run, "child long, seq long, admitted boolean, state string")
+    return fold(calls, "child", ["seq", "ts", "ok"], lambda: Breaker(cooldown), "child long, seq long, admitted boolean, state string", step)
 
 
 def guarded(calls: DataFrame, states: DataFrame, value: Column, miss: Column) -> DataFrame:

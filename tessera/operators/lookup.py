@@ -107,3 +107,17 @@ def cached_read(cached: Column, lookup: Column, identity: Column, read: Column,
     return (F.when(~cached, "lookup_then_read").when(lookup == "error", failed).when(lookup == "missing", "miss_evict")
             .when(read == "stale", "reread").when(read == "error", "raise_read").when(read == "none", "reread")
             .when(identity == "same", "return_read").when(identity == "layout_only", "return_read_refresh").otherwise("reread"))
+
+
+def server_batch_get(asked: DataFrame, memory: DataFrame, storage: DataFrame, failing: Column, on: list[str], value: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A server's batch: (slots, counters, fills). slots: asked with `value`, `found`, `tier` and `error`, where
+    storage fails for the asked row; an error fills its own slot alone. counters (batch): memory hits and
+    misses, errors. fills: the keys and values that memory gains, once each."""
+    slots = tiered_get(asked.withColumn("_fails", failing), [("memory", memory), ("storage", storage)], on, value)
+    bad = F.col("_fails") & (F.coalesce("tier", F.lit("")) != "memory")
+    slots = slots.select(
+        *asked.columns, F.when(~bad, F.col(value)).alias(value), (F.col("tier").isNotNull() & ~bad).alias("found"),
+        F.when(~bad, F.col("tier")).alias("tier"), F.when(bad, F.lit("storage")).alias("error"))
+    hit = F.coalesce(F.col("tier") == "memory", F.lit(False))
+    counters = slots.groupBy("batch").agg(F.count_if(hit).alias("hits"), F.count_if(~hit).alias("misses"), F.count("error").alias("errors"))
+    return slots, counters, slots.where("tier = 'storage'").select(*on, value).dropDuplicates(on)

@@ -34,7 +34,7 @@ def _bound(b: float) -> str:
 
 def upper_median(x: str) -> Column:
     """The element at half the length of the sorted list: the upper of two middle ones."""
-    return F.element_at(F.array_sort(F.collect_list(x)), (F.floor(F.count(x) / 2) + 1).cast("int"))
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {x} DESC)")
 
 
 def gate(value: Column, threshold: float) -> Column:
@@ -42,6 +42,30 @@ def gate(value: Column, threshold: float) -> Column:
     return F.lit(True) if threshold == 0 else value >= threshold
 
 
+def directory_sizes(files: DataFrame) -> DataFrame:
+    """files (path, size) -> directory, bytes, files: what lies below each directory, however deep. A file
+    names its ancestors, so one aggregation does for all levels."""
+    parts = F.split("path", "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    rows = files.select("size", F.explode(F.filter(up, lambda d: d != "")).alias("directory"))
+    return rows.groupBy("directory").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("files"))
+
+
+def device_counters(reads: DataFrame, files: DataFrame, roots: DataFrame) -> DataFrame:
+    """reads (device, size), files (path, size), roots (device, root) -> device, read_bytes, reads, used_bytes:
+    a row for every device, used_bytes being the recursive size of its root."""
+    read = reads.groupBy("device").agg(F.sum("size").alias("read_bytes"), F.count(F.lit(1)).alias("reads"))
+    used = directory_sizes(files).withColumnRenamed("directory", "root").select("root", F.col("bytes").alias("used_bytes"))
+    zero = F.lit(0).cast("long")
+    rows = roots.join(read, "device", "left").join(used, "root", "left")
+    return rows.select("device", F.coalesce("read_bytes", zero).alias("read_bytes"), F.coalesce("reads", zero).alias("reads"), F.coalesce("used_bytes", zero).alias("used_bytes"))
+
+
+def spec_results(loads: DataFrame) -> DataFrame:
+    """loads (spec, ok) -> spec, ok, failed: a load that fails is counted, nothing more."""
+    return loads.groupBy("spec").agg(F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"))
+
+
 def exposition(rows: DataFrame) -> DataFrame:
     """rows (name, labels map<string,string>, value) -> value lines of the text format, sorted labels."""
     pairs = F.array_sort(F.map_entries("labels"))

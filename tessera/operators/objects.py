@@ -6,15 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def apply_puts(attempts: DataFrame, counters: DataFrame | None = None) -> DataFrame:
+def apply_puts(attempts: DataFrame, counters: DataFrame | None = None, live: DataFrame | None = None) -> DataFrame:
     """attempts (key, seq, if_absent) -> + stored, generation. A put takes the next generation; a put if
-    absent only where nothing is there, and a rejected one takes none. counters (key, generation): where
-    each key's count stands, whether or not the object lives."""
+    absent only where no object lives, and a rejected one takes none. live (key, generation): the objects
+    that are there. counters (key, generation): where each key's count stands; it outlives the object, and
+    the next generation follows the larger of the two."""
     w = Window.partitionBy("key").orderBy("seq")
-    rows = attempts if counters is None else attempts.join(counters.select("key", F.col("generation").alias("_base")), "key", "left")
-    base = F.lit(0) if counters is None else F.coalesce("_base", F.lit(0))
-    # the first attempt on a key without objects is always stored
-    stored = ~F.col("if_absent") | ((F.row_number().over(w) == 1) & (base == 0))
+    rows = attempts
+    if counters is not None:
+        rows = rows.join(counters.select("key", F.col("generation").alias("_counter")), "key", "left")
+    if live is not None:
+        rows = rows.join(live.select("key", F.col("generation").alias("_live")), "key", "left")
+    known = [F.col(c) for c in rows.columns if c in ("_counter", "_live")]
+    base = F.greatest(F.lit(0), F.lit(0), *known)  # skips nulls
+    there = F.lit(False) if live is None else F.col("_live").isNotNull()
+    # the first attempt on a key without an object is always stored, so one is there from then on
+    stored = ~F.col("if_absent") | ((F.row_number().over(w) == 1) & ~there)
     rows = rows.withColumn("stored", stored)
     generation = F.when(F.col("stored"), base + F.sum(F.col("stored").cast("int")).over(w))
     return rows.withColumn("generation", generation.cast("long")).select(*attempts.columns, "stored", "generation")

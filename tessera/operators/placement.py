@@ -33,6 +33,25 @@ def data_node(key: Column, stripe: Column, n: int) -> Column:
     return F.pmod(xxh3.xxh3_mod(key, n) + stripe, F.lit(n)).cast("int")
 
 
+def data_nodes(configured: DataFrame, local: DataFrame) -> DataFrame:
+    """configured (cluster, idx, node_id, grpc_endpoint), local (cluster, node_id, grpc_endpoint): the nodes of each
+    cluster in order, an empty id being the endpoint; the local node where none is configured."""
+    own = configured.select("cluster", "idx", F.coalesce(F.nullif("node_id", F.lit("")), "grpc_endpoint").alias("node_id"), "grpc_endpoint")
+    alone = local.join(configured.select("cluster").distinct(), "cluster", "left_anti")
+    return own.unionByName(alone.select("cluster", F.lit(0).cast("int").alias("idx"), "node_id", "grpc_endpoint"))
+
+
+def stripe_locations(cut: DataFrame, nodes: int, devices: int, generation: Column, layout: Column) -> DataFrame:
+    """cut (namespace, object_key, stripe_index, offset, length) -> the location that a write of each stripe
+    gives back: its node, device and storage handle."""
+    from tessera.functions import keys, routing
+
+    canonical = keys.canonical_key(F.col("namespace"), F.col("object_key"))
+    device = routing.chunk_device(xxh3.xxh3_mod(canonical, devices), F.col("stripe_index"), devices)
+    handle = keys.versioned_path(F.concat(F.lit("/dev"), device.cast("string")), F.col("namespace"), F.col("object_key"), generation, layout, F.col("stripe_index"))
+    return cut.select("namespace", "object_key", "stripe_index", "offset", "length", data_node(canonical, F.col("stripe_index"), nodes).alias("node"), device.alias("device"), handle.alias("storage_handle"))
+
+
 def local_node(env: Column, config: Column, default: Column) -> Column:
     return F.coalesce(F.nullif(env, F.lit("")), F.nullif(config, F.lit("")), default)
 

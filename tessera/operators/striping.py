@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import routing
@@ -30,11 +30,57 @@ def rebucket(segments: DataFrame, chunk: int) -> DataFrame:
     return rows.select("key", "stripe_index", "seg", (begin - F.col("_start")).alias("seg_offset"), (begin - F.col("stripe_index") * chunk).alias("stripe_offset"), (end - begin).alias("length"))
 
 
+def joined(parts: Column) -> Column:
+    """An array of binaries as one, each byte copied a constant number of times: as Latin-1 text, which
+    stands for bytes one by one. Nulls are left out."""
+    return F.encode(F.array_join(F.transform(parts, lambda p: F.decode(p.cast("binary"), "ISO-8859-1")), ""), "ISO-8859-1")
+
+
 def reassemble(pieces: DataFrame, order: str = "stripe_index") -> DataFrame:
     """pieces (key, order, data): data joined in order."""
     parts = F.array_sort(F.collect_list(F.struct(order, "data")))
-    joined = F.aggregate(parts, F.lit("").cast("binary"), lambda a, p: F.concat(a, p["data"].cast("binary")))
-    return pieces.groupBy("key").agg(joined.alias("data"), F.count(F.lit(1)).alias("pieces"))
+    return pieces.groupBy("key").agg(joined(F.transform(parts, lambda p: p["data"])).alias("data"), F.count(F.lit(1)).alias("pieces"))
+
+
+def read_striped(expected: DataFrame, pieces: DataFrame) -> DataFrame:
+    """expected (key, stripe_index, path), pieces (path, data) -> key, data, missing, status: the joined bytes of
+    an object all of whose stripes are there, else not_found with the path of the first that isn't."""
+    have = pieces.select("path", "data", F.lit(True).alias("_there"))
+    rows = expected.join(have, "path", "left")
+    gone = F.min(F.when(F.col("_there").isNull(), F.struct("stripe_index", "path")))
+    parts = F.array_sort(F.collect_list(F.struct("stripe_index", F.col("data").cast("binary").alias("data"))))
+    out = rows.groupBy("key").agg(gone.alias("gone"), parts.alias("parts"))
+    whole = F.col("gone").isNull()
+    return out.select("key", F.when(whole, joined(F.transform("parts", lambda p: p["data"]))).alias("data"), F.col("gone.path").alias("missing"), F.when(whole, "ok").otherwise("not_found").alias("status"))
+
+
+def _layer_list(layers: list[tuple[str, int]]) -> Column:
+    """The layers of a model, by name and bytes of a block, with their place and the bytes of a block before them."""
+    rows, begin = [], 0
+    for pos, (name, nbytes) in enumerate(layers):
+        rows.append(F.struct(F.lit(pos).alias("pos"), F.lit(name).alias("layer"), F.lit(nbytes).cast("long").alias("nbytes"), F.lit(begin).cast("long").alias("begin")))
+        begin += nbytes
+    return F.array(*rows)
+
+
+def gather_specs(specs: DataFrame, cache: DataFrame, layers: list[tuple[str, int]]) -> DataFrame:
+    """specs (request, block_ids), cache (layer, block_id, data) -> request, data: all blocks of the first layer in
+    the spec's order, then all of the next. One block id makes the form by blocks."""
+    wanted = specs.select("request", F.posexplode("block_ids").alias("b", "block_id")).select("request", "b", "block_id", F.explode(_layer_list(layers)).alias("l"))
+    rows = wanted.select("request", "b", "block_id", "l.pos", "l.layer").join(cache, ["layer", "block_id"])
+    parts = F.array_sort(F.collect_list(F.struct("pos", "b", F.col("data").cast("binary").alias("data"))))
+    return rows.groupBy("request").agg(joined(F.transform(parts, lambda p: p["data"])).alias("data"))
+
+
+def scatter_specs(specs: DataFrame, gathered: DataFrame, layers: list[tuple[str, int]]) -> DataFrame:
+    """The way back -> request, layer, block_id, data. Data of another length than the spec's blocks take gives
+    null data."""
+    total = sum(n for _, n in layers)
+    rows = specs.join(gathered, "request").select("request", "data", F.size("block_ids").alias("n"), F.posexplode("block_ids").alias("b", "block_id"))
+    rows = rows.select("*", F.explode(_layer_list(layers)).alias("l"))
+    at = F.col("l.begin") * F.col("n") + F.col("b") * F.col("l.nbytes")
+    whole = F.octet_length("data") == F.col("n") * total
+    return rows.select("request", "l.layer", "block_id", F.when(whole, F.substring("data", (at + 1).cast("int"), F.col("l.nbytes").cast("int"))).alias("data"))
 
 
 def leading_run(rows: DataFrame, index: str = "chunk") -> DataFrame:
@@ -63,8 +109,8 @@ def assemble_stream(chunks: DataFrame) -> DataFrame:
     end = chunks.where("is_last").groupBy("stream_id").agg(F.min("seq").alias("_end"))
     live = chunks.join(end, "stream_id", "left").where(F.col("_end").isNull() | (F.col("seq") <= F.col("_end")))
     parts = F.array_sort(F.collect_list(F.struct("seq", "data")))
-    joined = F.aggregate(parts, F.lit("").cast("binary"), lambda a, p: F.concat(a, F.coalesce(p["data"].cast("binary"), F.lit("").cast("binary"))))
-    out = live.groupBy("stream_id").agg(F.min_by("header", "seq").alias("header"), joined.alias("data"), F.count("data").alias("chunks"))
+    data = joined(F.transform(parts, lambda p: p["data"]))
+    out = live.groupBy("stream_id").agg(F.min_by("header", "seq").alias("header"), data.alias("data"), F.count("data").alias("chunks"))
     return out.withColumn("status", F.when(F.col("chunks") == 0, "invalid_argument").otherwise("ok"))
 
 

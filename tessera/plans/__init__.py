@@ -25,4 +25,4 @@ def query(covers: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from . import caches, codecs, identity, lookups, measures, prefixes, routes, serving, versions  # noqa: F401
+    from . import caches, codecs, identity, lookups, measures, prefixes, routes, serving, stores, versions  # noqa: F401

@@ -9,22 +9,66 @@ from tessera.plans import query
 from tessera.plans.tables import accesses, calls, table
 
 
-@query("LRU-01 SRC-05 MEM-01")
+@query("LRU-01 SRC-05")
 def byte_lru(spark, d):
     return cache.byte_lru(accesses(spark, d), 1500)
 
 
-@query("LRU-02 MEM-03")
+@query("LRU-02")
 def bypassing_lru(spark, d):
     return cache.byte_lru(accesses(spark, d), 400, bypass=True)
 
 
-@query("LRU-03 MEM-04 LRU-09 MEM-09")
+@query("LRU-03")
 def two_map_lru(spark, d):
     forms = accesses(spark, d).withColumn("form", F.when(F.col("size") % 2 == 0, "chunks").otherwise("single"))
     return cache.byte_lru(forms, 1500, bypass=True, shared=True)
 
 
+@query("LRU-09 MEM-09")
+def slab_lru(spark, d):
+    return cache.slab_lru(accesses(spark, d).withColumn("size", F.col("size") * 64), 4096, 40 * 4096)
+
+
+TIER = """ev AS (SELECT 'c' || (user_id % 8) AS cache, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'put' WHEN 'signup' THEN 'delete' WHEN 'click' THEN 'put_if_absent' ELSE 'get' END AS op, 'k' || (event_id * 7919 % 37) AS key, event_id % 10 > 0 AS ok FROM events),
+lo AS (SELECT 'c' || c AS cache, -1 - k AS seq, 'load' AS op, 'k' || k AS key, true AS ok FROM (SELECT unnest(range(8)) AS c), (SELECT unnest(range(0, 37, 3)) AS k)),
+tr AS (SELECT *, coalesce(count_if(op = 'delete') OVER (PARTITION BY cache, key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS life FROM (SELECT * FROM ev UNION ALL SELECT * FROM lo)),
+sto AS (SELECT *, coalesce(bool_or(op = 'load' OR op IN ('put', 'put_if_absent') AND ok) OVER (PARTITION BY cache, key, life ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS there FROM tr),
+mem AS (SELECT *, coalesce(bool_or(op = 'put' AND ok OR op = 'get' AND there OR op = 'put_if_absent' AND ok AND NOT there) OVER (PARTITION BY cache, key, life ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS held FROM sto),
+res AS (SELECT cache, seq, op, CASE op WHEN 'load' THEN 'loaded' WHEN 'get' THEN CASE WHEN held THEN 'memory' WHEN there THEN 'storage' ELSE 'miss' END WHEN 'delete' THEN CASE WHEN there THEN 'deleted' ELSE 'absent' END
+WHEN 'put_if_absent' THEN CASE WHEN there THEN 'exists' WHEN ok THEN 'stored' ELSE 'failed' END ELSE CASE WHEN ok THEN 'stored' ELSE 'failed' END END AS outcome FROM mem)"""
+
+
+def _tier_trace(spark, d):
+    """Reads, writes, deletes and writes if absent, every tenth of which fails; a third of the keys was there before."""
+    e = table(spark, d, "events")
+    a = accesses(spark, d).join(e.select(F.col("event_id").alias("seq"), "event_type"), "seq")
+    op = F.when(F.col("event_type") == "click", "put_if_absent").otherwise(F.col("op"))
+    trace = a.select("cache", "seq", op.alias("op"), "key", "size", (F.col("seq") % 10 > 0).alias("ok"))
+    k = F.explode(F.sequence(F.lit(0), F.lit(36), F.lit(3)))
+    loads = spark.range(8).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("cache"), k.alias("k"))
+    return trace.unionByName(loads.select("cache", (-1 - F.col("k")).cast("long").alias("seq"), F.lit("load").alias("op"), F.concat(F.lit("k"), F.col("k").cast("string")).alias("key"), F.lit(10).cast("long").alias("size"), F.lit(True).alias("ok")))
+
+
+@query("MEM-01 MEM-03 MEM-04 MEM-05 MEM-07 SRC-05", f"WITH {TIER} SELECT cache, seq, outcome FROM res")
+def memory_tier(spark, d):
+    """A cache that is large enough for all; smaller ones are held against a model."""
+    return cache.memory_tier(_tier_trace(spark, d), 1 << 50).select("cache", "seq", "outcome")
+
+
+@query("MEM-08 MEM-01", f"WITH {TIER} SELECT cache, count_if(outcome = 'memory') AS hits, count_if(op = 'get' AND outcome <> 'memory') AS misses FROM res GROUP BY cache")
+def memory_tier_counters(spark, d):
+    folded = cache.memory_tier(_tier_trace(spark, d), 1 << 50)
+    return folded.groupBy("cache").agg(F.max("hits").alias("hits"), F.max("misses").alias("misses"))
+
+
+@query("PYC-01 LRU-06", """WITH ev AS (SELECT 'c' || (user_id % 8) AS cache, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'put' WHEN 'signup' THEN 'delete' ELSE 'get' END AS op, 'k' || (event_id * 7919 % 37) AS key FROM events),
+w AS (SELECT *, lag(op) OVER (PARTITION BY cache, key ORDER BY seq) AS before FROM ev) SELECT cache, seq, coalesce(before = 'get', false) AS hit FROM w""")
+def descriptor_cache(spark, d):
+    """A descriptor is there for the next access only if the last one of its key was a get."""
+    return cache.descriptor_cache(accesses(spark, d)).select("cache", "seq", "hit")
+
+
 @query("MEM-08 AGG-11")
 def cache_stats(spark, d):
     return cache.stats(cache.byte_lru(accesses(spark, d), 1500))
@@ -44,7 +88,7 @@ def evict_and_retry(spark, d):
     return cache.evict_and_retry(t, 64 * 4096)
 
 
-@query("LRU-06 PYC-01")
+@query("LRU-06")
 def count_lru(spark, d):
     return cache.count_lru(accesses(spark, d), 16)
 

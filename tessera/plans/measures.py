@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import routing
 from tessera.operators import metrics
 from tessera.plans import query
+from tessera.plans.routes import md5_mod_sql
 from tessera.plans.tables import OBJ, objects, table
 
 
-@query("AGG-01 SRC-03", f"WITH {OBJ} SELECT namespace, sum(size)::BIGINT AS used, 1048576 AS capacity FROM obj GROUP BY namespace")
+@query("AGG-01", f"WITH {OBJ} SELECT namespace, sum(size)::BIGINT AS used, 1048576 AS capacity FROM obj GROUP BY namespace")
 def capacity_by_namespace(spark, d):
     return objects(spark, d).groupBy("namespace").agg(F.sum("size").alias("used"), F.lit(1_048_576).alias("capacity"))
 
@@ -39,9 +41,31 @@ def summaries(spark, d):
     return e.groupBy("event_type").agg(metrics.percent(share).alias("share"), F.format_string("%.2f", F.sum("event_id").cast("double") / 1_048_576).alias("mib"))
 
 
-@query("AGG-08 STG-09 AGG-11 PYC-08", f"WITH {OBJ} SELECT doc_id % 8 AS device, sum(size)::BIGINT AS read_bytes, count(*) AS objects FROM obj GROUP BY 1")
+def _device_files(spark, d):
+    """Objects on eight devices: their reads, and their files below the devices' roots."""
+    o = objects(spark, d).withColumn("device", routing.md5_mod(F.col("object_key"), 8))
+    path = F.concat(F.lit("/dev"), F.col("device").cast("string"), F.lit("/data/"), F.when(F.col("namespace") == "", "_").otherwise(F.col("namespace")), F.lit("/"), F.col("doc_id").cast("string"))
+    return o.select("device", "size"), o.select(path.alias("path"), "size")
+
+
+@query("AGG-08 STG-09 AGG-11 PYC-08", f"""WITH {OBJ}, p AS (SELECT {md5_mod_sql('object_key', 8)} AS device, size FROM obj), r AS (SELECT unnest(range(9))::INT AS device)
+SELECT r.device, coalesce(sum(size), 0)::BIGINT AS read_bytes, count(size) AS reads, coalesce(sum(size), 0)::BIGINT AS used_bytes FROM r LEFT JOIN p ON r.device = p.device GROUP BY r.device""")
 def device_counters(spark, d):
-    return objects(spark, d).groupBy((F.col("doc_id") % 8).alias("device")).agg(F.sum("size").alias("read_bytes"), F.count(F.lit(1)).alias("objects"))
+    """Every object is read once; a ninth device holds nothing."""
+    reads, files = _device_files(spark, d)
+    roots = spark.range(9).select(F.col("id").cast("int").alias("device"), F.concat(F.lit("/dev"), F.col("id").cast("string")).alias("root"))
+    return metrics.device_counters(reads, files, roots)
+
+
+@query("AGG-08", f"""WITH {OBJ}, p AS (SELECT '/dev' || {md5_mod_sql('object_key', 8)} AS a, CASE WHEN namespace = '' THEN '_' ELSE namespace END AS ns, size FROM obj), u AS (SELECT a AS directory, size FROM p UNION ALL SELECT a || '/data', size FROM p UNION ALL SELECT a || '/data/' || ns, size FROM p)
+SELECT directory, sum(size)::BIGINT AS bytes, count(*) AS files FROM u GROUP BY directory""")
+def directory_sizes(spark, d):
+    return metrics.directory_sizes(_device_files(spark, d)[1])
+
+
+@query("CON-04", "SELECT l_orderkey AS spec, count_if(l_linestatus = 'F') AS ok, count_if(l_linestatus <> 'F') AS failed FROM lineitem GROUP BY l_orderkey")
+def load_results(spark, d):
+    return metrics.spec_results(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("spec"), (F.col("l_linestatus") == "F").alias("ok")))
 
 
 LE = ", ".join(f"({b}, '{metrics._bound(b)}')" for b in metrics.BUCKETS)
@@ -68,7 +92,7 @@ def medians(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.median("value").alias("median"), metrics.upper_median("value").alias("upper_median"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
-@query("AGG-14 AGG-15 CON-04", """WITH s AS (SELECT user_id, count(*) AS n, count_if(event_type = 'error') AS failed, sum(floor(value)::BIGINT) AS us FROM events GROUP BY user_id)
+@query("AGG-14 AGG-15", """WITH s AS (SELECT user_id, count(*) AS n, count_if(event_type = 'error') AS failed, sum(floor(value)::BIGINT) AS us FROM events GROUP BY user_id)
 SELECT user_id, us::DOUBLE / n AS us_per_op, n - failed AS succeeded, CASE WHEN failed = 0 THEN 'ok' ELSE 'partial_failure' END AS status, us::DOUBLE / n >= 200 AS passed, true AS ungated FROM s""")
 def throughput_gates(spark, d):
     e = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("failed"), F.sum(F.floor("value")).alias("us"))

@@ -89,7 +89,7 @@ def probe_and_promote(spark, d):
     return prefix.promote(rows, p.select(F.col("key").alias("request"), F.col("hit").alias("all_found")))
 
 
-BLOCK_IDS = "bid AS (SELECT *, list_transform(range(least(n_tokens // 4, 3)), lambda i: i * 2 + conv_id) AS block_ids FROM lp)"
+BLOCK_IDS = "bid AS (SELECT *, list_transform(range((n_tokens + 3) // 4), lambda i: i * 2 + conv_id) AS block_ids FROM lp)"
 
 
 def _allocated(m, short="false"):
@@ -98,14 +98,14 @@ def _allocated(m, short="false"):
     return m.select("request", F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: i * 2 + F.col("conv_id"))).otherwise(F.array().cast("array<bigint>")).alias("block_ids"))
 
 
-@query("JOIN-08 SET-04 CON-01", f"WITH {REQ}, {BLK}, {KNOWN}, {MATCH}, {BLOCK_IDS} SELECT request, least(matched // 4, len(block_ids)) AS n_blocks, array_to_string(block_ids[1:least(matched // 4, len(block_ids))], ',') AS blocks FROM bid WHERE least(matched // 4, len(block_ids)) > 0")
+@query("JOIN-08 SET-04 CON-01", f"WITH {REQ}, {BLK}, {KNOWN}, {MATCH}, {BLOCK_IDS} SELECT request, matched // 4 AS n_blocks, array_to_string(block_ids[1:matched // 4], ',') AS blocks FROM bid WHERE matched >= 4")
 def load_specs(spark, d):
     m = _matches(spark, d)
     s = lookup.load_specs(m, _allocated(m), BLOCK)
     return s.select("request", "n_blocks", F.array_join(F.transform("block_ids", lambda x: x.cast("string")), ",").alias("blocks"))
 
 
-@query("JOIN-09 CON-10", f"WITH {REQ}, {BLK}, {KNOWN}, {MATCH}, {BLOCK_IDS} SELECT request, n_tokens // 4 AS need, len(block_ids) < n_tokens // 4 AS deferred FROM bid WHERE n_tokens // 4 > 0 AND matched < n_tokens // 4 * 4")
+@query("JOIN-09 CON-10", f"WITH {REQ}, {BLK}, {KNOWN}, {MATCH}, {BLOCK_IDS} SELECT request, n_tokens // 4 AS need, conv_id % 5 = 4 AND turn % 2 = 1 AS deferred FROM bid WHERE n_tokens // 4 > 0 AND matched < n_tokens // 4 * 4")
 def store_specs(spark, d):
     m = _matches(spark, d)
     return lookup.store_specs(m, _allocated(m, "conv_id % 5 = 4 and turn % 2 = 1"), BLOCK)
@@ -123,7 +123,7 @@ def accumulated_blocks(spark, d):
     return prefix.accumulate_blocks(rows).select("request", F.array_join(F.transform("block_ids", lambda x: x.cast("string")), ",").alias("blocks"))
 
 
-@query("KEY-18 CON-10", f"WITH {REQ}, p AS (SELECT request, least(len(tokens), 12) AS n, unnest(range(3)) AS b, conv_id FROM req) SELECT request, b * 4 + o AS pos, ((conv_id + b * 3) * 4 + o)::BIGINT AS slot FROM p, (SELECT unnest(range(4)) AS o) WHERE b * 4 + o < n")
+@query("KEY-18 CON-10", f"WITH {REQ}, p AS (SELECT request, conv_id, unnest(range(len(tokens))) AS pos FROM req) SELECT request, pos, ((conv_id + pos // 4 * 3) * 4 + pos % 4)::BIGINT AS slot FROM p")
 def slot_mapping(spark, d):
     r = requests(spark, d)
     n = F.size("tokens")

@@ -17,7 +17,7 @@ def md5_mod_sql(x: str, n: int) -> str:
     return out + "::INT"
 
 
-@query("RTE-01 RTE-02 SRC-04 SRC-07", f"""WITH {OBJ} SELECT doc_id, {md5_mod_sql('object_key', 7)} AS child, CASE WHEN doc_id % 2 = 0 AND namespace <> '' THEN {md5_mod_sql('namespace', 4)} ELSE {md5_mod_sql('object_key', 4)} END AS shard FROM obj""")
+@query("RTE-01 RTE-02 SRC-07", f"""WITH {OBJ} SELECT doc_id, {md5_mod_sql('object_key', 7)} AS child, CASE WHEN doc_id % 2 = 0 AND namespace <> '' THEN {md5_mod_sql('namespace', 4)} ELSE {md5_mod_sql('object_key', 4)} END AS shard FROM obj""")
 def route_md5(spark, d):
     o = objects(spark, d)
     policy = F.when(F.col("doc_id") % 2 == 0, "layer").otherwise("block")
@@ -30,7 +30,7 @@ def group_by_device(spark, d):
     return o.groupBy("device").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("object_key").alias("first_key"))
 
 
-@query("RTE-03 RTE-05 PLC-01")
+@query("RTE-03 RTE-05")
 def route_xxh3(spark, d):
     """XXH3 is in neither engine; tested against the xxhash module."""
     o = objects(spark, d)
@@ -52,7 +52,7 @@ def stripe_decision(spark, d):
     stored_path = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/old/"), F.col("doc_id").cast("string"))).otherwise("")
     routed = F.concat(F.lit("/new/"), routing.md5_mod(F.col("object_key"), 4).cast("string"))
     device = F.col("doc_id") % 6
-    return o.select("doc_id", routing.should_stripe(F.col("size"), 4096, 4).alias("striped"), F.coalesce(F.nullif(stored_path, F.lit("")), routed).alias("path"), F.when(device < 4, device).otherwise(0).alias("device"))
+    return o.select("doc_id", routing.should_stripe(F.col("size"), 4096, 4).alias("striped"), routing.stored_or_routed(stored_path, routed).alias("path"), routing.valid_device(device, F.lit(0), 4).alias("device"))
 
 
 @query("RTE-09 WIN-05", "SELECT p_partkey, n, i AS lane, (p_size // n + CASE WHEN i < p_size % n THEN 1 ELSE 0 END)::INT AS lane_size FROM (SELECT *, unnest(range(n)) AS i FROM (SELECT *, 4 AS n FROM part))")
@@ -131,7 +131,7 @@ def lane_gather(spark, d):
     return striping.gather_lanes(rows, 4).select("key", "hit", F.array_join(F.transform("segs", lambda x: x.cast("string")), ",").alias("segs"))
 
 
-@query("RTE-17 COD-10", f"WITH {USEG} SELECT key, seg AS pos, length AS nbytes, coalesce(sum(length) OVER (PARTITION BY key ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\", sum(length) OVER (PARTITION BY key)::BIGINT AS total FROM useg")
+@query("RTE-17", f"WITH {USEG} SELECT key, seg AS pos, length AS nbytes, coalesce(sum(length) OVER (PARTITION BY key ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\", sum(length) OVER (PARTITION BY key)::BIGINT AS total FROM useg")
 def byte_layout(spark, d):
     return striping.byte_layout(_unique_segments(spark, d).withColumnsRenamed({"seg": "pos", "length": "nbytes"}))
 
@@ -139,7 +139,7 @@ def byte_layout(spark, d):
 PIECES = "SELECT conv_id, turn, encode(coalesce(text, '')) AS data FROM conversations"
 
 
-@query("STR-01 STR-04 PLC-03 PLC-08 WIN-06 STG-04", """WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS t, turn >= 3 AND turn % 3 = 0 AS is_last FROM conversations), e AS (SELECT conv_id, min(turn) AS e FROM c WHERE is_last GROUP BY conv_id)
+@query("STR-01 STR-04 PLC-03 PLC-08 WIN-06", """WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS t, turn >= 3 AND turn % 3 = 0 AS is_last FROM conversations), e AS (SELECT conv_id, min(turn) AS e FROM c WHERE is_last GROUP BY conv_id)
 SELECT c.conv_id::VARCHAR AS stream_id, arg_min('h' || turn, turn) AS header, sha256(string_agg(t, '' ORDER BY turn)) AS digest, count(*) AS chunks, 'ok' AS status FROM c LEFT JOIN e ON c.conv_id = e.conv_id WHERE e IS NULL OR turn <= e GROUP BY c.conv_id""")
 def assembled_streams(spark, d):
     c = table(spark, d, "conversations")
@@ -154,7 +154,7 @@ def leading_run(spark, d):
     return striping.leading_run(c)
 
 
-@query("AGG-17 IOX-04 STG-06", f"WITH {OBJ}, {STRIPES} SELECT doc_id, min(least(512, size - stripe_index * 512)) AS min_len, max(least(512, size - stripe_index * 512)) AS max_len, count(*) AS n, sum((least(512, size - stripe_index * 512) + 4095) // 4096 * 4096)::BIGINT AS aligned FROM cut GROUP BY doc_id")
+@query("AGG-17 STG-06", f"WITH {OBJ}, {STRIPES} SELECT doc_id, min(least(512, size - stripe_index * 512)) AS min_len, max(least(512, size - stripe_index * 512)) AS max_len, count(*) AS n, sum((least(512, size - stripe_index * 512) + 4095) // 4096 * 4096)::BIGINT AS aligned FROM cut GROUP BY doc_id")
 def stripe_plan(spark, d):
     o = objects(spark, d).select(F.col("doc_id").alias("key"), "size")
     s = striping.stripes(o, 512)
@@ -175,3 +175,58 @@ def rebuilt_layouts(spark, d):
     return placement.rebuilt_layout(o.select(
         "namespace", "object_key", (F.col("doc_id") % 5).alias("object_generation"), F.lit(1).alias("layout_version"), "size", striped.alias("is_striped"),
         F.when(striped & (F.col("doc_id") % 7 != 0), F.ceil(F.col("size") / 1024)).otherwise(0).cast("int").alias("stripe_count"), F.lit(1024).alias("chunk_size")), 4)
+
+
+@query("PLC-01")
+def stripe_locations(spark, d):
+    """Nodes and devices come from XXH3, which is in neither engine; tested against the xxhash module."""
+    o = objects(spark, d)
+    cut = o.select("namespace", "object_key", F.explode(routing.stripe_list(F.col("size"), 512)).alias("s")).select("namespace", "object_key", F.col("s.index").alias("stripe_index"), F.col("s.offset").alias("offset"), F.col("s.length").alias("length"))
+    return placement.stripe_locations(cut, 3, 4, F.lit(2), F.lit(1))
+
+
+@query("STG-04", """WITH c AS (SELECT conv_id::VARCHAR AS key, turn, coalesce(text, '') AS t, 'c' || conv_id || '/' || turn AS path, (conv_id + turn) % 6 <> 5 AS there FROM conversations)
+SELECT key, CASE WHEN bool_and(there) THEN sha256(string_agg(t, '' ORDER BY turn)) END AS digest, arg_min(path, turn) FILTER (NOT there) AS missing, CASE WHEN bool_and(there) THEN 'ok' ELSE 'not_found' END AS status FROM c GROUP BY key""")
+def striped_reads(spark, d):
+    """Turns as the stripes of a conversation; some are gone, and the first of those is named."""
+    c = table(spark, d, "conversations")
+    path = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"))
+    pieces = c.where("(conv_id + turn) % 6 <> 5").select(path.alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("data"))
+    found = striping.read_striped(c.select(F.col("conv_id").cast("string").alias("key"), F.col("turn").alias("stripe_index"), path.alias("path")), pieces)
+    return found.select("key", F.sha2("data", 256).alias("digest"), "missing", "status")
+
+
+#: A model of two layers: bytes of a block.
+LAYERS = [("k", 6), ("v", 10)]
+KV = """sp AS (SELECT o_custkey AS request, list(o_orderkey ORDER BY o_orderdate, o_orderkey) AS block_ids FROM orders GROUP BY o_custkey), bl AS (SELECT request, unnest(block_ids) AS block_id, generate_subscripts(block_ids, 1) AS b FROM sp)"""
+
+
+def _specs(spark, d):
+    each = F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey")))
+    return table(spark, d, "orders").groupBy(F.col("o_custkey").alias("request")).agg(F.transform(each, lambda x: x["o_orderkey"]).alias("block_ids"))
+
+
+def _cache(spark, d):
+    k = F.col("o_orderkey").cast("string")
+    o = table(spark, d, "orders")
+    return o.select(F.lit("k").alias("layer"), F.col("o_orderkey").alias("block_id"), F.lpad(k, 6, "k").cast("binary").alias("data")).unionByName(
+        o.select(F.lit("v").alias("layer"), F.col("o_orderkey").alias("block_id"), F.lpad(k, 10, "v").cast("binary").alias("data")))
+
+
+@query("COD-10", f"WITH {KV} SELECT request, string_agg(lpad(block_id::VARCHAR, 6, 'k'), '' ORDER BY b) || string_agg(lpad(block_id::VARCHAR, 10, 'v'), '' ORDER BY b) AS data FROM bl GROUP BY request")
+def gathered_specs(spark, d):
+    """Orders as the blocks of their customers' requests: all of layer k, then all of layer v."""
+    return striping.gather_specs(_specs(spark, d), _cache(spark, d), LAYERS).withColumn("data", F.col("data").cast("string"))
+
+
+@query("COD-10", f"WITH {KV} SELECT request, l AS layer, block_id, CASE l WHEN 'k' THEN lpad(block_id::VARCHAR, 6, 'k') ELSE lpad(block_id::VARCHAR, 10, 'v') END AS data FROM bl, (VALUES ('k'), ('v')) x(l)")
+def scattered_specs(spark, d):
+    specs = _specs(spark, d)
+    return striping.scatter_specs(specs, striping.gather_specs(specs, _cache(spark, d), LAYERS), LAYERS).withColumn("data", F.col("data").cast("string"))
+
+
+@query("CON-08 COD-10", "SELECT o_orderkey AS block_id, lpad(o_orderkey::VARCHAR, 6, 'k') || lpad(o_orderkey::VARCHAR, 10, 'v') AS data FROM orders")
+def serialized_blocks(spark, d):
+    """The form by blocks: one block id makes a spec."""
+    specs = table(spark, d, "orders").select(F.col("o_orderkey").alias("request"), F.array("o_orderkey").alias("block_ids"))
+    return striping.gather_specs(specs, _cache(spark, d), LAYERS).select(F.col("request").alias("block_id"), F.col("data").cast("string").alias("data"))

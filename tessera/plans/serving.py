@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import placement
@@ -65,7 +66,20 @@ def local_nodes(spark, d):
     return table(spark, d, "supplier").select(k.alias("node"), placement.local_node(env, F.when(k % 3 == 1, "cfg"), F.lit("local")).alias("node_id"))
 
 
-@query("SRC-12", """WITH v AS (SELECT n_nationkey, hex(n_name) AS h FROM nation) SELECT lower(hex(n_nationkey::VARCHAR)) AS file, h[1:4] || '5858' || h[9:] || (CASE WHEN len(h) < 20 THEN repeat('0', 20 - len(h)) ELSE '' END) AS data FROM v WHERE len(h) <= 20""")
+@query("PLC-07", """WITH c AS (SELECT s_nationkey AS cluster, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1)::INT AS idx, CASE WHEN s_suppkey % 3 = 0 THEN 'ep' || s_suppkey ELSE 'n' || s_suppkey END AS node_id, 'ep' || s_suppkey AS grpc_endpoint FROM supplier WHERE s_nationkey % 2 = 0)
+SELECT * FROM c UNION ALL SELECT n_nationkey, 0, 'local', 'ep' FROM nation WHERE n_nationkey NOT IN (SELECT cluster FROM c)""")
+def data_nodes(spark, d):
+    """Nations as clusters with their suppliers as nodes; odd ones have none configured."""
+    k = F.col("s_suppkey").cast("string")
+    s = table(spark, d, "supplier").where("s_nationkey % 2 = 0")
+    w = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
+    nodes = s.select(F.col("s_nationkey").alias("cluster"), (F.row_number().over(w) - 1).alias("idx"), F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(F.concat(F.lit("n"), k)).alias("node_id"), F.concat(F.lit("ep"), k).alias("grpc_endpoint"))
+    local = table(spark, d, "nation").select(F.col("n_nationkey").alias("cluster"), F.lit("local").alias("node_id"), F.lit("ep").alias("grpc_endpoint"))
+    return placement.data_nodes(nodes, local)
+
+
+@query("SRC-12", """WITH v AS (SELECT n_nationkey, hex(n_name) AS h FROM nation)
+SELECT lower(hex(n_nationkey::VARCHAR)) AS file, h[1:4] || '5858' || h[9:] || repeat('0', greatest(20 - len(h), 0)) AS data FROM v""")
 def positional_writes(spark, d):
     """XX at byte 2 of each name, and an empty write at byte 10 that extends shorter ones by zero bytes."""
     n = table(spark, d, "nation")

@@ -74,6 +74,21 @@ def backend_kind(configs: DataFrame) -> DataFrame:
     return configs.select("config", kind.alias("kind"), (F.col("memory_bytes") > 0).alias("memory_tier"))
 
 
+def to_block_meta(blocks: DataFrame) -> DataFrame:
+    """An adapter's block metadata as storage metadata: `extra` has no place there."""
+    return blocks.select("key", *(F.col(c) for c in BLOCK_FIELDS))
+
+
+def from_block_meta(meta: DataFrame) -> DataFrame:
+    """Storage metadata as an adapter's: absent fields take its defaults, `extra` is empty."""
+    filled = [F.coalesce(F.col(c), F.lit(v)).alias(c) if v is not None else F.col(c) for c, v in BLOCK_FIELDS.items()]
+    return meta.select("key", *filled, F.create_map().cast("map<string,string>").alias("extra"))
+
+
+#: Fields of a block's metadata and their defaults.
+BLOCK_FIELDS = {"num_tokens": None, "num_layers": 1, "dtype": None, "shape": None, "compressed": False, "compression_level": 0}
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Lines of `KEY=VALUE ...` -> a map for each."""
     return spark.read.text(path).select(F.expr("str_to_map(value, ' ', '=')").alias("fields"))
