@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import remove, shared_dir
+
 #: A word, wherever a contract speaks of words.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
@@ -20,26 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path is None:
-        path = spark.conf.get("tessera.shared.dir", None)
-    if path is None:
-        path = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("tessera.shared.dir", path)
-        atexit.register(_remove, spark, path)
-    return path.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is None:
-        return
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 #: Drops a query's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -55,7 +35,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing will read again: what was made of them is stored itself."""
+    for df in tables:
+        remove(df.sparkSession, df._stored_at)
 
 
 def words_of(text: Column) -> Column:

@@ -144,9 +144,10 @@ def _runs(s: np.ndarray) -> np.ndarray:
     return np.minimum(end - np.arange(n) + 1, CAP).astype(np.uint8)
 
 
-def _induce(s, small, n_symbols, seeds, seed_lcp, arrays) -> tuple[np.ndarray, np.ndarray]:
+def _induce(s, small, n_symbols, seeds, seed_lcp, arrays, lengths: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The order of all suffixes, and the common prefixes of neighbours, from sorted LMS suffixes. With
-    unsorted seeds, in order of their first symbols, it sorts the LMS substrings."""
+    unsorted seeds, in order of their first symbols, it sorts the LMS substrings; `lengths` off then leaves
+    the common prefixes at 1."""
     n = len(s)
     kind = np.int32 if n < 2**31 else np.int64
     run = _runs(s)
@@ -164,7 +165,10 @@ def _induce(s, small, n_symbols, seeds, seed_lcp, arrays) -> tuple[np.ndarray, n
         symbol = s[before]
         order = np.argsort(symbol, kind="stable")
         at, before, symbol = at[order], before[order], symbol[order]
-        shared = carry.shared(lcp, at, symbol)
+        if not lengths:
+            shared = np.zeros(len(at), np.uint8)
+        else:
+            shared = carry.shared(lcp, at, symbol)
         if len(at):
             queue.push(symbol, before, (np.minimum(shared, CAP - 1) + 1).astype(np.uint8))
 
@@ -250,7 +254,7 @@ def _doubling(s: np.ndarray) -> np.ndarray:
         second = np.zeros(n, np.int64)
         second[: max(0, n - k)] = rank[k:] + 1
         key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys get equal ranks, whatever their order
         fresh = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
         rank = np.empty(n, np.int64)
         rank[order] = fresh
@@ -271,7 +275,7 @@ def sort_suffixes(s: np.ndarray, n_symbols: int, budget: int = BUDGET) -> tuple[
     lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(kind)
     if len(lms):
         rough = lms[np.argsort(s[lms], kind="stable")]
-        order, _ = _induce(s, small, n_symbols, rough, np.zeros(len(rough), np.uint8), arrays)
+        order, _ = _induce(s, small, n_symbols, rough, np.zeros(len(rough), np.uint8), arrays, lengths=False)
         is_lms = arrays.zeros(n, bool)
         is_lms[lms] = True
         found = order[is_lms[order]]

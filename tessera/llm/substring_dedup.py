@@ -11,13 +11,13 @@ match, and all windows that match have one anchor, so shards by anchor need not
 3. Of each shared anchor the cover goes to the anchor's shard: the bytes of all neighbouring windows
    that belong to it, so a run of one byte or a short period is one cover. Such a run goes cut to the
    windows that differ. A cover that a task has met in an earlier document is settled there.
-4. A shard lays its distinct covers end to end and sorts their suffixes by external induced sorting.
+4. A shard takes the parts of its distinct covers in which a window's fingerprint occurs more than once,
+   lays them end to end and sorts their suffixes by external induced sorting.
    Neighbours with a common prefix of 50 bytes or more are one window; it is removed from every
    document but the first that holds it.
 5. The windows of each document are united.
 
-Texts travel twice: once to meet their shared anchors, and those that have any once more to meet their
-removed spans. Documents go by a key, their doc_id; where several texts share a doc_id, the others
+Texts travel twice: once to meet their shared anchors, and once more to meet their removed spans. Documents go by a key, their doc_id; where several texts share a doc_id, the others
 get keys below all ids.
 
 Defined results: null text is empty; texts are read whole, however long; rows without a doc_id neither
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 from .induced_sort import sort_suffixes
 
 SPAN, GRAM = 50, 16
@@ -45,22 +45,28 @@ _RANDOM = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.int64).astyp
 _BASE = 0x9E3779B97F4A7C15
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """The hash of the GRAM bytes from each place on, for a power of two."""
-    h = _RANDOM[data]
-    k, factor = 1, _BASE
-    while k < GRAM:
-        h = h[:-k] * np.uint64(factor) + h[k:]
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the `size` bytes from each place on, put together from powers of two."""
+    part, k, factor = _RANDOM[data], 1, _BASE
+    h, done = None, 0
+    while True:
+        if size & k:
+            n = len(data) - done - k + 1
+            h = part if h is None else h[:n] * np.uint64(factor) + part[done : done + n]
+            done += k
+        if done == size:
+            break
+        part = part[:-k] * np.uint64(factor) + part[k:]
         factor = factor * factor % (1 << 64)
         k *= 2
-    h ^= h >> np.uint64(32)
+    h = h ^ h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     return h ^ h >> np.uint64(29)
 
 
 def anchors(data: np.ndarray) -> np.ndarray:
     """For each window of SPAN bytes in data, the least hash of its grams."""
-    value, size = gram_hashes(data), 1
+    value, size = gram_hashes(data, GRAM), 1
     while size * 2 <= WINDOW:
         value = np.minimum(value[:-size], value[size:])
         size *= 2
@@ -197,15 +203,46 @@ def _covers(held: DataFrame) -> DataFrame:
     return held.select("key", "doc_id", "text", "hashes").mapInArrow(run, SPAN_KIND)
 
 
+def promising(covers: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each cover the part, from and to, outside which no window has a fingerprint that occurs twice."""
+    sizes = np.array([len(c) for c in covers])
+    begin = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(covers)), sizes - SPAN + 1)
+    place = np.arange(len(owner)) + np.repeat(np.arange(len(covers)), sizes - SPAN + 1) * (SPAN - 1)
+    h = gram_hashes(np.frombuffer(b"".join(covers), np.uint8), SPAN)[place]
+    order = np.argsort(h)
+    same = np.zeros(len(h) + 1, bool)
+    same[1:-1] = h[order][1:] == h[order][:-1]
+    twice = np.sort(order[same[1:] | same[:-1]])
+    start, stop = np.zeros(len(covers), np.int64), np.zeros(len(covers), np.int64)
+    own, at = owner[twice], place[twice]
+    start[own[::-1]] = at[::-1]  # the first of each cover is written last
+    stop[own] = at + SPAN
+    return np.where(stop > 0, start - begin, 0), np.where(stop > 0, stop - begin, 0)
+
+
 def repeated_windows(covers: list[bytes], first_doc: np.ndarray) -> list[np.ndarray]:
-    """For each cover the windows, by their starts, that a cover of an earlier document holds."""
+    """For each cover the windows, by their starts, that a cover of an earlier document holds. Only the
+    promising parts of covers are sorted."""
+    start, stop = promising(covers)
+    some = np.flatnonzero(stop > start)
+    out = [np.zeros(0, np.int64)] * len(covers)
+    if len(some):
+        found = _sorted_windows([covers[i][a:b] for i, a, b in zip(some.tolist(), start[some].tolist(), stop[some].tolist(), strict=True)], first_doc[some])
+        for i, a, starts in zip(some.tolist(), start[some].tolist(), found, strict=True):
+            out[i] = starts + a
+    return out
+
+
+def _sorted_windows(covers: list[bytes], first_doc: np.ndarray) -> list[np.ndarray]:
+    """repeated_windows by the suffix array of all covers."""
     sizes = np.array([len(c) for c in covers])
     text = np.frombuffer(b"\0".join(covers) + b"\0", np.uint8).astype(np.int16)
     begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     symbols = text + np.int16(1)
     symbols[begin + sizes] = 0  # ends of covers; they lie within no window
     order, common = sort_suffixes(symbols, 257)
-    owner = np.searchsorted(begin, order, side="right") - 1
+    owner = np.repeat(np.arange(len(covers)), sizes + 1)[order]
     whole = order - begin[owner] + SPAN <= sizes[owner]
     order, owner = order[whole], owner[whole]
     # suffixes without a whole window end within it, so none of them lies between two equal windows
@@ -331,16 +368,20 @@ def find_repeats(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataF
     else:  # each doc_id has one text
         copies = stored(keyed.where("copy").select("doc_id").distinct(), "copies")
         raw = raw.join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("key"), "doc_id", "text")
-    lists = stored(_shared_anchors(raw), "shared-anchors").groupBy("key").agg(F.collect_set("hash").alias("hashes"))
-    held = stored(raw.join(lists, "key"), "texts-with-shared-anchors")
-    covers = stored(_covers(held), "covers")
+    shared = stored(_shared_anchors(raw), "shared-anchors")
+    covers = stored(_covers(raw.join(shared.groupBy("key").agg(F.collect_set("hash").alias("hashes")), "key")), "covers")
+    discard(shared)
     open_ = covers.where("hash is not null").select("hash", "doc_id", "key", "start", "stop", "cover")
     compared = stored(_compared(open_.repartition("hash").sortWithinPartitions("hash", "doc_id")), "compared")
     spans = covers.where("hash is null").select("key", "start", "stop").unionByName(compared)
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     # rows that repeat a document have one cut text
-    texts = held.select("key", "text").dropDuplicates(["key"]) if keyed.groupBy("doc_id", "digest").count().where("count > 1 and doc_id is not null").take(1) else held.select("key", "text")
-    return keyed, stored(_cut(texts.join(spans, "key").select("key", "text", "spans")), "cut-texts")
+    texts = raw.select("key", "text")
+    if keyed.groupBy("doc_id", "digest").count().where("count > 1 and doc_id is not null").take(1):
+        texts = texts.dropDuplicates(["key"])
+    cut = stored(_cut(texts.join(spans, "key").select("key", "text", "spans")), "cut-texts")
+    discard(covers, compared)
+    return keyed, cut
 
 
 def repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
