@@ -44,7 +44,7 @@ from .components import components
 GRAM, NUM, DEN = 5, 80, 100
 SKETCH_BITS, SKETCH_ROWS, FILTER_BITS = 20, 64, 26
 COMMON, SMALL, ROUNDS = 12, 32, 2
-WORDS_KEPT, PAIRS_KEPT, BLOCK, DENSE, COUNTED, SEEN = 250_000, 300_000, 256, 32, 4_000_000, 500_000
+WORDS_KEPT, PAIRS_KEPT, BLOCK, DENSE, COUNTED, SEEN = 150_000, 120_000, 256, 32, 2_000_000, 300_000
 #: Grams of a side of a tile; cells of a tile's tables; most grams that one step of a walk goes down.
 TILE, CELLS, STEP = 200_000, 400_000, 32
 #: Odd multipliers of the hash of a word sequence.
