@@ -1,15 +1,17 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, in DataFrame operations only.
 
-Every document gets the key -ln(u) / w with u in (0, 1) from its id and w its quality weight. A
-source's target is filled first by complete epochs, then by its documents in key order up to the
-rest of the budget. The prefix sum needs no sort of a whole source: keys are laid into 1024 bins of
+Every document gets the key -ln(u) / w with u in (0, 1) from its id and text and w its quality weight.
+A source's target is filled first by complete epochs, then by its documents in key order up to the
+rest of the budget; the document in which the budget ends is taken in part. The prefix sum needs no sort of a whole source: keys are laid into 1024 bins of
 1024 bins, bins are summed before any exchange by source, and only the one fine bin in which the
 budget ends is sorted.
 
 Defined results: null text has size 0 and is never taken; a null or non-positive weight counts as
-the least weight; the null source is a source of its own, last in order; repeated rows are drawn as
-one key each; a document at the edge is taken if at least half of it fits, so that a source's words
-differ from its target by at most half its longest document.
+the least weight; the null source is a source of its own, last in order. Keys that tie go by id, size
+and digest of the text, and rows equal in all of these are interchangeable: reruns and other orders of
+rows give the same rows, null and repeated ids included. A source's taken words are its target's whole
+part. An empty table gives no rows; columns other than doc_id, text and source are not read. Sources
+meet in one sort, with a row for each source, to share out the total.
 """
 
 from __future__ import annotations
@@ -28,19 +30,23 @@ BINS = 1024
 SEED = "mix"
 
 
-def uniform(key: Column, seed: str) -> Column:
+def uniform(key: Column, digest: Column, seed: str) -> Column:
     """A number in (0, 1) from the first 52 bits of md5."""
-    text = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":" + seed))
+    text = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), digest, F.lit(":" + seed))
     return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
 
 
+def text_digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def weighted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, source, size, w: w from the labels; of several labels of one document the lowest counts."""
+    """doc_id, source, size, digest, w: w from the labels; of several labels of one document the lowest counts."""
     low, none, high = WEIGHTS
     label = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("_q"))
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_of(F.col("text")).alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_of(F.col("text")).alias("size"), text_digest(F.col("text")).alias("digest"))
     w = F.when(F.col("_q").isNull(), none).when(F.col("_q") > 0, high).otherwise(low)
-    return sized.join(label, "doc_id", "left").select("doc_id", "source", "size", w.alias("w"))
+    return sized.join(label, "doc_id", "left").select("doc_id", "source", "size", "digest", w.alias("w"))
 
 
 def targets(sources: DataFrame, shares: tuple[int, ...] = SHARES, total: float = TOTAL, most: float = MOST) -> DataFrame:
@@ -75,7 +81,7 @@ def _edge(sums: DataFrame, bin_: str, plan: DataFrame, before: Column) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and `source`, one row per row of docs."""
+    """doc_id, size, source_size, target, taken, and source and digest, one row per row of docs."""
     base = stored(weighted(docs, labels).withColumn("_s", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))), "mix-base")
     per = base.groupBy("_s", "source").agg(F.sum("size").alias("source_size"), F.avg("w").alias("_mean"))
     goal = targets(per.select("source", "source_size")).withColumn("_s", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source"))).drop("source", "source_size")
@@ -84,7 +90,7 @@ def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, seed: str = SEE
     plan = stored(plan.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-plan")
 
     w = F.greatest(F.coalesce(F.col("w"), F.lit(0.0)), F.lit(LEAST_WEIGHT))
-    keyed = base.join(plan, "_s").withColumn("_key", -F.log(uniform(F.col("doc_id"), seed)) / w)
+    keyed = base.join(plan, "_s").withColumn("_key", -F.log(uniform(F.col("doc_id"), F.col("digest"), seed)) / w)
     place = 1 - F.exp(-F.col("_key") * F.col("_mean"))  # rises with the key, near uniform in (0, 1)
     coarse, fine = _bins(place)
     keyed = keyed.withColumn("_b", coarse).withColumn("_c", fine)
@@ -98,27 +104,40 @@ def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, seed: str = SEE
 
     found = keyed.join(edges, "_s", "left").withColumn("_edge", F.coalesce((F.col("_b") == F.col("_eb")) & (F.col("_c") == F.col("_ec")), F.lit(False)))
     sure = F.coalesce((F.col("_b") < F.col("_eb")) | ((F.col("_b") == F.col("_eb")) & (F.col("_c") < F.col("_ec"))), F.lit(False))
-    last = Window.partitionBy("_s").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    run = F.col("_from2") + F.sum("size").over(last)
-    at_edge = found.where("_edge").withColumn("_in", 2 * run - F.col("size") <= 2 * F.col("rest"))
-    whole = found.where("not _edge").withColumn("_in", sure)
-    taken = F.col("epochs") * F.col("size") + F.when(F.col("_in"), F.col("size")).otherwise(F.lit(0))
-    return whole.unionByName(at_edge).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source")
+    last = Window.partitionBy("_s").orderBy("_key", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, 0)
+    left = F.floor("rest") - (F.col("_from2") + F.sum("size").over(last) - F.col("size"))
+    at_edge = found.where("_edge").withColumn("_in", F.least("size", F.greatest(F.lit(0), left)))
+    whole = found.where("not _edge").withColumn("_in", F.when(sure, F.col("size")).otherwise(F.lit(0)))
+    taken = F.col("epochs") * F.col("size") + F.col("_in")
+    return whole.unionByName(at_edge).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), "source", "digest")
+
+
+def _row_key(doc_id: Column, source: Column, digest: Column) -> Column:
+    """A text that tells rows apart by id, source and text, nulls included."""
+    part = lambda c: F.when(c.isNull(), "n").otherwise(F.concat(F.lit("s"), F.length(c).cast("string"), F.lit(":"), c))
+    return F.concat(part(doc_id.cast("long").cast("string")), part(source.cast("string")), digest)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that the mix takes, each as often as it is taken, with the columns of docs. Rows of one
-    doc_id share a decision; rows without words or without a doc_id are not taken."""
-    took = mix(spark, docs, labels).where("taken > 0 and doc_id is not null").groupBy("doc_id").agg(F.max(F.expr("taken div size")).alias("_times"))
-    rows = docs.join(took, "doc_id")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(docs.columns)
+    """The rows that the mix takes, each as often as it is taken, with the columns of docs; documents stay
+    whole, and one that is taken in part counts if that is half of it or more. Of rows equal in id, source
+    and text one stands for all, as often as all of them are taken; rows without words are not taken."""
+    times = F.floor(F.col("taken") / F.col("size") + 0.5)
+    took = mix(spark, docs, labels).where("size > 0").withColumn("key", _row_key(F.col("doc_id"), F.col("source"), F.col("digest")))
+    took = stored(took.groupBy("key").agg(F.sum(times).cast("int").alias("times"), F.count(F.lit(1)).alias("rows")).where("times > 0"), "mix-times")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("row"), _row_key(F.col("doc_id"), F.col("source"), text_digest(F.col("text"))).alias("key"))
+    if took.where("rows > 1").take(1):
+        rows = rows.groupBy("key").agg(F.first("row").alias("row"))
+    return rows.join(took, "key").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 ORACLE = """
 WITH lab AS (SELECT doc_id, min(quality) AS q FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 d AS (SELECT documents.doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
              CASE WHEN q IS NULL THEN 0.5 WHEN q > 0 THEN 1.0 ELSE 0.25 END::DOUBLE AS w,
-             (('0x' || substr(md5(coalesce(documents.doc_id::VARCHAR, '') || ':mix'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+             md5(coalesce(text, '')) AS digest,
+             (('0x' || substr(md5(coalesce(documents.doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) || ':mix'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
       FROM documents LEFT JOIN lab ON documents.doc_id = lab.doc_id),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT] AS share
       FROM d GROUP BY source),
@@ -128,9 +147,9 @@ l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2.0::DOUBLE * coalesce
 t AS (SELECT source, source_size, least(2.0::DOUBLE * source_size, (SELECT level FROM l WHERE level <= ratio ORDER BY ratio, source IS NULL, source LIMIT 1) * share) AS target FROM l),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
 k AS (SELECT d.doc_id, d.size, p.*, target - epochs * source_size AS rest,
-             sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(u) / w, d.doc_id ROWS UNBOUNDED PRECEDING) AS run
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(u) / w, d.doc_id, d.size, d.digest ROWS UNBOUNDED PRECEDING) AS run
       FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source_size, target::DOUBLE AS target,
-       (epochs * size + CASE WHEN 2 * run - size <= 2 * rest THEN size ELSE 0 END)::BIGINT AS taken
+       (epochs * size + least(size, greatest(0, floor(rest)::BIGINT - (run - size))))::BIGINT AS taken
 FROM k
 """

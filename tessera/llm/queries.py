@@ -35,7 +35,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("source")
+    return mixing.mix(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("source", "digest")
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
