@@ -6,11 +6,15 @@ their host's, each with the strength that the spread of the grouped rates calls
 moments), so a sparse site stays near its prior. A document's posterior odds are its evidence times
 its path's odds over the global ones.
 
-A second head of the same model finds toxic texts. The model is fitted on the driver from at most
-FIT_ROWS labelled texts; everything else covers all documents.
-
-Defined results: null text is empty; null host or path is a site of its own; of several labels of a
-document the lowest quality and the highest toxicity count; without labels all evidence is 0.5.
+A second head of the same model finds toxic texts. The model is fitted on the driver from the features
+of at most FIT_ROWS labelled documents, which executors take from whole texts; everything else covers
+all documents.
+
+Defined results: null text is empty, and texts are read whole, however long; null host or path is a
+site of its own; of several labels of a document the lowest quality and the highest toxicity count; of
+several texts of one doc_id that of the largest digest is fitted; rows that repeat each count for their
+site and get a row; without labels all evidence is 0.5. An empty table gives no rows; other columns
+aren't read.
 """
 
 from __future__ import annotations
@@ -25,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-BITS, FIT_ROWS, FIT_CHARS = 18, 8000, 20_000
-EPOCHS, RATE, DECAY, SEED, LEAST_RATIO = 12, 0.3, 1e-5, 3, 25.0
+BITS, FIT_ROWS = 18, 8000
+EPOCHS, BATCH, RATE, DECAY, SEED, LEAST_RATIO = 16, 16, 0.3, 1e-5, 3, 25.0
 WORDS_KEPT = 200_000
 SHAPES, PREFIXES = 12, (4, 5, 6)
 EDGES = ".,;:!?\"'()[]{}"
@@ -101,28 +105,38 @@ class Model:
     def score(self, rows: np.ndarray, shape: np.ndarray) -> np.ndarray:
         return logistic(self.words[rows].sum(axis=0) + shape @ self.shape) if self.fitted else np.full(2, 0.5)
 
-    def fit(self, texts: list[str], quality: list[int], toxic: list[int]) -> Model:
-        if not texts:
+    def fit(self, found: list[tuple[np.ndarray, np.ndarray]], quality: list[int], toxic: list[int]) -> Model:
+        """found: features of each text."""
+        if not found:
             return self
-        features = Features()
-        data = [features.of(t) for t in texts]
         gold = np.array([quality, toxic], float).T
         # only words that go with a label beyond chance carry over to other documents
-        use = telling([r for r, _ in data], gold)
-        data = [(r[use[r]], s) for r, s in data]
-        sums, shape_sums = np.full_like(self.words, 1e-2), np.full_like(self.shape, 1e-2)
-        self.fitted = True
+        use = np.flatnonzero(telling([r for r, _ in found], gold))
+        place = np.full(1 << BITS, -1)
+        place[use] = np.arange(len(use))
+        rows = [p[p >= 0] for p in (place[r] for r, _ in found)]
+        shapes = np.array([s for _, s in found])
+        sizes = np.array([len(r) for r in rows])
+        begin, flat = np.cumsum(sizes) - sizes, np.concatenate(rows)
+        words, sums, shape_sums = np.zeros((len(use), 2)), np.full((len(use), 2), 1e-2), np.full_like(self.shape, 1e-2)
         rng = np.random.default_rng(SEED)
         for _ in range(EPOCHS):
-            for i in rng.permutation(len(data)).tolist():
-                rows, shape = data[i]
-                slope = self.score(rows, shape) - gold[i]
-                g = slope.astype(np.float32) + DECAY * self.words[rows]
-                sums[rows] += g * g
-                self.words[rows] -= RATE / 2 * g / np.sqrt(sums[rows])
-                g = np.outer(shape, slope)
+            order = rng.permutation(len(rows))
+            for at in range(0, len(order), BATCH):
+                part = order[at : at + BATCH]
+                of = np.repeat(np.arange(len(part)), sizes[part])
+                ids = flat[np.repeat(begin[part], sizes[part]) + np.arange(len(of)) - np.repeat(np.cumsum(sizes[part]) - sizes[part], sizes[part])]
+                known = np.stack([np.bincount(of, words[ids, k], minlength=len(part)) for k in range(2)], axis=1)
+                slope = logistic(known + shapes[part] @ self.shape) - gold[part]
+                seen, inverse = np.unique(ids, return_inverse=True)
+                g = np.stack([np.bincount(inverse, slope[of, k], minlength=len(seen)) for k in range(2)], axis=1) + DECAY * words[seen]
+                sums[seen] += g * g
+                words[seen] -= RATE / 2 * g / np.sqrt(sums[seen])
+                g = shapes[part].T @ slope
                 shape_sums += g * g
                 self.shape -= RATE * g / np.sqrt(shape_sums)
+        self.words[use] = words
+        self.fitted = True
         return self
 
 
@@ -131,9 +145,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         F.min("quality").alias("_quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("_toxic"))
     drawn = known.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(rows)
-    got = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, FIT_CHARS).alias("text")).join(F.broadcast(drawn), "doc_id").collect()  # FIT_ROWS at most
-    got = sorted(got, key=lambda r: (r["doc_id"], r["text"]))
-    return Model().fit([r["text"] for r in got], [int(r["_quality"] > 0) for r in got], [int(r["_toxic"] > 0) for r in got])
+    text = F.coalesce("text", F.lit(""))
+    one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(drawn), "doc_id").groupBy("doc_id").agg(
+        F.max_by("text", F.sha2(F.col("text").cast("binary"), 256)).alias("text"), F.first("_quality").alias("quality"), F.first("_toxic").alias("toxic"))
+
+    def run(batches):
+        features = Features()
+        for batch in batches:
+            found = [features.of(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([np.sort(r).astype(np.int32).tobytes() for r, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary()), batch.column(2), batch.column(3)],
+                ["doc_id", "words", "shape", "quality", "toxic"])
+
+    # a row for each drawn document, of 2 ** BITS numbers at most
+    got = one.selectExpr("doc_id", "text", "cast(quality as int) quality", "cast(toxic as int) toxic").mapInArrow(run, "doc_id long, words binary, shape binary, quality int, toxic int").collect()
+    got = sorted(got, key=lambda r: r["doc_id"])
+    found = [(np.frombuffer(r["words"], np.int32).astype(np.int64), np.frombuffer(r["shape"])) for r in got]
+    return Model().fit(found, [int(r["quality"] > 0) for r in got], [int(r["toxic"] > 0) for r in got])
 
 
 def evidence(spark: SparkSession, sited: DataFrame, model: Model) -> DataFrame:
