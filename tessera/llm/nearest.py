@@ -10,9 +10,14 @@ The centre comes from a bounded sample; every vector is coded. Vectors and queri
 blocks of at most about PART rows by a hash of their ids, so that equal vectors spread out, and each
 pair of a vector block and a query block is one group. Blocks give their k best for each query.
 
+Bounds are kept in units of the query's length times the block's longest rest, so components of any
+finite size do; a bound that is no number counts as reached.
+
 Defined results: vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, nor do rows without an id; rows with the query's own id are
-never its candidates; rows that repeat an id each count.
+never its candidates; rows that repeat an id each count; equal scores go by the smaller id, and of
+rows equal in both any comes first. An empty table gives no rows; columns other than vec_id and
+embedding are not read.
 """
 
 from __future__ import annotations
@@ -46,32 +51,43 @@ def rotation(d: int, seed: int = SEED) -> np.ndarray:
     return (q * np.sign(np.diag(r)))[:, :d]
 
 
+def lengths_of(x: np.ndarray) -> np.ndarray:
+    """The lengths of rows; no square of a large component overflows."""
+    most = np.abs(x).max(axis=1, initial=0)
+    return np.linalg.norm(x / np.where(most > 0, most, 1)[:, None], axis=1) * most
+
+
 def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed bits, lengths, and inner products of the codes with the unit vectors they stand for."""
     rest = x - centre
-    length = np.linalg.norm(rest, axis=1)
+    length = lengths_of(rest)
     unit = (rest / np.where(length > 0, length, 1)[:, None]) @ turn.T
     return np.packbits(unit > 0, axis=1), length, np.abs(unit).sum(axis=1) / np.sqrt(len(turn))
 
 
-def upper_bounds(bits: np.ndarray, length: np.ndarray, fit: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> np.ndarray:
-    """Upper bounds of the inner products, queries by vectors."""
+def upper_bounds(bits: np.ndarray, length: np.ndarray, fit: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Upper bounds of the inner products, queries by vectors, and for each query the unit that they are in."""
     d = len(turn)
     signs = np.unpackbits(bits, axis=1, count=d).astype(np.float32) * 2 - 1
     fit = np.maximum(fit, 1e-9)
+    size = lengths_of(queries)
+    unit = max(float(length.max(initial=0)), float(lengths_of(centre[None, :])[0]))
+    unit = unit if 0 < unit < np.inf else 1.0
+    queries, length, centre = queries / size[:, None], length / unit, centre / unit
     out = (queries @ turn.T).astype(np.float32) @ signs.T
     out *= (length / fit / np.sqrt(d)).astype(np.float32)
     out += (queries @ centre)[:, None].astype(np.float32)
     spread = length * np.sqrt(np.maximum(1 - fit**2, 0)) / fit / np.sqrt(max(d - 1, 1)) * EPSILON + 1e-5 * (length + np.linalg.norm(centre))
-    out += np.linalg.norm(queries, axis=1)[:, None].astype(np.float32) * spread.astype(np.float32)
-    return out
+    out += spread.astype(np.float32)
+    return out, size * unit
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row in double precision, added in order of the components."""
     total = np.zeros(len(a))
-    for k in range(a.shape[1]):
-        total += a[:, k] * b[:, k]
+    with np.errstate(over="ignore", invalid="ignore"):
+        for k in range(a.shape[1]):
+            total += a[:, k] * b[:, k]
     return total
 
 
@@ -80,17 +96,18 @@ def best_of_block(ids: np.ndarray, x: np.ndarray, code, query_ids: np.ndarray, q
     out = []
     for at in range(0, len(queries), 256):
         q, qi = queries[at : at + 256], query_ids[at : at + 256]
-        bound = upper_bounds(*code, q, centre, turn)
-        bound[qi[:, None] == ids[None, :]] = -np.inf
+        bound, unit = upper_bounds(*code, q, centre, turn)
+        own = qi[:, None] == ids[None, :]
+        bound[np.isnan(bound)] = np.inf
+        bound[own] = -np.inf
+        bar = np.full(len(q), -np.inf)
         if len(ids) > FIRST * k:
             top = np.argpartition(bound, -FIRST * k, axis=1)[:, -FIRST * k :]
             known = products(x[top.ravel()], np.repeat(q, FIRST * k, axis=0)).reshape(top.shape)
-            known[np.take_along_axis(bound, top, axis=1) == -np.inf] = -np.inf
-            bar = np.partition(known, -k, axis=1)[:, -k].astype(np.float32)
-            bar -= 1e-6 * np.abs(bar)
-        else:
-            bar = np.full(len(q), np.finfo(np.float32).min)
-        row, col = np.nonzero(bound >= bar[:, None])
+            known[np.take_along_axis(own, top, axis=1)] = -np.inf
+            bar = np.partition(known, -k, axis=1)[:, -k] / unit
+            bar = np.where(np.isfinite(bar), bar - 1e-6 * np.abs(bar), -np.inf)
+        row, col = np.nonzero((bound >= bar[:, None].astype(np.float32)) & ~own)
         score = np.concatenate([products(x[col[a : a + 100_000]], q[row[a : a + 100_000]]) for a in range(0, len(row), 100_000)] or [np.zeros(0)])
         order = np.lexsort((ids[col], -score, row))
         row, col, score = row[order], col[order], score[order]
@@ -106,7 +123,8 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K
     counts = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q")).first()
     sample = np.array([r["embedding"] for r in rows.select("embedding").limit(CENTRE_SAMPLE).collect()])
     d = sample.shape[1] if len(sample) else 0
-    centre, turn = sample.mean(axis=0) if len(sample) else np.zeros(0), rotation(d)
+    most = np.abs(sample).max() if len(sample) else 1.0
+    centre, turn = (sample / most).mean(axis=0) * most if len(sample) else np.zeros(0), rotation(d)
     parts, blocks = max(1, -(-counts["n"] // PART)), max(1, -(-counts["q"] // PART))
 
     def coded(batches):

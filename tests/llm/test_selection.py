@@ -333,6 +333,24 @@ def test_neighbours(spark, monkeypatch):
     assert hits >= 0.99 * 20 * len(got)
 
 
+@pytest.mark.parametrize("size", [1e20, 1e150, 1e-30])
+def test_components_of_any_size(spark, monkeypatch, size):
+    """Finite components far beyond what single precision holds; repeated ids and clashing columns."""
+    monkeypatch.setattr(nearest, "PART", 90)
+    x = np.random.default_rng(4).standard_normal((200, 8)) * size
+    data = [(i, [float(v) for v in x[i]], 1, 2.0) for i in range(200)] + [(7, [float(v) for v in x[8]], 1, 2.0)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, part int, length double")
+    got = {}
+    for r in nearest.search(spark, df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    hits = 0
+    for q in range(0, 200, 20):
+        want = sorted((-float(x[q] @ np.array(v)), i) for i, v, _, _ in data if i != q)[:20]
+        hits += len({i for _, i in want} & {i for _, i in got[q]})
+        assert len(got[q]) == 20 and got[q] == sorted(got[q])
+    assert hits >= 0.98 * 200
+
+
 def test_few_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     assert nearest.search(spark, spark.createDataFrame([], schema), F.col("vec_id") % 20 == 0).count() == 0
