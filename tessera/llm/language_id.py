@@ -8,11 +8,15 @@ in text without spaces, are cut into consecutive pieces, and each piece counts a
 text's language is the label with the highest mean posterior over its words with letters, and that
 mean is its score.
 
-Training takes a bounded sample (PER_LANG documents for each label, TRAIN_CHARS of each) to the
-driver; the model of 2 ** BITS rows is broadcast. Prediction reads whole texts.
+Training takes a bounded sample to the driver: PER_LANG documents for each of the MOST_LABELS most
+frequent labels, and of longer ones TRAIN_WORDS words in runs that are spread evenly over the whole
+text. Labels beyond MOST_LABELS are not learned. The model of 2 ** BITS rows is broadcast. Prediction
+reads whole texts.
 
 Defined results: null text, or text without a letter, is `und` with score 0; with no labelled row
-to learn from, every text is `und`; ties go to the label first in order.
+to learn from, every text is `und`; ties go to the label first in order. Rows that repeat a doc_id
+each get a row; a row without one is not held out and can be learned from. An empty table gives no
+rows. keep_known carries all columns, whatever their names; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UND = "und"
-BITS, PER_LANG, TRAIN_CHARS = 17, 400, 3000
+BITS, PER_LANG, TRAIN_WORDS, RUNS, MOST_LABELS = 17, 400, 600, 12, 200
 STEPS, BATCH, LENGTH, RATE, SEED = 150, 64, 48, 0.5, 7
 WIDTH = 32  # bytes of a piece at most
 PREFIXES, SUFFIXES = (1, 2, 3, 4), (1, 2, 3, 4, 5)
@@ -228,17 +232,34 @@ def train(rows: list[tuple[str, str]]) -> Model:
     return Model(labels, weights, moves)
 
 
+def spread(text: str | None) -> str:
+    """A text's words, of more than TRAIN_WORDS as many in RUNS runs over all of it."""
+    words = pieces(text)[0] if text else []
+    if len(words) <= TRAIN_WORDS:
+        return " ".join(words)
+    size = TRAIN_WORDS // RUNS
+    return " ".join(w for at in np.linspace(0, len(words) - size, RUNS).astype(int).tolist() for w in words[at : at + size])
+
+
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """From rows with a label that are not held out; about per_lang of each label."""
-    usable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
+    """From rows with a label that are not held out; about per_lang of each label, drawn by a hash of the id."""
+    usable = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
+    most = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LABELS)
+    counts = {r["lang"]: r["n"] for r in most.collect()}
     if not counts:
         return train([])
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(per_lang / n))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 20)) / float(1 << 20)
-    sample = usable.where(draw < share[F.col("lang")]).select(F.substring(F.coalesce("text", F.lit("")), 1, TRAIN_CHARS).alias("text"), "lang", "doc_id")
-    rows = sample.limit(2 * per_lang * len(counts)).collect()
-    return train([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))])
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30))
+    sample = usable.withColumn("draw", drawn).where(F.col("draw") / float(1 << 30) < share[F.col("lang")])
+
+    def run(batches):
+        for batch in batches:
+            texts = pa.array([spread(t.as_py()) for t in batch.column(1)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, batch.column(2), batch.column(3)], ["doc_id", "text", "lang", "draw"])
+
+    bounded = sample.select("doc_id", "text", "lang", "draw").mapInArrow(run, "doc_id long, text string, lang string, draw long")
+    rows = bounded.orderBy("draw", "doc_id", "lang", "text").limit(2 * per_lang * len(counts)).collect()
+    return train([(r["text"], r["lang"]) for r in rows])
 
 
 class _Worker:
@@ -339,8 +360,9 @@ def label_words(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, runs array<struct<lang:string,first:long,end:long>>")
 
 
-def keep_known(spark: SparkSession, docs: DataFrame, model: Model, least_score: float = 0.35) -> DataFrame:
-    """docs without the rows whose language is undetermined or has a lower score; all columns stay."""
+def keep_known(spark: SparkSession, docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """docs without the rows whose language can't be told: those without letters, and those whose words, each
+    by itself, have a label of less than `least` on average. A text in several languages stays. All columns stay."""
     held = spark.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
@@ -349,8 +371,8 @@ def keep_known(spark: SparkSession, docs: DataFrame, model: Model, least_score:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for i, _, post, letters in worker.posteriors(x.as_py() for x in batch.column(place)):
-                lang, score = _decide(held.value, post, letters)
-                keep[i] = lang != UND and score >= least_score
+                lang, _ = _decide(held.value, post, letters)
+                keep[i] = lang != UND and post[letters].max(axis=1).mean(dtype=np.float64) >= least
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
