@@ -9,9 +9,15 @@ length that hold enough of its words are candidates too. A candidate whose longe
 is long enough gives one alignment of the template against that part of the text, within a band. A
 match has its share of the template's words and its place in the text, in characters.
 
-Defined results: null or empty text has no match; a text with the same notice twice has two matches;
-of overlapping matches the one with more matching words stays, then the one with higher coverage,
-then the first in order of name.
+Words that decide which license it is must be in the matched part: those of a template that hold a digit
+or are in DECIDING; and words in DECIDING that the template lacks must not be. So another version or
+variant of a license isn't a match, however many words it shares.
+
+Defined results: null or empty text has no match, and texts are read whole, however long; a text with
+the same notice twice has two matches; of overlapping matches the one with more matching words stays,
+then the one with higher coverage, then the first in order of name. Rows that repeat each get their
+matches, also without a doc_id; an empty table gives no rows. Columns other than doc_id and text are
+not read.
 """
 
 from __future__ import annotations
@@ -34,25 +40,47 @@ TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
     "Apache-2.0-disclaimer": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "BSD-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "BSD-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-4.0-long": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC-BY-SA-4.0-long": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-NC-ND-4.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0-long": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-ND-4.0-long": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "GPL-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MIT": "Released under the MIT License.",
     "MIT-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "MIT-warranty": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
     "rights-reserved": "All rights reserved.",
     "rights-reserved-long": "All rights reserved. No part of this publication may be reproduced without permission.",
 }
 
 
+#: Words that tell licenses and their variants apart.
+DECIDING = (
+    "affero lesser library limited agpl lgpl gpl gnu mozilla mpl apache mit bsd isc boost unlicense eclipse "
+    "attribution attribution-sharealike attribution-noderivatives attribution-noncommercial attribution-noncommercial-sharealike attribution-noncommercial-noderivatives "
+    "noncommercial noderivatives sharealike by by-sa by-nd by-nc by-nc-sa by-nc-nd cc0"
+).split()
+
+
 class Words:
     """Hashes of normalised words; 0 for a word that is all punctuation."""
 
@@ -85,6 +113,11 @@ class Index:
         self.hashes = np.array([e[0] for e in entries], np.uint64)
         self.owner, self.at = np.array([e[1] for e in entries]), np.array([e[2] for e in entries])
         self.need = [max(GRAM, math.ceil(least * len(c) - 1e-9)) for c in self.codes]
+        telling = words.of(DECIDING)
+        own = [{int(words.of([w])[0]) for w in templates[n].split() if any(map(str.isdigit, w.strip(EDGES)))} for n in self.names]
+        # of the words that decide: those that a match must hold, and those that it must not
+        self.must = [np.array(sorted(d | set(telling.tolist()) & set(c.tolist())), np.uint64) for d, c in zip(own, self.codes, strict=True)]
+        self.never = [np.setdiff1d(telling, c) for c in self.codes]
         self.spans = [len(c) + len(c) // 2 for c in self.codes]
         # per template the places of each word as bits; per word the templates that hold it
         self.bits: list[dict[int, int]] = [{} for _ in self.codes]
@@ -104,6 +137,10 @@ class Index:
                 v = ((v + u) | (v - u)) & full
         return n - v.bit_count()
 
+    def decided(self, owner: int, codes: np.ndarray) -> bool:
+        """Whether a matched part of a text holds the words that tell this template from others, and no other's."""
+        return bool(np.isin(self.must[owner], codes).all()) and not np.isin(self.never[owner], codes).any()
+
     def candidates(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
         """(template, first diagonal, last diagonal): hits of one template within its reach are one candidate,
         widened by it for long templates; each longest set of hits is one, so sets can overlap."""
@@ -186,6 +223,9 @@ def matches(index: Index, words: Words, text: str | None, least: float = LEAST_C
             n, start, stop = align(template, rest, low, high)
             if n < need[owner]:
                 break
+            if not index.decided(owner, rest[start:stop]):
+                rest[start:stop] = 0  # another version or variant
+                continue
             found.append((-n, -n / len(template), index.names[owner], int(kept[start]), int(kept[stop - 1]) + 1))
             rest[start:stop] = 0
             if owner not in free:
