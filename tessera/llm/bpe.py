@@ -13,7 +13,11 @@ one path of a word is in the automaton, and a position from which no arc leads o
 again. Decoding emits the labels of the arcs.
 
 Defined results: null text is empty and has no tokens; an added token's string in the text becomes
-that token; very long words are encoded but not kept in the worker's word table.
+that token, the longest of several; texts are encoded whole, and very long words are not kept in the
+worker's word table; rows that repeat, and rows without a doc_id, each get a row; an empty table gives
+no rows. encode_documents and decode_documents carry all columns, whatever their names, and replace
+token_ids and text. Vocabularies that strip around added tokens, match them as whole words or lack a
+byte are refused.
 """
 
 from __future__ import annotations
@@ -169,10 +173,15 @@ class Tokenizer:
         spec = json.loads(text)
         vocab, symbols = spec["model"]["vocab"], byte_symbols()
         added = {a["content"]: a["id"] for a in spec["added_tokens"]}
+        odd = [a["content"] for a in spec["added_tokens"] if a.get("lstrip") or a.get("rstrip") or a.get("single_word")]
+        if odd or spec.get("normalizer"):
+            raise ValueError(f"not a plain byte-level vocabulary: normalizer {spec.get('normalizer')}, added tokens {odd}")
         labels: list[bytes | None] = [None] * (max([*vocab.values(), *added.values()]) + 1)
         for token, i in vocab.items():
             if token not in added:
                 labels[i] = bytes(symbols[c] for c in token)
+        if missing := set(range(256)) - {b[0] for b in labels if b and len(b) == 1}:
+            raise ValueError(f"no token for bytes {sorted(missing)}")
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         return cls(Automaton(labels, [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]), added)
 

@@ -12,12 +12,17 @@ from . import bpe, exact_dedup, language_id, license_scan, mixing, nearest, ngra
 from .common import table
 
 
-#: Where the public vocabularies lie; a parameter of a deployment.
-TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS", "/opt/tokenizers")
+#: A folder of public vocabularies; where it is unset, the installed package of them tells.
+TOKENIZERS = os.environ.get("TESSERA_TOKENIZERS")
 
 
 def tokenizer(name: str = "byte_bpe_50k.json") -> bpe.Tokenizer:
-    return bpe.Tokenizer.from_file(f"{TOKENIZERS}/{name}")
+    """Read on the driver and broadcast."""
+    if TOKENIZERS:
+        return bpe.Tokenizer.from_file(f"{TOKENIZERS}/{name}")
+    import public_tokenizers
+
+    return bpe.Tokenizer.from_file(public_tokenizers.path(name))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.oracle(), "op4_mixing": mixing.ORACLE, "op7_nearest": nearest.ORACLE, "op9_exact_dedup": OP9_SQL}
+    return {"op3_url_filter": url_filter.oracle(), "op4_mixing": mixing.ORACLE, "op7_nearest": nearest.ORACLE, "op8_ngram_join": ngram_join.ORACLE, "op9_exact_dedup": OP9_SQL, "op10_substring_dedup": substring_dedup.ORACLE}

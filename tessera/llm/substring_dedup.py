@@ -407,3 +407,17 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"), "text")
     rows = rows.join(new, ["doc_id", "digest"], "left").select("row", left.alias("text"))
     return rows.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, b[i + 1 : i + 50] AS span FROM (SELECT doc_id, b, unnest(range(octet_length(b) - 49)) AS i FROM d)),
+f AS (SELECT span, min(doc_id) AS first FROM w GROUP BY span),
+hit AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, false) AS apart FROM w JOIN f ON w.span = f.span WHERE first < doc_id),
+run AS (SELECT doc_id, i, sum(apart::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS r FROM hit),
+cut AS (SELECT doc_id, min(i) AS start, max(i) + 50 AS stop FROM run GROUP BY doc_id, r),
+part AS (SELECT doc_id, start, stop, lag(stop, 1, 0) OVER (PARTITION BY doc_id ORDER BY start) AS before FROM cut),
+kept AS (SELECT part.doc_id, count(*) AS n_spans, sum(stop - start)::BIGINT AS n_removed, unhex(string_agg(hex(b[before + 1 : start]), '' ORDER BY start) || hex(any_value(b)[max(stop) + 1 :])) AS rest FROM part JOIN d ON part.doc_id = d.doc_id GROUP BY part.doc_id)
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(coalesce(rest, b)) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""

@@ -1,12 +1,14 @@
 import hashlib
+import json
 import random
 
+import public_tokenizers
 import pytest
 from tokenizers import Tokenizer as Library
 
-from tessera.llm import bpe, queries
+from tessera.llm import bpe
 
-PATH = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
+PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 @pytest.fixture(scope="module")
@@ -92,3 +94,29 @@ def test_full_tables_are_emptied(ours, monkeypatch):
     fresh = bpe.Tokenizer(ours.automaton, ours.added)
     text = "several different words in a row with endings"
     assert ids(fresh, text) == ids(ours, text) and len(fresh._words) <= 3
+
+
+def test_vocabularies_that_are_refused():
+    symbols = bpe.byte_symbols()
+    vocab = {c: b for c, b in symbols.items()}
+    plain = {"added_tokens": [], "normalizer": None, "model": {"vocab": vocab, "merges": []}}
+    assert bpe.Tokenizer.from_json(json.dumps(plain)).decode(bpe.Tokenizer.from_json(json.dumps(plain)).encode("é!")) == "é!"
+    for change in ({"normalizer": {"type": "NFC"}}, {"added_tokens": [{"content": "<x>", "id": 256, "lstrip": True}]}, {"model": {"vocab": {c: b for c, b in vocab.items() if b != 65}, "merges": []}}):
+        with pytest.raises(ValueError):
+            bpe.Tokenizer.from_json(json.dumps(plain | change))
+
+
+def test_documents_with_repeated_rows_and_any_columns(spark, ours, library):
+    long = "word " * 50_000 + "é" * 3000
+    data = [(1, "a b", 7, "x"), (1, "a b", 7, "x"), (None, "c", 8, "y"), (2, None, 9, "z"), (3, "", 10, "z"), (4, long, 11, "z")]
+    df = spark.createDataFrame(data, "doc_id long, text string, token_ids int, n_tokens string")
+    got = sorted(((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.digest_documents(spark, df, ours).collect()), key=repr)
+    want = []
+    for i, text, *_ in data:
+        own = library.encode(text or "", add_special_tokens=False).ids
+        want.append((i, len(own), hashlib.sha256(bpe.array("I", own).tobytes()).hexdigest(), hashlib.sha256(library.decode(own, skip_special_tokens=False).encode()).hexdigest()))
+    assert got == sorted(want, key=repr)
+    encoded = bpe.encode_documents(spark, df, ours)
+    assert encoded.columns == ["doc_id", "text", "n_tokens", "token_ids"] and encoded.count() == 6
+    back = bpe.decode_documents(spark, encoded.drop("text"), ours)
+    assert sorted(r["text"] for r in back.collect()) == sorted(t or "" for _, t, *_ in data)
