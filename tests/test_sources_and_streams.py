@@ -73,3 +73,32 @@ def test_streamed_lru_equals_batch(spark, tmp_path):
     schema = "cache string, seq long, op string, key string, size long"
     got = streamed(spark, tmp_path, rows, schema, lambda s: stateful.byte_lru(s, 100))
     assert sorted(map(tuple, got)) == sorted(map(tuple, cache.byte_lru(spark.createDataFrame(rows, schema), 100).collect()))
+
+
+def test_state_of_streams_that_stop_goes(spark, tmp_path):
+    """After its time an unfinished stream's parts are dropped, and its last chunk alone makes nothing whole."""
+    import time
+
+    folder, schema = tmp_path / "in", "stream_id string, seq long, data binary, header string, is_last boolean"
+    folder.mkdir()
+    put = lambda i, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder / f"b{i}"))
+    put(0, [("old", 0, bytearray(b"a"), "h", False), ("new", 0, bytearray(b"x"), "g", True)])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "*"))
+    q = stateful.assemble(stream, kept=1).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).start(str(tmp_path / "out"))
+    out = lambda: {r["stream_id"] for r in spark.read.schema("stream_id string").parquet(str(tmp_path / "out")).collect()} if list((tmp_path / "out").glob("*.parquet")) else set()
+    seen = lambda n: sum(p["numInputRows"] for p in q.recentProgress) >= n
+
+    def until(ready):
+        end = time.time() + 60
+        while not ready():
+            assert time.time() < end and q.isActive
+            time.sleep(0.3)
+
+    try:  # processing-time timeouts run batches without data on and on
+        until(lambda: out() == {"new"})
+        time.sleep(3)
+        put(1, [("old", 1, bytearray(b"b"), None, True), ("other", 0, bytearray(b"y"), "f", True)])
+        until(lambda: "other" in out() and seen(4))
+    finally:
+        q.stop()
+    assert out() == {"new", "other"}
