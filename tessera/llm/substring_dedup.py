@@ -10,7 +10,8 @@ match, and all windows that match have one anchor, so shards by anchor need not
    frequent passage fills no partition.
 3. Of each shared anchor the cover goes to the anchor's shard: the bytes of all neighbouring windows
    that belong to it, so a run of one byte or a short period is one cover. Such a run goes cut to the
-   windows that differ. A cover that a task has met in an earlier document is settled there.
+   windows that differ. Covers of hot anchors go in pieces to shards of their own, by the bytes around the
+   anchor and in the end by window. A cover that a task has met in an earlier document is settled there.
 4. A shard takes the parts of its distinct covers in which a window's fingerprint occurs more than once,
    lays them end to end and sorts their suffixes by external induced sorting.
    Neighbours with a common prefix of 50 bytes or more are one window; it is removed from every
@@ -41,6 +42,8 @@ from .induced_sort import sort_suffixes
 SPAN, GRAM = 50, 16
 WINDOW = SPAN - GRAM + 1
 CHUNK, SHARD, COVERS_KEPT = 2 << 20, 2 << 20, 300_000
+#: Documents of a hot anchor, and of one whose windows are dealt one by one; parts of the former's windows.
+HOT, HOTTEST, PARTS = 5000, 500_000, 4
 _RANDOM = np.random.default_rng(5).integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -158,49 +161,77 @@ def _shared_anchors(docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(meet, "key long, hash long")
 
 
-SPAN_KIND = "key long, doc_id long, start long, stop long, hash long, cover binary"
+SPAN_KIND = "key long, doc_id long, start long, stop long, period int, hash long, cover binary"
+
+
+def split_windows(cover: bytes, value: int, parts: int) -> list[tuple[int, int, int]]:
+    """(first window, end window, hash) of the pieces in which a hot anchor's cover is dealt: neighbouring
+    windows that hold the anchor's first occurrence in one part of its possible places. Such windows share
+    the bytes around it, whose hash is the piece's; with as many parts as places a piece is one window. The
+    content of a window alone decides its piece's hash."""
+    grams = gram_hashes(np.frombuffer(cover, np.uint8), GRAM).view(np.int64)
+    places = np.flatnonzero(grams == value)
+    window = np.arange(len(cover) - SPAN + 1)
+    at = places[np.searchsorted(places, window)]
+    bounds = np.linspace(0, WINDOW, parts + 1).astype(int)
+    part = np.searchsorted(bounds, at - window, side="right") - 1
+    cuts = (np.flatnonzero((np.diff(at) != 0) | (np.diff(part) != 0)) + 1).tolist()
+    out = []
+    for a, b in zip([0, *cuts], [*cuts, len(window)], strict=True):
+        low, high = int(bounds[part[a]]), int(bounds[part[a] + 1]) - 1
+        shared = cover[int(at[a]) - low : int(at[a]) - high + SPAN]
+        digest = hashlib.blake2b(shared, digest_size=8, salt=int(part[a]).to_bytes(2, "little"), person=value.to_bytes(8, "little", signed=True)).digest()
+        out.append((a, b, int.from_bytes(digest, "little", signed=True)))
+    return out
 
 
 def _covers(held: DataFrame) -> DataFrame:
-    """From (key, doc_id, text, hashes): the covers of shared anchors, as rows of SPAN_KIND; and without
-    hash and cover, spans that are settled: to be removed."""
+    """From (key, doc_id, text, hashes, hot): the covers of shared anchors, as rows of SPAN_KIND; and without
+    hash and cover, spans that are settled: to be removed. hot: (hash, parts) of anchors that are dealt in
+    pieces. A row with a period stands for a run: its cover holds one period of windows or a piece of that."""
 
     def run(batches):
         met: dict[bytes, int] = {}  # cover -> the least doc_id that has been given with it
-        kinds = [pa.int64()] * 5 + [pa.binary()]
+        kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.binary()]
         for batch in batches:
-            keys, ids, wanted = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3)
+            keys, ids, wanted, hot = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), batch.column(4)
             for part in chunks(batch.column(2)):
                 c = Chunk(part)
                 rows: list[tuple] = []
                 cuts = np.searchsorted(c.doc, np.arange(len(part) + 1))
                 for k, (i, _) in enumerate(part):
                     own, own_id, begin = np.sort(np.asarray(wanted[i].values)), ids[i], int(c.starts[k])
+                    parts = {x["hash"]: x["parts"] for x in hot[i].as_py() or ()}
                     a, b = cuts[k], cuts[k + 1]
                     at = np.minimum(np.searchsorted(own, c.hash[a:b]), len(own) - 1)
                     spans: list[list[int]] = []
                     for g in (np.flatnonzero(own[at] == c.hash[a:b]) + a).tolist():
-                        first, stop = int(c.first[g]), int(c.last[g]) + SPAN
-                        cover = c.raw[first:stop]
+                        first, stop, value = int(c.first[g]), int(c.last[g]) + SPAN, int(c.hash[g])
+                        cover, p = c.raw[first:stop], 0
                         if stop - first - SPAN >= WINDOW and (p := period(cover)):
                             cover = cover[: SPAN + p - 1]  # one period of windows
-                        digest = hashlib.blake2b(cover, digest_size=16).digest()
-                        before = met.get(digest)
-                        if before is not None and before < own_id:
-                            if spans and spans[-1][1] >= first:
-                                spans[-1][1] = stop
+                        pieces = split_windows(cover, value, parts[value]) if value in parts else [(0, len(cover) - SPAN + 1, value)]
+                        last = stop - first - SPAN  # of the whole group's windows
+                        for x, y, name in pieces:
+                            piece, begun = cover[x : y - 1 + SPAN], first + x
+                            ended = first + (max(w + (last - w) // p * p for w in range(x, y)) if p else y - 1) + SPAN
+                            digest = hashlib.blake2b(piece, digest_size=16).digest()
+                            before = met.get(digest)
+                            if before is not None and before < own_id:
+                                if spans and spans[-1][1] >= begun:
+                                    spans[-1][1] = max(spans[-1][1], ended)
+                                else:
+                                    spans.append([begun, ended])
                             else:
-                                spans.append([first, stop])
-                        else:
-                            met[digest] = own_id
-                            rows.append((keys[i], own_id, first - begin, stop - begin, int(c.hash[g]), cover))
-                    rows += [(keys[i], own_id, first - begin, stop - begin, None, None) for first, stop in spans]
+                                met[digest] = own_id
+                                rows.append((keys[i], own_id, begun - begin, ended - begin, p, name, piece))
+                    rows += [(keys[i], own_id, begun - begin, ended - begin, None, None, None) for begun, ended in spans]
                     if len(met) > COVERS_KEPT:
                         met.clear()
                 for at in range(0, len(rows), 20_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 20_000], strict=True), kinds, strict=True)], ["key", "doc_id", "start", "stop", "hash", "cover"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[at : at + 20_000], strict=True), kinds, strict=True)], ["key", "doc_id", "start", "stop", "period", "hash", "cover"])
 
-    return held.select("key", "doc_id", "text", "hashes").mapInArrow(run, SPAN_KIND)
+    return held.select("key", "doc_id", "text", "hashes", "hot").mapInArrow(run, SPAN_KIND)
 
 
 def promising(covers: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -260,7 +291,7 @@ def _sorted_windows(covers: list[bytes], first_doc: np.ndarray) -> list[np.ndarr
 
 def _compared(covers: DataFrame) -> DataFrame:
     """key, start, stop: the spans that earlier documents hold, by shards of whole anchors. covers: (hash,
-    doc_id, key, start, stop, cover), all rows of a hash in a row and in order of doc_id."""
+    doc_id, key, start, stop, period, cover), all rows of a hash in a row and in order of doc_id."""
 
     def run(batches):
         held: dict[bytes, tuple[int, list]] = {}  # cover -> its first document and where that has it
@@ -276,10 +307,10 @@ def _compared(covers: DataFrame) -> DataFrame:
                     cuts = (np.flatnonzero(np.diff(starts) > SPAN) + 1).tolist()
                     for a, b in zip([0, *cuts], [*cuts, len(starts)], strict=True):
                         first, last = int(starts[a]), int(starts[b - 1])
-                        for key, at, stop in held[text][1]:
+                        for key, at, stop, p in held[text][1]:
                             end = last
-                            if stop - at > len(text):  # a cut run: windows a whole number of periods on are equal
-                                p, most = len(text) - SPAN + 1, stop - at - SPAN
+                            if p:  # a run: windows a whole number of periods on are equal
+                                most = stop - at - SPAN
                                 end = max(x + (most - x) // p * p for x in starts.tolist())
                             out.append((key, at + first, at + end + SPAN))
             held.clear()
@@ -290,7 +321,7 @@ def _compared(covers: DataFrame) -> DataFrame:
             return batch
 
         for batch in batches:
-            for h, doc, key, start, stop, cover in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for h, doc, key, start, stop, p, cover in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if h != anchor:
                     if len(own) > 1:  # else all of the anchor is settled
                         held.update(own)
@@ -302,11 +333,11 @@ def _compared(covers: DataFrame) -> DataFrame:
                         size = 0
                 known = own.get(cover)
                 if known is None:
-                    own[cover] = (doc, [(key, start, stop)])
+                    own[cover] = (doc, [(key, start, stop, p)])
                 elif known[0] < doc:
                     out.append((key, start, stop))
                 else:
-                    known[1].append((key, start, stop))
+                    known[1].append((key, start, stop, p))
             if len(out) > 100_000:
                 yield rows()
         if len(own) > 1:
@@ -369,9 +400,12 @@ def find_repeats(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataF
         copies = stored(keyed.where("copy").select("doc_id").distinct(), "copies")
         raw = raw.join(copies, "doc_id", "left_anti").select(F.col("doc_id").alias("key"), "doc_id", "text")
     shared = stored(_shared_anchors(raw), "shared-anchors")
-    covers = stored(_covers(raw.join(shared.groupBy("key").agg(F.collect_set("hash").alias("hashes")), "key")), "covers")
-    discard(shared)
-    open_ = covers.where("hash is not null").select("hash", "doc_id", "key", "start", "stop", "cover")
+    many = shared.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT)
+    hot = stored(many.select("hash", F.when(F.col("n") >= HOTTEST, WINDOW).otherwise(PARTS).alias("parts")), "hot-anchors")
+    lists = shared.join(hot, "hash", "left").groupBy("key").agg(F.collect_set("hash").alias("hashes"), F.collect_set(F.when(F.col("parts").isNotNull(), F.struct("hash", "parts"))).alias("hot"))
+    covers = stored(_covers(raw.join(lists, "key")), "covers")
+    discard(shared, hot)
+    open_ = covers.where("hash is not null").select("hash", "doc_id", "key", "start", "stop", "period", "cover")
     compared = stored(_compared(open_.repartition("hash").sortWithinPartitions("hash", "doc_id")), "compared")
     spans = covers.where("hash is null").select("key", "start", "stop").unionByName(compared)
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))

@@ -150,6 +150,19 @@ def test_passages(spark, docs, none):
             assert len((r["text"] or "").encode()) == n
 
 
+@pytest.mark.parametrize(("hot", "hottest"), [(2, 10**9), (2, 4), (1, 1)])
+def test_passages_of_hot_anchors(spark, monkeypatch, hot, hottest):
+    """Anchors of many documents are dealt in pieces; a line that all share stands among different words."""
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    monkeypatch.setattr(substring_dedup, "HOTTEST", hottest)
+    rng = random.Random(hot + hottest % 7)
+    line = "the line that all of the documents here do share with others"
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9)))
+    around = [" ".join(word() for _ in range(6)) for _ in range(6)]
+    data = [rng.choice(around)[-rng.randrange(1, 30) :] + line[rng.randrange(12) : 60 - rng.randrange(12)] + rng.choice(around)[: rng.randrange(30)] + "-" * rng.randrange(200) + "ab" * rng.randrange(60) for _ in range(60)]
+    passages(spark, rows(data))
+
+
 def test_passages_in_runs(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "CHUNK", 300)
     monkeypatch.setattr(substring_dedup, "SHARD", 500)
@@ -206,7 +219,7 @@ def test_runs_are_one_cover(spark):
             "".join(map(chr, range(33, 70))) * 20, "".join(map(chr, range(40, 70))) + "".join(map(chr, range(33, 70))) * 9 + "!", "a" * 60 + "b" + "a" * 60, "b" + "a" * 55 + "c"]
     passages(spark, rows(data))
     passages(spark, rows(data[::-1]))
-    covers = substring_dedup._covers(spark.createDataFrame([(1, 1, "-" * 100_000)], "key long, doc_id long, text string").selectExpr("*", f"array({substring_dedup.Chunk([(0, b'-' * 60)]).hash[0]}) hashes")).collect()
+    covers = substring_dedup._covers(spark.createDataFrame([(1, 1, "-" * 100_000)], "key long, doc_id long, text string").selectExpr("*", f"array({substring_dedup.Chunk([(0, b'-' * 60)]).hash[0]}) hashes", "cast(null as array<struct<hash:long,parts:int>>) hot")).collect()
     assert [(r["start"], r["stop"], len(r["cover"])) for r in covers] == [(0, 100_000, 50)]
 
 
