@@ -9,9 +9,12 @@ the length of the prefix it shares with its predecessor in the queue; that lengt
 the least length met since, by range minima over the scan.
 
 Queues keep their arrays in memory up to a budget and beyond it in an unlinked temporary file; the
-string, types and ranks are memory-mapped when the shard is larger than the budget. LMS suffixes are
-sorted by the same induction over their substrings and, where names repeat, by recursion on the
-string of names. Recursion has as many symbols as names; past WIDE symbols its base is rank doubling.
+types, orders and names are memory-mapped where they are larger than the budget. LMS suffixes are
+sorted by the same induction over their substrings and, where names repeat, by recursion on the string
+of names. That has as many symbols as names, each of few suffixes, so a queue for each would be all
+overhead: the recursion induces in rounds instead, all symbols at once, larger suffixes from the sorted
+LMS ones and smaller from the larger, and goes on until names are distinct. Its arrays, of about a third
+of the string's length, are in memory.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import tempfile
 
 import numpy as np
 
-BUDGET, WIDE, CAP = 256 << 20, 2048, 255
+BUDGET, CAP = 1 << 20, 255
 
 
 class Arrays:
@@ -245,22 +248,60 @@ def _common(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _doubling(s: np.ndarray) -> np.ndarray:
-    """Suffix order by doubling the length up to which ranks are right."""
-    n = len(s)
-    rank = np.unique(s, return_inverse=True)[1].astype(np.int64)
-    k = 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - k)] = rank[k:] + 1
-        key = rank * (n + 1) + second
+def _chains(value: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Ranks of positions by the values along their chains: each goes on to the next position until it comes
+    to one that is `last`. Equal chains get equal ranks. Chains are joined in rounds of twice the length."""
+    n = len(value)
+    rank = np.unique(value, return_inverse=True)[1].astype(np.int64)
+    onward = np.where(last, np.arange(n), np.arange(1, n + 1))
+    while (live := ~last[onward] | (onward > np.arange(n))).any():
+        key = rank * (n + 1) + np.where(live, rank[onward] + 1, 0)
         order = np.argsort(key)  # equal keys get equal ranks, whatever their order
         fresh = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
         rank = np.empty(n, np.int64)
         rank[order] = fresh
-        if fresh[-1] == n - 1:
-            return order
-        k *= 2
+        done = last[onward]
+        last = last | done  # what follows is in the rank
+        onward = np.where(done, np.arange(n), onward[onward])
+    return rank
+
+
+def _induced(s: np.ndarray, small: np.ndarray, lms: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Ranks of all suffixes from those of the LMS suffixes: larger ones from what follows them, then smaller
+    ones from the larger. With equal seeds the ranks of LMS suffixes are those of their substrings."""
+    n = len(s)
+    most = int(seeds.max()) + 2 if len(seeds) else 1
+    # one position more: the empty suffix, before all
+    value = np.append(s.astype(np.int64) * most, -1)
+    last = np.zeros(n + 1, bool)
+    value[lms] += seeds + 1
+    last[lms] = last[n] = True
+    first = small.copy()
+    first[lms] = False
+    value[:n][first] = -1  # smaller suffixes that no larger one precedes lie on no chain of these
+    last[:n][first] = True
+    large = _chains(value, last)
+    most = n + 2
+    value = np.append(s.astype(np.int64) * most, -1)
+    value[:n][~small] += large[:n][~small]
+    value[:n][small] += n + 1  # a smaller suffix follows the larger ones of its symbol
+    return _chains(value, np.append(~small, True))[:n]
+
+
+def order_of(s: np.ndarray) -> np.ndarray:
+    """The suffixes of a string of any number of symbols in order, by recursive induction in rounds."""
+    n = len(s)
+    small = _types(s, Arrays())
+    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    seeds = np.zeros(len(lms), np.int64)
+    if len(lms) > 1:
+        seeds = np.unique(_induced(s, small, lms, seeds)[lms], return_inverse=True)[1].astype(np.int64)
+        if seeds.max() + 1 < len(lms):
+            seeds[order_of(seeds)] = np.arange(len(lms))
+    ranks = _induced(s, small, lms, seeds)
+    out = np.empty(n, np.int64)
+    out[np.unique(ranks, return_inverse=True)[1]] = np.arange(n)
+    return out
 
 
 def sort_suffixes(s: np.ndarray, n_symbols: int, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
@@ -286,11 +327,7 @@ def sort_suffixes(s: np.ndarray, n_symbols: int, budget: int = BUDGET) -> tuple[
         name[found] = np.concatenate([[0], np.cumsum(_differ(s, found, length, n))])
         names = name[lms]
         if names.max() + 1 < len(lms):
-            if names.max() < WIDE:
-                sub, _ = sort_suffixes(names, int(names.max()) + 1, budget)
-            else:
-                sub = _doubling(names)
-            found = lms[sub]
+            found = lms[order_of(np.asarray(names))]
         seed_lcp = np.concatenate([[0], _common(s, found[:-1], found[1:])]).astype(np.uint8)
     else:
         found, seed_lcp = lms, np.zeros(0, np.uint8)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, ngram_join, substring_dedup
 from tessera.llm.components import components as connected
-from tessera.llm.induced_sort import sort_suffixes
+from tessera.llm.induced_sort import order_of, sort_suffixes
 
 
 def test_exact(spark, docs, none):
@@ -133,6 +133,31 @@ def test_suffix_order(budget):
             assert c == n
 
 
+def test_order_by_recursive_induction():
+    rng = random.Random(12)
+    for _ in range(300):
+        k = rng.choice([1, 2, 3, 9, 1000])
+        s = [rng.randrange(k) for _ in range(rng.randrange(1, 90))]
+        s = rng.choice([s, (s * 5)[:200], sorted(s), sorted(s)[::-1]])
+        assert order_of(np.array(s, np.int64)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def test_queues_of_a_shard_use_the_disk(monkeypatch):
+    """Shards of the usual size don't fit the budget of the queues; the order is the same with and without."""
+    from tessera.llm import induced_sort
+
+    spilled = []
+    spill = induced_sort.SymbolQueue._spill
+    monkeypatch.setattr(induced_sort.SymbolQueue, "_spill", lambda q: (spilled.append(1), spill(q))[1])
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 7))) for _ in range(300)]
+    text = np.frombuffer(" ".join(rng.choice(words) for _ in range(250_000)).encode(), np.uint8).astype(np.int16)
+    order, common = sort_suffixes(text, 257)
+    assert spilled
+    again, same = sort_suffixes(text, 257, 1 << 30)
+    assert (order == again).all() and (common == same).all()
+
+
 def passages(spark, data):
     df = spark.createDataFrame(data, SCHEMA).repartition(3)
     assert {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.repeats(spark, df).collect()} == removed(data)
