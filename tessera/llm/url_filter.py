@@ -8,7 +8,10 @@ exceeds a threshold. Everything is DataFrame operations; joins are on (host, tem
 stored tables, so that Spark can split a host that holds much of the data.
 
 Defined results: a url that is null or lacks `://` has empty host and path; paths count to their last
-segment, however deep; several labels for one page count one by one; repeated pages count each.
+segment, however deep, and urls are read whole, however long; several labels for one page count one by
+one; repeated pages, and pages without an id, count and get a row each; of equally long rules none can
+fit together; a share of bad pages that equals the threshold is allowed. An empty table gives no rows;
+columns other than page_id and url are not read.
 """
 
 from __future__ import annotations

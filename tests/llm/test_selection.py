@@ -394,3 +394,120 @@ def test_pipeline(spark, docs, none, tmp_path):
     assert sizes[0] >= sizes[1] >= sizes[2] > 0 and sizes[3] == sizes[4]
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, str(tmp_path)).count() == 0
+
+
+def test_pipeline_stages_with_odd_rows(spark, tmp_path):
+    """Null and repeated ids, equal rows, copies, long and empty texts, columns with names that operators use."""
+    import corpus_pipeline
+
+    data, word = synthetic_languages(120, 5)
+    long = " ".join(word("aa") for _ in range(20_000))
+    mixed = " ".join(word(lang) for lang in ("aa", "bb", "cc") for _ in range(30))
+    near_copy = data[3][1] + " " + word("aa")
+    rows = [(i, t, lang) for i, t, lang in data] + [(500, data[0][1], "aa"), (500, data[1][1], "bb"), (500, data[1][1], "bb"), (None, data[2][1], "cc"), (None, mixed, None), (None, mixed, None), (600, long, "aa"), (601, None, None), (602, "12 34", None), (603, near_copy, data[3][2])]
+    df = spark.createDataFrame([(i, t, lang, f"s{k % 2}" if k % 9 else None, k, "key") for k, (i, t, lang) in enumerate(rows)], "doc_id long, text string, lang string, source string, key long, _times string")
+    labels(spark, [(1, 1, 0), (2, 0, 0), (None, None, None)]).write.parquet(str(tmp_path / "labels.parquet"))
+    step, left = df, {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, step, str(tmp_path))
+        assert out.columns == (df.columns if name != "bpe" else [*df.columns, "token_ids"])
+        out.write.parquet(str(tmp_path / name))
+        step = spark.read.parquet(str(tmp_path / name))
+        left[name] = step.collect()
+    kept = {r["key"] for r in left["language_id"]}
+    assert kept == set(range(len(rows))) - {len(rows) - 3, len(rows) - 2}
+    texts_left = [r["text"] for r in left["exact_dedup"]]
+    assert len(texts_left) == len(set(texts_left)) == len({r["text"] for r in left["language_id"]})
+    highest = {}
+    for r in left["language_id"]:
+        highest[r["text"]] = max(highest.get(r["text"], -1), -1 if r["doc_id"] is None else r["doc_id"])
+    assert all((-1 if r["doc_id"] is None else r["doc_id"]) == highest[r["text"]] for r in left["exact_dedup"])
+    words = lambda rs: {(r["doc_id"], r["text"]) for r in rs}
+    assert words(left["near_dedup"]) <= words(left["exact_dedup"])
+    assert (603, near_copy) not in words(left["near_dedup"]) and (600, long) in words(left["near_dedup"]) and (None, mixed) in words(left["near_dedup"])
+    assert words(left["mixing"]) <= words(left["near_dedup"]) and len(left["mixing"]) == len(left["bpe"])
+    assert all(len(r["token_ids"]) > 0 for r in left["bpe"])
+
+
+def test_pages_that_repeat_and_odd_urls(spark):
+    """Repeated pages each get a row; null ids, very long urls and columns with names from inside do no harm."""
+    deep = "http://h.net/" + "/".join("s" for _ in range(300)) + "/" + "9" * 40
+    data = [(1, "http://h.net/a/1", "x", 1), (1, "http://h.net/a/1", "y", 2), (None, "http://h.net/a/2", "z", 3), (2, deep, "w", 4), (3, "x://", "v", 5), (4, "", "u", 6), (5, "http://h.net//", "t", 7)]
+    df = spark.createDataFrame(data, "page_id long, url string, host string, t long")
+    got = sorted((tuple(r[:5]) for r in url_filter.judge(spark, df, labels(spark, [(1, 0, 0), (1, 1, 0), (1, 1, 0), (1, 1, 0), (None, 0, 0), (2, None, 0)])).collect()), key=repr)
+    assert len(got) == len(data) and {r[4] for r in got} == {"allow"}
+    assert [r[1:3] for r in got if r[0] == 2] == [("h.net", deep.removeprefix("http://h.net"))] and [r[1:3] for r in got if r[0] in (3, 4)] == [("", ""), ("", "")]
+
+
+def test_languages_of_repeated_rows(spark):
+    data, word = synthetic_languages(90, 8)
+    data += [(7, data[7][1], data[7][2]), (None, data[8][1], data[8][2]), (None, None, "aa"), (95, word("aa") + " " + "語" * 4000, None)]
+    df = spark.createDataFrame([(*r, "held_out") for r in data], "doc_id long, text string, lang string, score string")
+    model = language_id.fit(df)
+    got = language_id.predict(spark, df, model).collect()
+    assert len(got) == len(data) and len({(r["lang_pred"], r["score"]) for r in got if r["doc_id"] == 7}) == 1
+    assert {r["held_out"] for r in got if r["doc_id"] is None} == {False}
+    assert language_id.keep_known(spark, df, model).columns == df.columns
+    assert language_id.fit(df.where("false")).labels == [] and {r["lang_pred"] for r in language_id.predict(spark, df, language_id.fit(df.where("false"))).collect()} == {"und"}
+
+
+def test_training_words_come_from_the_whole_text():
+    words = [f"w{i}" for i in range(10_000)]
+    got = language_id.spread(" ".join(words)).split()
+    assert len(got) == language_id.TRAIN_WORDS and got[0] == "w0" and got[-1] == "w9999"
+    assert max(int(b[1:]) - int(a[1:]) for a, b in zip(got, got[1:])) < 1000
+    assert language_id.spread("a b") == "a b" and language_id.spread(None) == ""
+
+
+def test_quality_of_repeated_rows_and_labels(spark):
+    good, bad = "fine words that read well in every line", "spam % spam % | buy $$$ now !!! | spam"
+    data = [(i, f"{good} {i}" if i % 2 else f"{bad} {i}", f"h{i % 3}", None if i % 5 else "p", "e", 1) for i in range(200)]
+    data += [data[1], data[1], (None, good, None, None, "e", 1), (400, bad + " x" * 30_000, "h0", "p", "e", 1), (401, None, "h0", "p", "e", 1)]
+    df = spark.createDataFrame(data, "doc_id long, text string, host string, path string, evidence string, n int")
+    known = [(i, i % 2, None) for i in range(150)] + [(3, 0, 1), (1, 1, 0), (None, 1, 1), (9, None, 1)]
+    model = quality.fit(df, labels(spark, known))
+    got = quality.classify(spark, df, model).collect()
+    assert len(got) == len(data) and len({tuple(r) for r in got if r["doc_id"] == 1}) == 1
+    assert np.mean([(r["quality"] >= 0.5) == (r["doc_id"] % 2 == 1) for r in got if r["doc_id"] is not None and r["doc_id"] >= 150 and r["doc_id"] < 200]) > 0.95
+
+
+def test_shrinkage_of_sites_by_hand(spark):
+    """Rates against the same formulas over plain lists, null sites as sites of their own."""
+    rng = random.Random(6)
+    data = [(f"h{rng.randrange(3)}" if rng.random() < 0.9 else None, f"p{rng.randrange(4)}" if rng.random() < 0.9 else None, rng.random()) for _ in range(300)]
+    got = {(r["host"], r["path"]): r for r in quality.shrink(spark.createDataFrame(data, "host string, path string, evidence double")).collect()}
+
+    def strength(mean, spread):
+        return min(max(mean * (1 - mean) / max(spread, 1e-9) - 1, quality.LEAST_STRENGTH), quality.MOST_STRENGTH)
+
+    def spread(groups):  # (values, prior) of each group
+        total = sum(len(v) for v, _ in groups)
+        out = 0.0
+        for v, prior in groups:
+            rate = sum(v) / len(v)
+            within = (sum(x * x for x in v) / len(v) - rate * rate) / len(v)
+            out += len(v) * ((rate - prior) ** 2 - within)
+        return out / total
+
+    paths, hosts = {}, {}
+    for host, path, e in data:
+        paths.setdefault((host, path), []).append(e)
+        hosts.setdefault(host, []).append(e)
+    overall = sum(e for *_, e in data) / len(data)
+    k = strength(overall, spread([(v, overall) for v in hosts.values()]))
+    host_rate = {h: (sum(v) + k * overall) / (len(v) + k) for h, v in hosts.items()}
+    between = spread([(v, host_rate[h]) for (h, _), v in paths.items()])
+    assert set(got) == set(paths)
+    for (h, p), v in paths.items():
+        k = strength(host_rate[h], between)
+        r = got[h, p]
+        assert r["n"] == len(v) and abs(r["global_rate"] - overall) < 1e-9 and abs(r["host_rate"] - host_rate[h]) < 1e-9
+        assert abs(r["path_rate"] - (sum(v) + k * host_rate[h]) / (len(v) + k)) < 1e-9
+
+
+def test_licenses_of_repeated_rows(spark):
+    text = "Released under the MIT License."
+    df = spark.createDataFrame([(1, text, "a", 0), (1, text, "a", 0), (None, text, "b", 1), (2, "x " * 100_000 + text, "c", 2)], "doc_id long, text string, license string, start int")
+    got = sorted((tuple(r) for r in license_scan.scan(spark, df).collect()), key=repr)
+    assert [r[:3] for r in got] == [(1, "MIT", 1.0), (1, "MIT", 1.0), (2, "MIT", 1.0), (None, "MIT", 1.0)]
+    assert {r[3] for r in got if r[0] == 2} == {200_000}
