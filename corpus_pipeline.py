@@ -6,7 +6,10 @@ near_dedup     keeps the first of each group that n-gram similarity links
 mixing         repeats or drops documents until sources have their target weights
 bpe            adds token_ids, and drops nothing
 
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents, whatever further ones there are. An empty table
+gives no rows. Null texts and texts without letters go in the first stage. Rows that repeat an id count by
+id and text: of equal ones one stays after the second stage. A row without an id stays through the first
+three stages unless its text equals another row's, and the mix takes it as any other. Texts are read whole.
 """
 
 from __future__ import annotations
