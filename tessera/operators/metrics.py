@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.placement import status_code
+
 #: Bounds of the latency histogram, in seconds.
 BUCKETS = (0.0001, 0.00025, 0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
@@ -66,6 +68,23 @@ def spec_results(loads: DataFrame) -> DataFrame:
     return loads.groupBy("spec").agg(F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"))
 
 
+def request_outcomes(calls: DataFrame) -> DataFrame:
+    """calls (op, found, error) -> op, status, requests: `ok`, `not_found` for a call that found nothing without
+    failing, else the code of its error."""
+    status = F.when(F.col("error").isNotNull(), status_code(F.col("error"))).when(F.col("found"), "ok").otherwise("not_found")
+    return calls.groupBy("op", status.alias("status")).agg(F.count(F.lit(1)).alias("requests"))
+
+
+def fallbacks(slots: DataFrame) -> DataFrame:
+    """slots (tier, error) of a tiered read -> from, to, reason, count: a read that memory couldn't serve falls
+    back to storage, and one that storage couldn't serve to nothing."""
+    missed = F.col("tier").isNull() | (F.col("tier") != "memory")
+    steps = F.array(
+        F.when(missed, F.struct(F.lit("memory").alias("from"), F.lit("storage").alias("to"), F.lit("miss").alias("reason"))),
+        F.when(missed & (F.col("tier").isNull()), F.struct(F.lit("storage").alias("from"), F.lit("none").alias("to"), F.when(F.col("error").isNull(), "miss").otherwise("error").alias("reason"))))
+    return slots.select(F.explode(F.array_compact(steps)).alias("s")).groupBy("s.from", "s.to", "s.reason").agg(F.count(F.lit(1)).alias("count"))
+
+
 def exposition(rows: DataFrame) -> DataFrame:
     """rows (name, labels map<string,string>, value) -> value lines of the text format, sorted labels."""
     pairs = F.array_sort(F.map_entries("labels"))

@@ -6,7 +6,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from tessera.operators import checks, lookup, placement
+from tessera.operators import checks, lookup, metrics, placement
 from tessera.plans import query
 from tessera.plans.tables import OBJ, objects, table
 
@@ -199,6 +199,18 @@ def server_counters(spark, d):
     return _server(spark, d)[1]
 
 
+@query("API-12 AGG-10", f"WITH {ASKED}, {ORDERS}, {SLOTS} SELECT 'get' || (batch % 3) AS op, CASE WHEN error IS NOT NULL THEN 'INTERNAL' WHEN tier IS NULL THEN 'not_found' ELSE 'ok' END AS status, count(*) AS requests FROM sl GROUP BY ALL")
+def request_outcomes(spark, d):
+    calls = _server(spark, d)[0].withColumn("op", F.concat(F.lit("get"), (F.col("batch") % 3).cast("string")))
+    return metrics.request_outcomes(calls)
+
+
+@query("AGG-10", f"""WITH {ASKED}, {ORDERS}, {SLOTS} SELECT 'memory' AS "from", 'storage' AS "to", 'miss' AS reason, count(*) AS count FROM sl WHERE tier IS DISTINCT FROM 'memory'
+UNION ALL SELECT 'storage', 'none', CASE WHEN error IS NULL THEN 'miss' ELSE 'error' END, count(*) FROM sl WHERE tier IS NULL GROUP BY 3""")
+def read_fallbacks(spark, d):
+    return metrics.fallbacks(_server(spark, d)[0])
+
+
 @query("JOIN-04 MEM-01", f"WITH {ASKED}, {ORDERS}, {SLOTS} SELECT DISTINCT key, value FROM sl WHERE tier = 'storage'")
 def server_fills(spark, d):
     return _server(spark, d)[2]

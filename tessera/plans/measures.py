@@ -78,7 +78,7 @@ def latency_histogram(spark, d):
     return metrics.histogram(e, ["op"])
 
 
-@query("AGG-10 API-12 API-13", """SELECT event_type AS op, CASE WHEN event_type = 'error' THEN 'INTERNAL' WHEN event_id % 5 = 0 THEN 'NOT_FOUND' WHEN event_id % 5 = 1 THEN 'ALREADY_EXISTS' WHEN event_id % 5 = 2 THEN 'INVALID_ARGUMENT' ELSE 'OK' END AS status, count(*) AS requests FROM events GROUP BY ALL""")
+@query("AGG-10 API-13", """SELECT event_type AS op, CASE WHEN event_type = 'error' THEN 'INTERNAL' WHEN event_id % 5 = 0 THEN 'NOT_FOUND' WHEN event_id % 5 = 1 THEN 'ALREADY_EXISTS' WHEN event_id % 5 = 2 THEN 'INVALID_ARGUMENT' ELSE 'OK' END AS status, count(*) AS requests FROM events GROUP BY ALL""")
 def request_counters(spark, d):
     from tessera.operators.placement import status_code
 
