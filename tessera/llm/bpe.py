@@ -30,6 +30,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import spread
+
 NEVER = 1 << 60
 #: Words and transitions that a worker keeps, and the longest word kept; a full table is emptied.
 WORDS_KEPT, ARCS_KEPT, WORD_BYTES = 250_000, 300_000, 64
@@ -242,7 +244,7 @@ def digest_documents(spark: SparkSession, docs: DataFrame, tokenizer: Tokenizer)
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], schema=schema)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return spread(docs.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
@@ -263,7 +265,7 @@ def encode_documents(spark: SparkSession, docs: DataFrame, tokenizer: Tokenizer)
             values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(parts))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], [*batch.schema.names, "token_ids"])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))]))
+    return spread(kept).mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode_documents(spark: SparkSession, encoded: DataFrame, tokenizer: Tokenizer) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -15,6 +15,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     both = stored(both, "links")
     roots = stored(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("root")), "roots")
+    last = roots
     for _ in range(rounds):
         near = both.join(roots.withColumnsRenamed({"node": "b", "root": "r"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
         hooked = roots.join(near, "node").select("node", "root", F.least("root", "r").alias("new"))
@@ -24,9 +25,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         step = stored(step, "roots-step")
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
         done = stored(step.join(jump, "new").select("node", F.col("root").alias("old"), F.least("new", "far").alias("root")), "roots")
-        roots = done.select("node", "root")
+        discard(step, last)
+        roots, last = done.select("node", "root"), done
         if not done.where("old <> root").take(1):
             break
     else:
         raise RuntimeError(f"no end after {rounds} rounds")
+    discard(both)
     return roots

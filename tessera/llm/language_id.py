@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import spread
+
 UND = "und"
 BITS, PER_LANG, TRAIN_WORDS, RUNS, MOST_LABELS = 17, 400, 600, 12, 200
 STEPS, BATCH, LENGTH, RATE, SEED = 150, 64, 48, 0.5, 7
@@ -339,7 +341,7 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return spread(rows).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def label_words(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
@@ -357,7 +359,7 @@ def label_words(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame
             kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "runs"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, runs array<struct<lang:string,first:long,end:long>>")
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, runs array<struct<lang:string,first:long,end:long>>")
 
 
 def keep_known(spark: SparkSession, docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -375,4 +377,4 @@ def keep_known(spark: SparkSession, docs: DataFrame, model: Model, least: float
                 keep[i] = lang != UND and post[letters].max(axis=1).mean(dtype=np.float64) >= least
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)

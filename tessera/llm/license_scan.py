@@ -30,6 +30,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import spread
+
 GRAM, BAND, LEAST_COVERAGE = 3, 8, 0.8
 LONG = 16  # words of a template from which on runs of words can be put in
 WORDS_KEPT = 500_000
@@ -269,4 +271,4 @@ def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None
                 kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "license", "coverage", "start", "stop"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, license string, coverage double, start long, stop long")
+    return spread(docs.selectExpr("cast(doc_id as long) doc_id", "text")).mapInArrow(run, "doc_id long, license string, coverage double, start long, stop long")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, spread, stored
 from .components import components
 
 GRAM, NUM, DEN = 5, 80, 100
@@ -523,6 +523,7 @@ def _tiled(families: DataFrame, sets: DataFrame) -> DataFrame:
 def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(doc_id, n, sid) of all documents; (node, root), the components of verified links between their
     sets; and the same again between those components, where hot groups had left some apart."""
+    docs = spread(docs.select("doc_id", "text"))
     survey = stored(_survey(docs), "survey")
     levels = spark.sparkContext.broadcast(_levels(survey))
     own = survey.where("slot is null").select("doc_id", "n", "sid")
@@ -563,15 +564,22 @@ def link(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame, Da
         return stored(_sets(docs, stored(reps.join(asked.distinct(), "sid"), "asked"), levels), "sets")
 
     asked = edges.select(F.col("a").alias("sid")).union(edges.select(F.col("b").alias("sid")))
-    links = stored(_verified(edges, sets(asked)), "verified")
+    whole = sets(asked)
+    links = verified = stored(_verified(edges, whole), "verified")
+    discard(whole, edges, hot_of)
     # sets of one doc_id belong together
     several = named.groupBy("doc_id").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a <> z").select("doc_id", "a")
     links = links.unionByName(named.join(several, "doc_id").select("a", F.col("sid").alias("b")).where("a <> b"))
     roots = components(links)
+    discard(verified)
     families = _families(cells, roots)
+    discard(met)
     if families is None:
         return own, roots, None
-    return own, roots, components(stored(_tiled(families, sets(families.select("sid"))), "family-joins"))
+    whole = sets(families.select("sid"))
+    joins = stored(_tiled(families, whole), "family-joins")
+    discard(whole, families)
+    return own, roots, components(joins)
 
 
 def group(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import spread, stored
 
 BITS, FIT_ROWS = 18, 8000
 EPOCHS, BATCH, RATE, DECAY, SEED, LEAST_RATIO = 16, 16, 0.3, 1e-5, 3, 25.0
@@ -174,7 +174,7 @@ def evidence(spark: SparkSession, sited: DataFrame, model: Model) -> DataFrame:
             scores = np.array([held.value.score(*features.of(t.as_py())) for t in batch.column(3)]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(scores[:, 0]), pa.array(scores[:, 1])], ["doc_id", "host", "path", "evidence", "toxic"])
 
-    return sited.select("doc_id", "host", "path", "text").mapInArrow(run, "doc_id long, host string, path string, evidence double, toxic double")
+    return spread(sited.select("doc_id", "host", "path", "text")).mapInArrow(run, "doc_id long, host string, path string, evidence double, toxic double")
 
 
 def _strength(mean, spread):

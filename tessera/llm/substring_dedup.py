@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, spread, stored
 from .induced_sort import sort_suffixes
 
 SPAN, GRAM = 50, 16
@@ -390,6 +390,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def find_repeats(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(keyed rows, cut texts): cut texts hold n_removed, n_spans, kept_sha256 and kept for the keys that
     lose bytes otherwise than as copies."""
+    docs = spread(docs.select("doc_id", "text"))
     keyed = _keyed(docs)
     raw = docs.where("doc_id is not null and octet_length(text) >= 50").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if keyed.where("key <> doc_id").take(1):
