@@ -10,8 +10,7 @@ Defined results: null text has size 0 and is never taken; a null or non-positive
 the least weight; the null source is a source of its own, last in order. Keys that tie go by id, size
 and digest of the text, and rows equal in all of these are interchangeable: reruns and other orders of
 rows give the same rows, null and repeated ids included. A source's taken words are its target's whole
-part. An empty table gives no rows; columns other than doc_id, text and source are not read. Sources
-meet in one sort, with a row for each source, to share out the total.
+part. An empty table gives no rows; columns other than doc_id, text and source are not read.
 """
 
 from __future__ import annotations
@@ -49,22 +48,34 @@ def weighted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return sized.join(label, "doc_id", "left").select("doc_id", "source", "size", "digest", w.alias("w"))
 
 
+def _running(rows: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """rows with the sums over all rows before them in order. Rows are dealt by range; each range is summed by
+    itself and gets the sums of the ranges before it, so one task sees a row for each range, never all rows."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(rows.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), name)
+    own = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = placed.select("*", *(F.coalesce(F.sum(c).over(own), F.lit(0)).alias(f"_own_{k}") for k, c in sums.items()))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy("_p").agg(*(F.sum(c).alias(k) for k, c in sums.items()))
+    ranges = ranges.select("_p", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"_before_{k}") for k in sums))
+    # `parts` rows at most
+    return inner.join(F.broadcast(ranges), "_p").select(*rows.columns, *((F.col(f"_own_{k}") + F.col(f"_before_{k}")).alias(k) for k in sums))
+
+
 def targets(sources: DataFrame, shares: tuple[int, ...] = SHARES, total: float = TOTAL, most: float = MOST) -> DataFrame:
-    """source, source_size -> + share, target. One row per source comes in, so the windows over all of
-    them hold a row for each source. Raising the common level until no share passes its cap has a
-    closed form: sources by cap for each unit of share; the level is set by the uncapped rest."""
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    every = Window.partitionBy()
-    before = Window.orderBy("_ratio", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    n = F.row_number().over(order) - 1
-    share = F.element_at(F.array(*map(F.lit, shares)), (n % len(shares) + 1).cast("int"))
-    level = (F.lit(total) * F.sum("source_size").over(every) - F.lit(most) * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / (
-        F.sum("share").over(every) - F.coalesce(F.sum("share").over(before), F.lit(0)))
-    ranked = sources.withColumn("share", share).withColumn("_ratio", F.lit(most) * F.col("source_size") / F.col("share")).withColumn("_level", level)
-    free = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", F.col("source").isNull(), "source", "_level"))).over(every)
-    return ranked.withColumn("_at", free["_level"]).select(
-        "source", "source_size", "share",
-        F.least(F.lit(most) * F.col("source_size"), F.coalesce(F.col("_at"), F.lit(0.0)) * F.col("share")).cast("double").alias("target"))
+    """source, source_size -> + share, target, from one row per source. Raising the common level until no
+    share passes its cap has a closed form: sources by cap for each unit of share; the level is set by the
+    uncapped rest."""
+    by_name = [F.col("source").isNull(), F.col("source")]
+    ranked = _running(sources, by_name, {"_n": F.lit(1)}, "mix-ranks")
+    share = F.element_at(F.array(*map(F.lit, shares)), (F.col("_n") % len(shares) + 1).cast("int"))
+    ranked = ranked.withColumn("share", share).drop("_n").withColumn("_ratio", F.lit(most) * F.col("source_size") / F.col("share"))
+    run = stored(_running(ranked, [F.col("_ratio"), *by_name], {"_size": F.col("source_size"), "_share": F.col("share")}, "mix-ratios"), "mix-levels")
+    size, parts = run.agg(F.sum("source_size"), F.sum("share")).first()
+    level = (F.lit(total) * F.lit(size).cast("long") - F.lit(most) * F.col("_size")) / (F.lit(parts).cast("long") - F.col("_share"))
+    free = run.withColumn("_level", level).where("_level <= _ratio").agg(F.min(F.struct("_ratio", F.col("source").isNull(), "source", "_level"))).first()[0]
+    at = free["_level"] if free else 0.0
+    return run.select("source", "source_size", "share", F.least(F.lit(most) * F.col("source_size"), F.lit(at) * F.col("share")).cast("double").alias("target"))
 
 
 def _bins(place: Column) -> tuple[Column, Column]:

@@ -511,3 +511,16 @@ def test_licenses_of_repeated_rows(spark):
     got = sorted((tuple(r) for r in license_scan.scan(spark, df).collect()), key=repr)
     assert [r[:3] for r in got] == [(1, "MIT", 1.0), (1, "MIT", 1.0), (2, "MIT", 1.0), (None, "MIT", 1.0)]
     assert {r[3] for r in got if r[0] == 2} == {200_000}
+
+
+def test_targets_of_many_sources(spark):
+    """Water-filling over thousands of sources against a plain search for the level."""
+    rng = random.Random(10)
+    sizes = {f"s{i:05d}": rng.choice([0, 1, rng.randrange(1, 10_000)]) for i in range(3000)} | {None: 77}
+    got = {r["source"]: r for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(5)).collect()}
+    share = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    low, high, total = 0.0, 1e9, 1.5 * sum(sizes.values())
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(2 * n, level * share[s]) for s, n in sizes.items()) < total else (low, level)
+    assert len(got) == 3001 and all(got[s]["share"] == share[s] and abs(got[s]["target"] - min(2 * n, low * share[s])) < 1e-6 * (1 + n) for s, n in sizes.items())
