@@ -298,9 +298,8 @@ def order_of(s: np.ndarray) -> np.ndarray:
         seeds = np.unique(_induced(s, small, lms, seeds)[lms], return_inverse=True)[1].astype(np.int64)
         if seeds.max() + 1 < len(lms):
             seeds[order_of(seeds)] = np.arange(len(lms))
-    ranks = _induced(s, small, lms, seeds)
     out = np.empty(n, np.int64)
-    out[np.unique(ranks, return_inverse=True)[1]] = np.arange(n)
+    out[_induced(s, small, lms, seeds) - 1] = np.arange(n)  # the empty suffix has rank 0
     return out
 
 

@@ -210,11 +210,13 @@ def _covers(held: DataFrame) -> DataFrame:
                         cover, p = c.raw[first:stop], 0
                         if stop - first - SPAN >= WINDOW and (p := period(cover)):
                             cover = cover[: SPAN + p - 1]  # one period of windows
-                        pieces = split_windows(cover, value, parts[value]) if value in parts else [(0, len(cover) - SPAN + 1, value)]
-                        last = stop - first - SPAN  # of the whole group's windows
-                        for x, y, name in pieces:
-                            piece, begun = cover[x : y - 1 + SPAN], first + x
-                            ended = first + (max(w + (last - w) // p * p for w in range(x, y)) if p else y - 1) + SPAN
+                        pieces = [(cover, first, stop, value)]
+                        if value in parts:
+                            last = stop - first - SPAN  # of the whole group's windows
+                            pieces = [
+                                (cover[x : y - 1 + SPAN], first + x, first + (max(w + (last - w) // p * p for w in range(x, y)) if p else y - 1) + SPAN, name)
+                                for x, y, name in split_windows(cover, value, parts[value])]
+                        for piece, begun, ended, name in pieces:
                             digest = hashlib.blake2b(piece, digest_size=16).digest()
                             before = met.get(digest)
                             if before is not None and before < own_id:
