@@ -234,7 +234,7 @@ def train(rows: list[tuple[str, str]]) -> Model:
     return Model(labels, weights, moves)
 
 
-def spread(text: str | None) -> str:
+def spread_words(text: str | None) -> str:
     """A text's words, of more than TRAIN_WORDS as many in RUNS runs over all of it."""
     words = pieces(text)[0] if text else []
     if len(words) <= TRAIN_WORDS:
@@ -256,7 +256,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
 
     def run(batches):
         for batch in batches:
-            texts = pa.array([spread(t.as_py()) for t in batch.column(1)], pa.string())
+            texts = pa.array([spread_words(t.as_py()) for t in batch.column(1)], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), texts, batch.column(2), batch.column(3)], ["doc_id", "text", "lang", "draw"])
 
     bounded = sample.select("doc_id", "text", "lang", "draw").mapInArrow(run, "doc_id long, text string, lang string, draw long")

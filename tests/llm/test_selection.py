@@ -453,10 +453,10 @@ def test_languages_of_repeated_rows(spark):
 
 def test_training_words_come_from_the_whole_text():
     words = [f"w{i}" for i in range(10_000)]
-    got = language_id.spread(" ".join(words)).split()
+    got = language_id.spread_words(" ".join(words)).split()
     assert len(got) == language_id.TRAIN_WORDS and got[0] == "w0" and got[-1] == "w9999"
     assert max(int(b[1:]) - int(a[1:]) for a, b in zip(got, got[1:])) < 1000
-    assert language_id.spread("a b") == "a b" and language_id.spread(None) == ""
+    assert language_id.spread_words("a b") == "a b" and language_id.spread_words(None) == ""
 
 
 def test_quality_of_repeated_rows_and_labels(spark):
