@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import spread
+
 BLOCK = 4
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def requests(spark: SparkSession, d: str) -> DataFrame:
     """A prompt for each turn: a word's token is the first 28 bits of its md5."""
     token = lambda w: F.conv(F.substring(F.md5(w.cast("binary")), 1, 7), 16, 10).cast("long")
-    t = table(spark, d, "conversations")
+    t = spread(table(spark, d, "conversations").select("conv_id", "turn", "text"))
     return t.select(
         F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request"), F.concat(F.lit("m"), (F.col("conv_id") % 2).cast("string")).alias("model"),
         "conv_id", "turn", F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), 0), token).alias("tokens"))
