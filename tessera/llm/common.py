@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import remove, shared_dir
+from tessera.sources.shared import remove, shared_dir, spread
 
 #: A word, wherever a contract speaks of words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -46,17 +46,6 @@ def discard(*tables: DataFrame) -> None:
         remove(df.sparkSession, df._stored_at)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, where it is a scan of fewer partitions: a file of one row group is one partition,
-    however many cores wait. A larger input has partitions enough and isn't shuffled; nor is what comes out
-    of joins and aggregates."""
-    execution = df._jdf.queryExecution()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if execution.executedPlan().nodeName() == "AdaptiveSparkPlan" or execution.toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(3 * cores)
-
-
 def words_of(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
