@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
-from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,18 +23,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: Drops a query's shuffle files when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+_cleaning: dict[str, list] = {}  # per session: how many writes are under way, and the setting before them
+_lock = threading.Lock()
+
+
+@contextmanager
+def _cleaned(spark: SparkSession):
+    """The setting holds while any write of the session is under way, also from several threads."""
+    name = f"{spark.sparkContext.applicationId}-{spark._jsparkSession.hashCode()}"
+    with _lock:
+        held = _cleaning.setdefault(name, [0, None])
+        if not held[0]:
+            held[1] = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        held[0] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            held[0] -= 1
+            if not held[0]:
+                spark.conf.unset(CLEANUP) if held[1] is None else spark.conf.set(CLEANUP, held[1])
+
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here and lost executors cost no
     recomputation. The shuffle files of the query that made it go with its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaned(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
@@ -49,14 +67,3 @@ def discard(*tables: DataFrame) -> None:
 def words_of(text: Column) -> Column:
     """Number of words; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """f over the Arrow batches of df."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := f(batch)) is not None:
-                yield out
-
-    return df.mapInArrow(run, schema)
