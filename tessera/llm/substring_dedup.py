@@ -33,6 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -217,7 +218,7 @@ def _covers(held: DataFrame) -> DataFrame:
                                 (cover[x : y - 1 + SPAN], first + x, first + (max(w + (last - w) // p * p for w in range(x, y)) if p else y - 1) + SPAN, name)
                                 for x, y, name in split_windows(cover, value, parts[value])]
                         for piece, begun, ended, name in pieces:
-                            digest = hashlib.blake2b(piece, digest_size=16).digest()
+                            digest = xxhash.xxh3_128_digest(piece)
                             before = met.get(digest)
                             if before is not None and before < own_id:
                                 if spans and spans[-1][1] >= begun:
@@ -300,6 +301,7 @@ def _compared(covers: DataFrame) -> DataFrame:
         own: dict[bytes, tuple[int, list]] = {}  # the same for the open anchor
         size, anchor = 0, None
         out: list[tuple[int, int, int]] = []
+        settled: list[np.ndarray] = []
 
         def shard():
             texts = list(held)
@@ -317,22 +319,19 @@ def _compared(covers: DataFrame) -> DataFrame:
                             out.append((key, at + first, at + end + SPAN))
             held.clear()
 
-        def rows():
-            batch = pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["key", "start", "stop"])
-            out.clear()
-            return batch
-
-        for batch in batches:
-            for h, doc, key, start, stop, p, cover in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if h != anchor:
-                    if len(own) > 1:  # else all of the anchor is settled
-                        held.update(own)
-                        size += sum(map(len, own))
-                    own.clear()
-                    anchor = h
-                    if size > SHARD:
-                        shard()
-                        size = 0
+        def close():
+            nonlocal size
+            if len(own) > 1:  # else all of the anchor is settled
+                held.update(own)
+                size += sum(map(len, own))
+            own.clear()
+            if size > SHARD:
+                shard()
+                size = 0
+
+        def one_by_one(part):
+            """Rows of an anchor that may have begun in another batch or go on in one."""
+            for doc, key, start, stop, p, cover in zip(*(c.to_pylist() for c in part.columns[1:7]), strict=True):
                 known = own.get(cover)
                 if known is None:
                     own[cover] = (doc, [(key, start, stop, p)])
@@ -340,13 +339,58 @@ def _compared(covers: DataFrame) -> DataFrame:
                     out.append((key, start, stop))
                 else:
                     known[1].append((key, start, stop, p))
-            if len(out) > 100_000:
+
+        def at_once(part):
+            """Rows of whole anchors. A cover has one anchor, so its number stands for both."""
+            nonlocal size
+            h, doc, key, start, stop, p = (np.asarray(c) for c in part.columns[:6])
+            coded = part.column(6).dictionary_encode()
+            code = np.asarray(coded.indices)
+            first = np.unique(code, return_index=True)[1]  # in order of doc_id, so the least
+            gone = doc > doc[first[code]]
+            settled.append(np.stack([key[gone], start[gone], stop[gone]]))
+            anchor_of = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
+            several = np.bincount(anchor_of[first], minlength=int(anchor_of[-1]) + 1) > 1
+            rest = np.flatnonzero(~gone & several[anchor_of])
+            texts = coded.dictionary.take(pa.array(code[rest])).to_pylist()
+            for text, *row in zip(texts, doc[rest].tolist(), key[rest].tolist(), start[rest].tolist(), stop[rest].tolist(), p[rest].tolist(), strict=True):
+                known = held.get(text)
+                if known is None:
+                    held[text] = known = (row[0], [])
+                    size += len(text)
+                known[1].append(tuple(row[1:]))
+            if size > SHARD:
+                shard()
+                size = 0
+
+        def rows():
+            every = np.concatenate([*settled, np.array(out, np.int64).reshape(-1, 3).T], axis=1)
+            settled.clear()
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in every], ["key", "start", "stop"])
+
+        for batch in batches:
+            h = np.asarray(batch.column(0))
+            if not len(h):
+                continue
+            change = np.flatnonzero(h[1:] != h[:-1]) + 1
+            goes_on = anchor is not None and h[0] == anchor
+            begin = 0 if not goes_on else int(change[0]) if len(change) else len(h)
+            if begin:
+                one_by_one(batch.slice(0, begin))
+            if begin < len(h):
+                close()
+                tail = int(change[-1]) if len(change) else 0
+                if tail > begin:
+                    at_once(batch.slice(begin, tail - begin))
+                one_by_one(batch.slice(tail))
+                anchor = h[-1]
+            if len(out) + sum(x.shape[1] for x in settled) > 100_000:
                 yield rows()
-        if len(own) > 1:
-            held.update(own)
+        close()
         if held:
             shard()
-        if out:
+        if out or settled:
             yield rows()
 
     return covers.mapInArrow(run, "key long, start long, stop long")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import SCHEMA, components, removed, rows, texts
 from pyspark.sql import functions as F
@@ -254,3 +255,35 @@ def test_cut_texts_keep_any_columns(spark):
     got = substring_dedup.remove_repeats(spark, df)
     assert got.columns == df.columns
     assert sorted((r["kept"], r["text"], r["digest"]) for r in got.collect()) == [(1, a, "d"), (2, "?", "e"), (3, a, "f")]
+
+
+def test_comparison_doesn_t_depend_on_batches(monkeypatch):
+    """Anchors that begin, go on and end anywhere among the batches give the same removed windows."""
+    monkeypatch.setattr(substring_dedup, "SHARD", 400)
+    rng = random.Random(13)
+
+    class Captured:
+        def mapInArrow(self, f, _):  # noqa: N802
+            self.f = f
+            return self
+
+    held = Captured()
+    substring_dedup._compared(held)
+    rows_ = []
+    for anchor in range(40):  # windows of one anchor occur under no other
+        text = "".join(rng.choice("abcdef") for _ in range(60))
+        for doc in sorted(rng.randrange(9) for _ in range(rng.randrange(1, 12))):
+            a = rng.randrange(6)
+            cover = text[a : a + 52].encode() + bytes([65 + rng.randrange(3)])
+            at = rng.randrange(100)
+            rows_.append((anchor, doc, doc, at, at + len(cover), 0, cover))
+    kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+    table = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows_), kinds)], list("hdkspqc"))
+    seen = set()
+    for size in (1, 2, 7, 50, 10_000):
+        gone = set()
+        for batch in held.f(iter([table.slice(i, size) for i in range(0, table.num_rows, size)])):
+            for key, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                gone |= {(key, x) for x in range(a, b)}
+        seen.add(frozenset(gone))
+    assert len(seen) == 1 and len(next(iter(seen))) > 100
