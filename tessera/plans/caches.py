@@ -1,4 +1,5 @@
-"""Queries of caches, allocators and breakers. Their folds have no SQL; tests hold them against models."""
+"""Queries of caches, allocators and breakers. SQL folds a trace by recursion, an access of each cache at a time;
+allocators and caches of two maps have none, and tests hold them against models."""
 
 from __future__ import annotations
 
@@ -9,12 +10,51 @@ from tessera.plans import query
 from tessera.plans.tables import accesses, calls, table
 
 
-@query("LRU-01 SRC-05")
+ACCESSES = """acc AS (SELECT 'c' || (user_id % 8) AS cache, event_id AS seq, CASE event_type WHEN 'purchase' THEN 'put' WHEN 'signup' THEN 'delete' ELSE 'get' END AS op, 'k' || (event_id * 7919 % 37) AS key,
+floor(value)::BIGINT + 1 AS size, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS i FROM events)"""
+
+
+def count_sql(limit: int, fifo: bool) -> str:
+    """The keys as a list, the next to go first."""
+    again = "l" if fifo else "list_append(list_filter(l, lambda x: x <> key), key)"
+    return f"""WITH RECURSIVE {ACCESSES},
+st(cache, i, seq, hit, evicted, l) AS (SELECT DISTINCT cache, 0::BIGINT, NULL::BIGINT, NULL::BOOLEAN, 0, []::VARCHAR[] FROM acc
+UNION ALL SELECT acc.cache, acc.i, acc.seq, list_contains(l, key), CASE WHEN op <> 'delete' AND NOT list_contains(l, key) AND len(l) >= {limit} THEN 1 ELSE 0 END,
+CASE WHEN op = 'delete' THEN list_filter(l, lambda x: x <> key) WHEN list_contains(l, key) THEN {again} WHEN len(l) >= {limit} THEN list_append(l[2:], key) ELSE list_append(l, key) END
+FROM st JOIN acc ON acc.cache = st.cache AND acc.i = st.i + 1)
+SELECT cache, seq, hit, evicted, len(l)::BIGINT AS used FROM st WHERE i > 0"""
+
+
+def byte_sql(capacity: int, bypass: bool) -> str:
+    """Keys and sizes as a list, the next to go first; n is how many go."""
+    rest, total = "list_filter(l, lambda x: x.k <> key)", "coalesce(list_sum(list_transform({}, lambda x: x.s)), 0)"
+    if bypass:
+        fits = f"{total.format('r[n + 1 :]')} + size <= {capacity} OR n = len(r)"
+        kept = f"CASE WHEN size <= {capacity} THEN list_append(r[n + 1 :], {{'k': key, 's': size}}) WHEN op = 'put' THEN r ELSE l END"
+        gone = f"op = 'delete' OR hit OR size > {capacity}"
+    else:
+        fits, kept, gone = f"{total.format('a[n + 1 :]')} <= {capacity}", "a[n + 1 :]", "op = 'delete' OR hit"
+    return f"""WITH RECURSIVE {ACCESSES},
+st(cache, i, seq, hit, evicted, l) AS (SELECT DISTINCT cache, 0::BIGINT, NULL::BIGINT, NULL::BOOLEAN, 0::BIGINT, []::STRUCT(k VARCHAR, s BIGINT)[] FROM acc
+UNION ALL SELECT cache, i, seq, CASE WHEN op = 'delete' THEN there ELSE hit END, CASE WHEN {gone} THEN 0 ELSE n END,
+CASE WHEN op = 'delete' THEN r WHEN hit THEN list_concat(r, list_filter(l, lambda x: x.k = key)) ELSE {kept} END
+FROM (SELECT *, list_filter(range(len(a) + 1), lambda n: {fits})[1] AS n FROM (SELECT *, op = 'get' AND there AS hit, list_append(r, {{'k': key, 's': size}}) AS a FROM
+(SELECT acc.*, l, {rest} AS r, len({rest}) < len(l) AS there FROM st JOIN acc ON acc.cache = st.cache AND acc.i = st.i + 1))))
+SELECT cache, seq, hit, evicted::INT AS evicted, {total.format('l')}::BIGINT AS used FROM st WHERE i > 0"""
+
+
+BREAKER = """WITH RECURSIVE c AS (SELECT user_id % 8 AS child, event_id AS seq, epoch_us(ts) / 1e6 AS ts, event_type <> 'error' AS ok, event_type AS op, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS i FROM events),
+st(child, i, seq, op, ok, admitted, state, opened) AS (SELECT DISTINCT child, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BOOLEAN, NULL::BOOLEAN, 'closed', 0::DOUBLE FROM c
+UNION ALL SELECT child, i, seq, op, ok, NOT shut, CASE WHEN shut THEN state WHEN ok THEN 'closed' ELSE 'open' END, CASE WHEN shut OR ok THEN opened ELSE ts END
+FROM (SELECT c.*, state, opened, state = 'open' AND ts - opened < 1800 AS shut FROM st JOIN c ON c.child = st.child AND c.i = st.i + 1))"""
+
+
+@query("LRU-01 SRC-05", byte_sql(1500, False))
 def byte_lru(spark, d):
     return cache.byte_lru(accesses(spark, d), 1500)
 
 
-@query("LRU-02")
+@query("LRU-02", byte_sql(400, True))
 def bypassing_lru(spark, d):
     return cache.byte_lru(accesses(spark, d), 400, bypass=True)
 
@@ -69,7 +109,7 @@ def descriptor_cache(spark, d):
     return cache.descriptor_cache(accesses(spark, d)).select("cache", "seq", "hit")
 
 
-@query("MEM-08 AGG-11")
+@query("MEM-08 AGG-11", f"SELECT cache, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit) AS misses, sum(evicted)::BIGINT AS evictions, arg_max(used, seq) AS used FROM ({byte_sql(1500, False)}) GROUP BY cache")
 def cache_stats(spark, d):
     return cache.stats(cache.byte_lru(accesses(spark, d), 1500))
 
@@ -88,12 +128,12 @@ def evict_and_retry(spark, d):
     return cache.evict_and_retry(t, 64 * 4096)
 
 
-@query("LRU-06")
+@query("LRU-06", count_sql(16, False))
 def count_lru(spark, d):
     return cache.count_lru(accesses(spark, d), 16)
 
 
-@query("LRU-07")
+@query("LRU-07", count_sql(8, True))
 def fifo_cache(spark, d):
     return cache.count_lru(accesses(spark, d), 8, fifo=True)
 
@@ -111,12 +151,12 @@ def best_fit_allocations(spark, d):
     return cache.best_fit(t.select("cache", "seq", op.alias("op"), F.col("key").alias("id"), (F.col("size") * 64).alias("size")), 40 * 4096)
 
 
-@query("HA-01")
+@query("HA-01", f"{BREAKER} SELECT child, seq, admitted, state FROM st WHERE i > 0")
 def breaker_states(spark, d):
     return health.breaker(calls(spark, d), 1800.0)
 
 
-@query("HA-02 HA-01")
+@query("HA-02 HA-01", f"{BREAKER} SELECT child, seq, CASE WHEN admitted AND ok THEN op ELSE 'miss' END AS result FROM st WHERE i > 0")
 def guarded_calls(spark, d):
     c = calls(spark, d)
     return health.guarded(c, health.breaker(c, 1800.0), F.col("op"), F.lit("miss")).select("child", "seq", "result")
