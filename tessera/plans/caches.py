@@ -43,6 +43,24 @@ FROM (SELECT *, list_filter(range(len(a) + 1), lambda n: {fits})[1] AS n FROM (S
 SELECT cache, seq, hit, evicted::INT AS evicted, {total.format('l')}::BIGINT AS used FROM st WHERE i > 0"""
 
 
+def two_map_sql(capacity: int) -> str:
+    """As byte_sql, with a list for each form; a write makes room in its own."""
+    total = "coalesce(list_sum(list_transform({}, lambda x: x.s)), 0)"
+    item = "{'k': key, 's': size}"
+
+    def after(form: str, old: str, rest: str) -> str:
+        return (f"CASE WHEN op = 'delete' THEN {rest} WHEN hit THEN list_concat({rest}, list_filter({old}, lambda x: x.k = key)) WHEN size > {capacity} THEN CASE WHEN op = 'put' THEN {rest} ELSE {old} END "
+                f"WHEN form = '{form}' THEN list_append({rest}[n + 1 :], {item}) ELSE {rest} END")
+
+    return f"""WITH RECURSIVE {ACCESSES}, two AS (SELECT *, CASE WHEN size % 2 = 0 THEN 'chunks' ELSE 'single' END AS form FROM acc),
+st(cache, i, seq, hit, evicted, a, b) AS (SELECT DISTINCT cache, 0::BIGINT, NULL::BIGINT, NULL::BOOLEAN, 0::BIGINT, []::STRUCT(k VARCHAR, s BIGINT)[], []::STRUCT(k VARCHAR, s BIGINT)[] FROM two
+UNION ALL SELECT cache, i, seq, CASE WHEN op = 'delete' THEN there ELSE hit END, CASE WHEN op = 'delete' OR hit OR size > {capacity} THEN 0 ELSE n END, {after('chunks', 'a', 'ra')}, {after('single', 'b', 'rb')}
+FROM (SELECT *, op = 'get' AND there AS hit, list_filter(range(len(own) + 1), lambda n: {total.format('own[n + 1 :]')} + {total.format('other')} + size <= {capacity} OR n = len(own))[1] AS n
+FROM (SELECT *, len(ra) < len(a) OR len(rb) < len(b) AS there, CASE WHEN form = 'chunks' THEN ra ELSE rb END AS own, CASE WHEN form = 'chunks' THEN rb ELSE ra END AS other
+FROM (SELECT two.*, a, b, list_filter(a, lambda x: x.k <> key) AS ra, list_filter(b, lambda x: x.k <> key) AS rb FROM st JOIN two ON two.cache = st.cache AND two.i = st.i + 1))))
+SELECT cache, seq, hit, evicted::INT AS evicted, ({total.format('a')} + {total.format('b')})::BIGINT AS used FROM st WHERE i > 0"""
+
+
 BREAKER = """WITH RECURSIVE c AS (SELECT user_id % 8 AS child, event_id AS seq, epoch_us(ts) / 1e6 AS ts, event_type <> 'error' AS ok, event_type AS op, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS i FROM events),
 st(child, i, seq, op, ok, admitted, state, opened) AS (SELECT DISTINCT child, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BOOLEAN, NULL::BOOLEAN, 'closed', 0::DOUBLE FROM c
 UNION ALL SELECT child, i, seq, op, ok, NOT shut, CASE WHEN shut THEN state WHEN ok THEN 'closed' ELSE 'open' END, CASE WHEN shut OR ok THEN opened ELSE ts END
@@ -59,7 +77,7 @@ def bypassing_lru(spark, d):
     return cache.byte_lru(accesses(spark, d), 400, bypass=True)
 
 
-@query("LRU-03")
+@query("LRU-03", two_map_sql(1500))
 def two_map_lru(spark, d):
     forms = accesses(spark, d).withColumn("form", F.when(F.col("size") % 2 == 0, "chunks").otherwise("single"))
     return cache.byte_lru(forms, 1500, bypass=True, shared=True)
