@@ -122,9 +122,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows that stay, with all columns of docs."""
     own = decide(spark, docs)
     names = [F.col(f"`{c}`") for c in docs.columns]
-    repeats = own.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1 or doc_id is null")
-    if repeats.take(1) or own.groupBy("doc_id").count().where("count > 1").take(1):
-        # a doc_id stands for several rows: decisions go by doc_id and text
+    if own.groupBy("doc_id").count().where("count > 1 or doc_id is null").take(1):
+        # a doc_id stands for several rows, or none does: decisions go by doc_id and text
         kept = own.where("kept").select(F.col("doc_id").alias("_i"), F.col("text_sha256").alias("_d")).distinct()
         rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("id"), text_digest(F.col("text")).alias("digest"))
         rows = rows.join(kept, (F.col("digest") == F.col("_d")) & F.col("id").eqNullSafe(F.col("_i")), "left_semi")

@@ -55,6 +55,11 @@ def test_index_takes_only_new_digests(spark):
     assert not again.exists()
 
 
+def test_exact_drops_copies_without_an_id(spark):
+    df = spark.createDataFrame([(None, "a"), (2, "a"), (3, "b")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in exact_dedup.deduplicate(spark, df).collect()) == [(2, "a"), (3, "b")]
+
+
 def test_exact_leaves_no_table_and_carries_any_columns(spark):
     before = {t.name for t in spark.catalog.listTables()}
     long = "word " * 200_000
