@@ -61,6 +61,21 @@ FROM (SELECT two.*, a, b, list_filter(a, lambda x: x.k <> key) AS ra, list_filte
 SELECT cache, seq, hit, evicted::INT AS evicted, ({total.format('a')} + {total.format('b')})::BIGINT AS used FROM st WHERE i > 0"""
 
 
+def best_fit_sql(total: int, unit: int = 4096) -> str:
+    """Free blocks and held ones as lists: the smallest free block that fits, the lowest of equal ones."""
+    block = "STRUCT(s BIGINT, a BIGINT)[]"
+    return f"""WITH RECURSIVE {ACCESSES}, al AS (SELECT cache, seq, i, op = 'delete' AS free, key, greatest(1, (size * 64 + {unit - 1}) // {unit}) * {unit} AS need FROM acc),
+st(cache, i, seq, place, used, high, f, h) AS (SELECT DISTINCT cache, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, 0::BIGINT, 0::BIGINT, [{{'s': {total}, 'a': 0}}]::{block}, []::STRUCT(k VARCHAR, s BIGINT, a BIGINT)[] FROM al
+UNION ALL SELECT cache, i, seq, place, now, greatest(high, now), f2, h2 FROM (SELECT *,
+CASE WHEN place IS NULL THEN used WHEN free THEN used - own.s ELSE used + need END AS now,
+CASE WHEN place IS NULL THEN f WHEN free THEN list_append(list_filter(f, lambda x: x.a <> own.a + own.s AND x.a + x.s <> own.a), {{'s': own.s + coalesce(below.s, 0) + coalesce(above.s, 0), 'a': own.a - coalesce(below.s, 0)}})
+WHEN best.s > need THEN list_append(list_filter(f, lambda x: x.a <> best.a), {{'s': best.s - need, 'a': best.a + need}}) ELSE list_filter(f, lambda x: x.a <> best.a) END AS f2,
+CASE WHEN place IS NULL THEN h WHEN free THEN list_filter(h, lambda x: x.k <> key) ELSE list_append(h, {{'k': key, 's': need, 'a': place}}) END AS h2
+FROM (SELECT *, CASE WHEN free THEN own.a WHEN own IS NULL THEN best.a END AS place, list_filter(f, lambda x: x.a = own.a + own.s)[1] AS above, list_filter(f, lambda x: x.a + x.s = own.a)[1] AS below
+FROM (SELECT al.*, used, high, f, h, list_filter(h, lambda x: x.k = key)[1] AS own, list_min(list_filter(f, lambda x: x.s >= need)) AS best FROM st JOIN al ON al.cache = st.cache AND al.i = st.i + 1))))
+SELECT cache, seq, place, used, high FROM st WHERE i > 0"""
+
+
 BREAKER = """WITH RECURSIVE c AS (SELECT user_id % 8 AS child, event_id AS seq, epoch_us(ts) / 1e6 AS ts, event_type <> 'error' AS ok, event_type AS op, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS i FROM events),
 st(child, i, seq, op, ok, admitted, state, opened) AS (SELECT DISTINCT child, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BOOLEAN, NULL::BOOLEAN, 'closed', 0::DOUBLE FROM c
 UNION ALL SELECT child, i, seq, op, ok, NOT shut, CASE WHEN shut THEN state WHEN ok THEN 'closed' ELSE 'open' END, CASE WHEN shut OR ok THEN opened ELSE ts END
@@ -162,7 +177,7 @@ def last_distinct_keys(spark, d):
     return cache.last_distinct(accesses(spark, d), 8)
 
 
-@query("LRU-08")
+@query("LRU-08", best_fit_sql(40 * 4096))
 def best_fit_allocations(spark, d):
     t = accesses(spark, d)
     op = F.when(F.col("op") == "delete", "free").otherwise("alloc")
