@@ -280,3 +280,38 @@ def test_put_if_absent_after_a_delete(spark):
     live = spark.createDataFrame([("there", 10)], "key string, generation long")
     got = {(r["key"], r["seq"]): (r["stored"], r["generation"]) for r in objects.apply_puts(puts, counters, live).collect()}
     assert got == {("gone", 1): (True, 3), ("gone", 2): (False, None), ("there", 1): (False, None), ("there", 2): (True, 11), ("new", 1): (True, 1)}
+
+
+def test_scans_of_few_partitions_are_spread(spark, tmp_path):
+    from tessera.sources.shared import spread
+
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    assert one.rdd.getNumPartitions() == 1 and spread(one).rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
+    assert sorted(r["id"] for r in spread(one).collect()) == list(range(1000))
+    many = spark.range(1000).repartition(50)
+    many.write.parquet(f"{tmp_path}/many")
+    joined = one.join(one.withColumnRenamed("id", "other"), one["id"] == F.col("other"))
+    for df in (spark.range(0, 100, 1, 40), joined):
+        assert spread(df) is df
+
+
+def test_a_shared_folder_is_needed_on_a_cluster(monkeypatch, spark):
+    from tessera.sources import shared
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):  # noqa: N802
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session())
+    assert shared.shared_dir(spark).startswith("file:")
