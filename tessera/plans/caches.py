@@ -76,6 +76,24 @@ FROM (SELECT al.*, used, high, f, h, list_filter(h, lambda x: x.k = key)[1] AS o
 SELECT cache, seq, place, used, high FROM st WHERE i > 0"""
 
 
+def retry_sql(total: int, unit: int = 4096, rounds: int = 5) -> str:
+    """A step either evicts the oldest entry or tries to allocate; a request is done when that works or its rounds are over."""
+    return f"""WITH RECURSIVE {ACCESSES}, al AS (SELECT cache, seq, i, seq::VARCHAR AS id, size * 64 AS size, greatest(1, (size * 64 + {unit - 1}) // {unit}) * {unit} AS need FROM acc),
+st(cache, i, seq, done, place, rounds, evicted, freed, target, f, h, o) AS (SELECT DISTINCT cache, 0::BIGINT, NULL::BIGINT, true, NULL::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT,
+[{{'s': {total}, 'a': 0}}]::STRUCT(s BIGINT, a BIGINT)[], []::STRUCT(k VARCHAR, s BIGINT, a BIGINT)[], []::STRUCT(k VARCHAR, s BIGINT)[] FROM al
+UNION ALL SELECT cache, i, seq, CASE WHEN evicting THEN false ELSE ok OR r >= {rounds} END, CASE WHEN ok THEN best.a END, CASE WHEN evicting OR ok THEN r ELSE least(r + 1, {rounds}) END, e + evicting::INT,
+CASE WHEN evicting THEN freed + old.s ELSE 0 END, CASE WHEN evicting THEN target ELSE least(size * (2 ** (r + 1))::BIGINT, {total}) END,
+CASE WHEN evicting THEN list_append(list_filter(f, lambda x: x.a <> own.a + own.s AND x.a + x.s <> own.a), {{'s': own.s + coalesce(below.s, 0) + coalesce(above.s, 0), 'a': own.a - coalesce(below.s, 0)}})
+WHEN ok AND best.s > need THEN list_append(list_filter(f, lambda x: x.a <> best.a), {{'s': best.s - need, 'a': best.a + need}}) WHEN ok THEN list_filter(f, lambda x: x.a <> best.a) ELSE f END,
+CASE WHEN evicting THEN list_filter(h, lambda x: x.k <> old.k) WHEN ok THEN list_append(h, {{'k': id, 's': need, 'a': best.a}}) ELSE h END,
+CASE WHEN evicting THEN o[2:] WHEN ok THEN list_append(o, {{'k': id, 's': size}}) ELSE o END
+FROM (SELECT *, NOT evicting AND best IS NOT NULL AS ok, list_filter(f, lambda x: x.a = own.a + own.s)[1] AS above, list_filter(f, lambda x: x.a + x.s = own.a)[1] AS below
+FROM (SELECT *, list_filter(h, lambda x: x.k = old.k)[1] AS own FROM (SELECT al.*, f, h, o, freed, target, o[1] AS old, NOT done AND freed < target AND len(o) > 0 AS evicting,
+CASE WHEN done THEN 0 ELSE rounds END AS r, CASE WHEN done THEN 0 ELSE evicted END AS e, list_min(list_filter(f, lambda x: x.s >= need)) AS best
+FROM st JOIN al ON al.cache = st.cache AND al.i = CASE WHEN done THEN st.i + 1 ELSE st.i END))))
+SELECT cache, seq, place, rounds::INT AS rounds, evicted::INT AS evicted FROM st WHERE i > 0 AND done"""
+
+
 BREAKER = """WITH RECURSIVE c AS (SELECT user_id % 8 AS child, event_id AS seq, epoch_us(ts) / 1e6 AS ts, event_type <> 'error' AS ok, event_type AS op, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS i FROM events),
 st(child, i, seq, op, ok, admitted, state, opened) AS (SELECT DISTINCT child, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BOOLEAN, NULL::BOOLEAN, 'closed', 0::DOUBLE FROM c
 UNION ALL SELECT child, i, seq, op, ok, NOT shut, CASE WHEN shut THEN state WHEN ok THEN 'closed' ELSE 'open' END, CASE WHEN shut OR ok THEN opened ELSE ts END
@@ -155,7 +173,7 @@ def evicted_to_free(spark, d):
     return cache.evict_to_free(rows, 5000)
 
 
-@query("LRU-05 RDM-03")
+@query("LRU-05 RDM-03", retry_sql(64 * 4096))
 def evict_and_retry(spark, d):
     t = accesses(spark, d).withColumn("id", F.col("seq").cast("string")).withColumn("size", F.col("size") * 64)
     return cache.evict_and_retry(t, 64 * 4096)
