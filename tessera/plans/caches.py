@@ -94,6 +94,23 @@ FROM st JOIN al ON al.cache = st.cache AND al.i = CASE WHEN done THEN st.i + 1 E
 SELECT cache, seq, place, rounds::INT AS rounds, evicted::INT AS evicted FROM st WHERE i > 0 AND done"""
 
 
+def slab_sql(capacity: int, slab: int, unit: int = 4096) -> str:
+    """A write first drops the key's old entry, then with each step the oldest one until it fits, then goes in."""
+    return f"""WITH RECURSIVE {ACCESSES}, al AS (SELECT cache, seq, i, op, key, size * 64 AS size, (size * 64 + {unit - 1}) // {unit} * {unit} AS need FROM acc),
+st(cache, i, seq, done, outcome, evicted, used, f, l) AS (SELECT DISTINCT cache, 0::BIGINT, NULL::BIGINT, true, NULL::VARCHAR, 0::BIGINT, 0::BIGINT, [{{'s': {slab}, 'a': 0}}]::STRUCT(s BIGINT, a BIGINT)[], []::STRUCT(k VARCHAR, s BIGINT, a BIGINT, n BIGINT)[] FROM al
+UNION ALL SELECT cache, i, seq, going OR op <> 'put',
+CASE WHEN going THEN CASE WHEN best IS NULL THEN 'heap' ELSE 'slab' END WHEN op = 'delete' THEN CASE WHEN own IS NULL THEN 'miss' ELSE 'deleted' END WHEN op = 'get' THEN CASE WHEN own IS NULL THEN 'miss' WHEN own.a IS NULL THEN 'heap' ELSE 'slab' END END,
+CASE WHEN fresh THEN 0 ELSE evicted + (out IS NOT NULL)::INT END, used - coalesce(out.s, 0) + CASE WHEN going THEN size ELSE 0 END,
+CASE WHEN going AND best.s > need THEN list_append(list_filter(f, lambda x: x.a <> best.a), {{'s': best.s - need, 'a': best.a + need}}) WHEN going AND best IS NOT NULL THEN list_filter(f, lambda x: x.a <> best.a)
+WHEN out.a IS NOT NULL THEN list_append(list_filter(f, lambda x: x.a <> out.a + out.n AND x.a + x.s <> out.a), {{'s': out.n + coalesce(below.s, 0) + coalesce(above.s, 0), 'a': out.a - coalesce(below.s, 0)}}) ELSE f END,
+CASE WHEN going THEN list_append(l, {{'k': key, 's': size, 'a': best.a, 'n': need}}) WHEN out IS NOT NULL THEN list_filter(l, lambda x: x.k <> out.k) WHEN fresh AND op = 'get' AND own IS NOT NULL THEN list_append(list_filter(l, lambda x: x.k <> key), own) ELSE l END
+FROM (SELECT *, NOT fresh AND out IS NULL AS going, list_filter(f, lambda x: x.a = out.a + out.n)[1] AS above, list_filter(f, lambda x: x.a + x.s = out.a)[1] AS below
+FROM (SELECT *, CASE WHEN fresh THEN CASE WHEN op <> 'get' THEN own END WHEN used + size > {max(capacity, slab)} THEN l[1] END AS out
+FROM (SELECT al.*, used, evicted, f, l, done AS fresh, list_filter(l, lambda x: x.k = key)[1] AS own, list_min(list_filter(f, lambda x: x.s >= need)) AS best
+FROM st JOIN al ON al.cache = st.cache AND al.i = CASE WHEN done THEN st.i + 1 ELSE st.i END))))
+SELECT cache, seq, outcome, evicted::INT AS evicted, used FROM st WHERE i > 0 AND done"""
+
+
 BREAKER = """WITH RECURSIVE c AS (SELECT user_id % 8 AS child, event_id AS seq, epoch_us(ts) / 1e6 AS ts, event_type <> 'error' AS ok, event_type AS op, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS i FROM events),
 st(child, i, seq, op, ok, admitted, state, opened) AS (SELECT DISTINCT child, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::BOOLEAN, NULL::BOOLEAN, 'closed', 0::DOUBLE FROM c
 UNION ALL SELECT child, i, seq, op, ok, NOT shut, CASE WHEN shut THEN state WHEN ok THEN 'closed' ELSE 'open' END, CASE WHEN shut OR ok THEN opened ELSE ts END
@@ -116,7 +133,7 @@ def two_map_lru(spark, d):
     return cache.byte_lru(forms, 1500, bypass=True, shared=True)
 
 
-@query("LRU-09 MEM-09")
+@query("LRU-09 MEM-09", slab_sql(4096, 40 * 4096))
 def slab_lru(spark, d):
     return cache.slab_lru(accesses(spark, d).withColumn("size", F.col("size") * 64), 4096, 40 * 4096)
 
