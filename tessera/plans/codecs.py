@@ -64,9 +64,26 @@ def _tensors(spark, d):
     return e.select(F.col("vec_id").alias("tensor"), F.col("embedding").alias("values"), F.array(F.lit(4), F.lit(16)).alias("shape"), dtype.alias("dtype"))
 
 
-@query("COD-04 COD-05 CON-08")
+def half_hex_sql(x: str) -> str:
+    """The bytes of a 16-bit float, low one first, from a number that is one."""
+    small = f"abs({x}::DOUBLE)"
+    power = f"floor(log2({small}))"
+    bits = f"(CASE WHEN {x} = 0 THEN 0 WHEN {small} < pow(2.0::DOUBLE, -14) THEN {small} * pow(2.0::DOUBLE, 24) ELSE ({power} + 15) * 1024 + ({small} / pow(2.0::DOUBLE, {power}) - 1) * 1024 END + CASE WHEN {x} < 0 THEN 32768 ELSE 0 END)::INT"
+    return f"printf('%02X%02X', {bits} & 255, {bits} >> 8)"
+
+
+CONTAINERS = f"""WITH el AS (SELECT vec_id AS tensor, i, i % 16 AS channel, embedding[i + 1]::FLOAT AS v FROM (SELECT *, unnest(range(len(embedding))) AS i FROM embeddings)),
+ch AS (SELECT tensor, channel, min(v) AS low, greatest(((max(v) - min(v))::FLOAT / 255.0::DOUBLE)::FLOAT, 1e-8::FLOAT) AS scale FROM el GROUP BY ALL),
+hf AS (SELECT tensor, channel, {half_sql('low')} AS low, {half_sql('scale')} AS scale FROM ch),
+q AS (SELECT el.tensor, string_agg(printf('%02X', greatest(0, least(255, round_even((((v - low)::FLOAT)::DOUBLE / scale::DOUBLE)::FLOAT, 0)))::INT), '' ORDER BY i) AS hex FROM el JOIN ch ON el.tensor = ch.tensor AND el.channel = ch.channel GROUP BY el.tensor),
+z AS (SELECT tensor, string_agg({half_hex_sql('scale')}, '' ORDER BY channel) || string_agg({half_hex_sql('low')}, '' ORDER BY channel) AS hex FROM hf GROUP BY tensor),
+b AS (SELECT q.tensor, unhex('000001C5' || printf('%02X', q.tensor % 3) || '02' || '04000000' || '10000000' || '40000000' || '10000000' || q.hex || z.hex) AS data FROM q JOIN z ON q.tensor = z.tensor)
+SELECT tensor, octet_length(data) AS nbytes, ['float16', 'bfloat16', 'float32'][tensor % 3 + 1] AS dtype, 64 AS n, sha256(data) AS digest FROM b"""
+
+
+@query("COD-04 COD-05 CON-08", CONTAINERS)
 def codec_containers(spark, d):
-    """Tested against a NumPy model."""
+    """A container's bytes: magic, dtype, shape, counts, quantized elements, scales and zero points."""
     t = _tensors(spark, d)
     packed = codec.pack_rows(t)
     return packed.join(codec.unpack_rows(packed), "tensor").select("tensor", F.octet_length("data").alias("nbytes"), "dtype", F.size("values").alias("n"), F.sha2("data", 256).alias("digest"))
