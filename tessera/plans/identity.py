@@ -8,6 +8,7 @@ from tessera.functions import keys, xxh3
 from tessera.operators import placement
 from tessera.plans import query
 from tessera.plans.tables import BLK, BLOCK, OBJ, REQ, objects, requests, table
+from tessera.plans.xxh3_sql import hex_sql
 
 
 @query("KEY-01 KEY-03", f"WITH {REQ}, {BLK} SELECT request, block_idx, block_key FROM blk")
@@ -91,9 +92,13 @@ def key_paths(spark, d):
     return objects(spark, d).select("doc_id", keys.versioned_path(root, ns, key, g, F.lit(1)).alias("versioned"), keys.versioned_path(root, ns, key, g, F.lit(1), F.col("doc_id") % 3).alias("chunk"), keys.plain_path(root, ns, key).alias("plain"))
 
 
-@query("KEY-08 KEY-09 STG-01")
+CANONICAL = "strlen(namespace) || ':' || namespace || object_key"
+
+
+@query("KEY-08 KEY-09 STG-01", f"""WITH {OBJ}, k AS (SELECT *, {CANONICAL} AS c, doc_id % 5 + 1 AS g FROM obj),
+s AS (SELECT *, c || '|generation=' || g || '|size=' || size || '|created_at=' || created_at AS e, c || '|generation=' || g || '|layout=1|size=' || size || '|created_at=' || created_at AS o FROM k)
+SELECT doc_id, {hex_sql('e')} AS content_etag, 'ctxobj-v1-' || md5(c) || '-g' || g || '-l1-' || {hex_sql('o')} AS object_handle FROM s""")
 def key_etag_and_handle(spark, d):
-    """XXH3 is in neither engine; tested against the xxhash module."""
     o = objects(spark, d).withColumn("canonical", keys.canonical_key(F.col("namespace"), F.col("object_key"))).withColumn("generation", F.col("doc_id") % 5 + 1)
     return o.select(
         "doc_id", xxh3.content_etag(F.col("canonical"), F.col("generation"), F.col("size"), F.col("created_at")).alias("content_etag"),
@@ -112,17 +117,22 @@ def _nodes(spark, d):
     return s.select(F.col("s_suppkey").alias("idx"), F.concat(F.lit("node-"), name).alias("node_id"), F.concat(F.lit("10.0.0."), name).alias("grpc_endpoint"), F.concat(F.lit("10.1.0."), name).alias("rdma_endpoint"))
 
 
-@query("KEY-14", """SELECT 'policy=hash_v1|striping_threshold=1024|striping_chunk_size=512|devices=4' || string_agg('|node' || s_suppkey || '=node-' || s_suppkey || ':10.0.0.' || s_suppkey || ':10.1.0.' || s_suppkey, '' ORDER BY s_suppkey) AS seed FROM supplier""")
+EPOCH_SEED = """SELECT 'policy=hash_v1|striping_threshold=1024|striping_chunk_size=512|devices=4' || string_agg('|node' || s_suppkey || '=node-' || s_suppkey || ':10.0.0.' || s_suppkey || ':10.1.0.' || s_suppkey, '' ORDER BY s_suppkey) AS seed FROM supplier"""
+
+
+@query("KEY-14", EPOCH_SEED)
 def placement_epoch_seed(spark, d):
     return placement.epoch_seed(_nodes(spark, d), "hash", 1024, 512, 4)
 
 
-@query("KEY-14 PLC-07")
+@query("KEY-14 PLC-07", f"WITH s AS ({EPOCH_SEED}) SELECT CASE WHEN h = '0000000000000000' THEN '0000000000000001' ELSE h END AS epoch_hex FROM (SELECT {hex_sql('seed')} AS h FROM s)")
 def placement_epoch(spark, d):
     return placement.epoch(placement.epoch_seed(_nodes(spark, d), "hash", 1024, 512, 4))
 
 
-@query("KEY-15")
+@query("KEY-15", f"""WITH c AS (SELECT l_orderkey::VARCHAR AS key, l_linenumber AS n FROM lineitem),
+s AS (SELECT key, key || '|g1|l1|epoch7|hash_v1|' || count(*) || string_agg('|' || n || ':node-' || (n % 3) || ':' || (n % 4) || ':' || (n * 512) || ':/d' || n, '' ORDER BY n) AS seed FROM c GROUP BY key)
+SELECT key, {hex_sql('seed')} AS layout_hash FROM s""")
 def placement_layout_hash(spark, d):
     t = table(spark, d, "lineitem").withColumn("key", F.col("l_orderkey").cast("string"))
     o = t.select("key").distinct().select("key", F.lit(1).alias("generation"), F.lit(1).alias("layout"), F.lit(7).alias("epoch"), F.lit("hash_v1").alias("policy"))

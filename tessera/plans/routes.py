@@ -8,6 +8,7 @@ from tessera.functions import numeric, routing, xxh3
 from tessera.operators import placement, striping
 from tessera.plans import query
 from tessera.plans.tables import OBJ, objects, table
+from tessera.plans.xxh3_sql import hash_sql
 
 
 def md5_mod_sql(x: str, n: int) -> str:
@@ -30,9 +31,8 @@ def group_by_device(spark, d):
     return o.groupBy("device").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.min("object_key").alias("first_key"))
 
 
-@query("RTE-03 RTE-05")
+@query("RTE-03 RTE-05", f"WITH {OBJ}, h AS (SELECT doc_id, {hash_sql('object_key')} AS h FROM obj) SELECT doc_id, (h % 8)::INT AS device, ((h % 3)::INT + doc_id % 5) % 3 AS node FROM h")
 def route_xxh3(spark, d):
-    """XXH3 is in neither engine; tested against the xxhash module."""
     o = objects(spark, d)
     return o.select("doc_id", xxh3.xxh3_mod(F.col("object_key"), 8).alias("device"), placement.data_node(F.col("object_key"), F.col("doc_id") % 5, 3).alias("node"))
 
@@ -167,9 +167,17 @@ def placement_chunk_writes(spark, d):
     return t.select("l_orderkey", "l_linenumber", placement.chunk_write(F.col("l_suppkey") % 3 * 10, F.col("l_quantity").cast("int") % 3 * 10).alias("status"))
 
 
-@query("RDM-04")
+#: Where a versioned object or chunk lies, by its device, generation and chunk number (null for a whole object).
+STEM = """'/dev' || device || '/data/' || (CASE WHEN namespace = '' THEN '_' ELSE regexp_replace(namespace, '[^A-Za-z0-9._-]', '_', 'g') END) || '/' || md5(c)[1:2] || '/' || md5(c)[3:4] || '/' || md5(c)[5:]
+|| '.g' || generation || '.l1' || coalesce('.chunk' || chunk, '') || '.bin'"""
+
+
+@query("RDM-04", f"""WITH {OBJ}, k AS (SELECT *, strlen(namespace) || ':' || namespace || object_key AS c, doc_id % 5 AS generation, size > 4096 AS striped FROM obj),
+h AS (SELECT *, ({hash_sql('c')} % 4)::INT AS home, CASE WHEN generation = 0 THEN 'bad_version' WHEN striped AND doc_id % 7 = 0 THEN 'no_layout' ELSE 'ok' END AS status FROM k),
+e AS (SELECT *, unnest(CASE WHEN status <> 'ok' THEN [NULL] WHEN striped THEN range((size + 1023) // 1024) ELSE [0] END)::INT AS stripe_index FROM h),
+p AS (SELECT *, (home + stripe_index) % 4 AS device, CASE WHEN striped THEN stripe_index END AS chunk FROM e)
+SELECT namespace, object_key, status, stripe_index, device, CASE WHEN stripe_index IS NOT NULL THEN {STEM} END AS path FROM p""")
 def rebuilt_layouts(spark, d):
-    """Devices come from XXH3, which is in neither engine; tested against the xxhash module."""
     o = objects(spark, d)
     striped = F.col("size") > 4096
     return placement.rebuilt_layout(o.select(
@@ -177,9 +185,10 @@ def rebuilt_layouts(spark, d):
         F.when(striped & (F.col("doc_id") % 7 != 0), F.ceil(F.col("size") / 1024)).otherwise(0).cast("int").alias("stripe_count"), F.lit(1024).alias("chunk_size")), 4)
 
 
-@query("PLC-01")
+@query("PLC-01", f"""WITH {OBJ}, k AS (SELECT *, strlen(namespace) || ':' || namespace || object_key AS c, 2 AS generation FROM obj),
+h AS (SELECT *, {hash_sql('c')} AS h FROM k), e AS (SELECT *, unnest(range((size + 511) // 512)) AS chunk FROM h), p AS (SELECT *, (((h % 4)::INT + chunk) % 4)::INT AS device FROM e)
+SELECT namespace, object_key, chunk::INT AS stripe_index, chunk * 512 AS "offset", least(512, size - chunk * 512) AS length, (((h % 3)::INT + chunk) % 3)::INT AS node, device, {STEM} AS storage_handle FROM p""")
 def stripe_locations(spark, d):
-    """Nodes and devices come from XXH3, which is in neither engine; tested against the xxhash module."""
     o = objects(spark, d)
     cut = o.select("namespace", "object_key", F.explode(routing.stripe_list(F.col("size"), 512)).alias("s")).select("namespace", "object_key", F.col("s.index").alias("stripe_index"), F.col("s.offset").alias("offset"), F.col("s.length").alias("length"))
     return placement.stripe_locations(cut, 3, 4, F.lit(2), F.lit(1))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import urllib.parse
 import zlib
 
@@ -95,3 +96,19 @@ def test_rebuilt_layout(spark):
     h = hashlib.md5(b"1:nk").hexdigest()
     assert sorted(got["k"]) == [("ok", i, (home + i) % 4, f"/dev{(home + i) % 4}/data/n/{h[:2]}/{h[2:4]}/{h[4:]}.g2.l1.chunk{i}.bin") for i in range(3)]
     assert [x[0] for x in got["one"]] == ["ok"] and got["old"] == [("bad_version", None, None, None)] and got["none"] == [("no_layout", None, None, None)]
+
+
+def test_xxh3_of_any_length_in_sql():
+    """The SQL that queries are held against, by the xxhash module."""
+    import duckdb
+
+    from tessera.plans.xxh3_sql import hash_sql
+
+    rng = random.Random(3)
+    lengths = [*range(70), 96, 97, 128, 129, 144, 160, 240, 241, 255, 256, 257, 512, 513, 1023, 1024, 1025, 1088, 2048, 2049, 5000]
+    texts = ["".join(rng.choice("abcdefgh|=:/é0123") for _ in range(n)) for n in lengths] + ["x" * n for n in lengths]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (x VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?)", [[x] for x in texts])
+    got = dict(con.execute(f"SELECT x, {hash_sql('x')} FROM t").fetchall())
+    assert got == {x: xxhash.xxh3_64_intdigest(x.encode()) for x in texts}
