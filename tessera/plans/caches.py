@@ -1,5 +1,4 @@
-"""Queries of caches, allocators and breakers. SQL folds a trace by recursion, an access of each cache at a time;
-allocators and caches of two maps have none, and tests hold them against models."""
+"""Queries of caches, allocators and breakers. SQL folds a trace by recursion, an access of each cache at a time."""
 
 from __future__ import annotations
 
